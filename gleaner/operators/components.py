@@ -10,7 +10,7 @@ from ..storage import materialise, release
 
 def _minimum(arcs: DataFrame) -> DataFrame:
     """(u, v, m): each arc with the least id among u and its neighbours."""
-    least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return arcs.join(least, "u")
 
 
