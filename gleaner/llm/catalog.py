@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import simhash
+from . import packing, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1,
     "op4_simhash": simhash.op4,
 }
 ORACLES: dict[str, str] = {}
