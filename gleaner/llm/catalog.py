@@ -1,9 +1,12 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import packing, simhash
+from . import decontaminate, packing, simhash
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op7_decontaminate": decontaminate.op7,
     "op4_simhash": simhash.op4,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": decontaminate.SQL,
+}
