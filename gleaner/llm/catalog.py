@@ -1,12 +1,14 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import decontaminate, packing, simhash
+from . import chat, decontaminate, packing, simhash
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op7_decontaminate": decontaminate.op7,
+    "op9_chat": chat.op9,
     "op4_simhash": simhash.op4,
 }
 ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.SQL,
+    "op9_chat": chat.SQL,
 }
