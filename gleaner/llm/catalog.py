@@ -1,14 +1,16 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import chat, decontaminate, packing, simhash
+from . import chat, decontaminate, packing, simhash, topk
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op7_decontaminate": decontaminate.op7,
+    "op8_topk": topk.op8,
     "op9_chat": chat.op9,
     "op4_simhash": simhash.op4,
 }
 ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.SQL,
+    "op8_topk": topk.SQL,
     "op9_chat": chat.SQL,
 }
