@@ -1,13 +1,14 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import chat, decontaminate, packing, simhash, topk
+from . import chat, decontaminate, packing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op4_simhash": simhash.op4,
+    "op6_toxicity": toxicity.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_topk": topk.op8,
     "op9_chat": chat.op9,
-    "op4_simhash": simhash.op4,
 }
 ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.SQL,
