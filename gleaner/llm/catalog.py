@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import chat, decontaminate, packing, simhash, topk, toxicity
+from . import chat, decontaminate, langid, packing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7,
     "op8_topk": topk.op8,
     "op9_chat": chat.op9,
+    "op10_langid": langid.op10,
 }
 ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.SQL,
