@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,9 +33,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now, not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, df: DataFrame | None = None) -> None:
     """Delete tables of materialise(): those df reads, or all. Nothing may read them later."""
     jvm = spark.sparkContext._jvm
