@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import chat, decontaminate, langid, packing, simhash, topk, toxicity
+from . import chat, decontaminate, katz, langid, packing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op4_simhash": simhash.op4,
+    "op5_katz": katz.op5,
     "op6_toxicity": toxicity.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_topk": topk.op8,
