@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
-from . import chat, decontaminate, katz, langid, packing, simhash, suffixes, topk, toxicity
+from . import chat, decontaminate, html, katz, langid, packing, simhash, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_suffixes": suffixes.op2,
+    "op3_html": html.op3,
     "op4_simhash": simhash.op4,
     "op5_katz": katz.op5,
     "op6_toxicity": toxicity.op6,
