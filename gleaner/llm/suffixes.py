@@ -20,6 +20,7 @@ stretch, in blocks of BLOCK offsets, so that no task has to take them all.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
@@ -32,7 +33,7 @@ from ..storage import materialise, partitions, table
 from .common import document_blocks, get_arrays, get_strings, id_array, put_arrays, put_strings, read_blocks
 
 LEAST = 100
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 BLOCK = 8
 #: From so many different suffixes of one anchor on, its windows are dealt out in blocks.
 CROWD = 8192
@@ -78,26 +79,42 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[:n], m[w - size : w - size + n])
 
 
+@functools.cache
+def _powers(n: int, base: int) -> np.ndarray:
+    steps = np.full(n, np.uint64(base), np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int, k: int):
-    """(anchor, first window, last window, anchor's hash) of every maximal run of windows with one anchor."""
+    """(anchor, first window, last window, anchor's hash, content's hash) of every maximal run of windows with one anchor.
+
+    Works through the bytes in chunks; a run that a chunk's end cuts is two runs.
+    """
     w = least - k + 1
-    found = [[] for _ in range(4)]
-    last = np.zeros(len(data), bool)  # no window begins here: it would leave its document
+    found = [[] for _ in range(5)]
+    barred = np.zeros(len(data), bool)  # no window begins here: it would leave its document
     for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-        last[max(b, e - least + 1) : e] = True
+        barred[max(b, e - least + 1) : e] = True
+    powers, inverse = _powers(CHUNK + least, int(BASE)), _powers(CHUNK + least, pow(int(BASE), -1, 1 << 64))
     for lo in range(0, max(0, len(data) - least + 1), CHUNK):
         piece = data[lo : lo + CHUNK + least - 1]
         h = gram_hashes(piece, k)
         mixed = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
-        anchor = (sliding_least(mixed, w) & LOW).astype(np.int64)
-        fine = ~last[lo : lo + len(anchor)]
+        anchor = (sliding_least(mixed, w) & LOW).astype(np.int32)
+        fine = ~barred[lo : lo + len(anchor)]
         cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (fine[1:] != fine[:-1])])
         stop = np.r_[cut[1:], len(anchor)] - 1
         keep = fine[cut]
         cut, stop = cut[keep], stop[keep]
-        for f, x in zip(found, (anchor[cut] + lo, cut + lo, stop + lo, h[anchor[cut]]), strict=True):
+        at = anchor[cut].astype(np.int64)
+        prefix = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(BYTE[piece] * powers[: len(piece)], out=prefix[1:])
+        content = (prefix[stop + least] - prefix[cut]) * inverse[cut]
+        content ^= ((at - cut) * 257 + (stop - cut)).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        for f, x in zip(found, (at + lo, cut + lo, stop + lo, h[at], content), strict=True):
             f.append(x)
-    return [np.concatenate(f) if f else np.zeros(0, np.uint64 if i == 3 else np.int64) for i, f in enumerate(found)]
+    return [np.concatenate(f) if f else np.zeros(0, np.uint64 if i > 2 else np.int64) for i, f in enumerate(found)]
 
 
 class Part:
@@ -112,20 +129,11 @@ class Part:
         self.begins = self.ends - sizes
         self.least, self.k = least, max(1, least // 4)
         if sorted_suffixes:
-            self.anchor, self.lo, self.hi, self.hash = segments(self.data, self.begins, self.ends, least, self.k)
             self._group()
 
     def _group(self) -> None:
         """Order suffixes by anchor hash and content; `first` marks those that no equal one precedes."""
-        steps = np.full(len(self.data) + 1, BASE, np.uint64)
-        steps[0] = 1
-        powers = np.multiply.accumulate(steps)
-        prefix = np.r_[np.zeros(1, np.uint64), np.cumsum(BYTE[self.data] * powers[:-1], dtype=np.uint64)] if len(self.data) else np.zeros(1, np.uint64)
-        back = np.full(len(self.data) + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
-        back[0] = 1
-        inverse = np.multiply.accumulate(back)
-        content = (prefix[self.hi + self.least] - prefix[self.lo]) * inverse[self.lo]
-        content ^= ((self.anchor - self.lo) * 257 + (self.hi - self.lo)).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        self.anchor, self.lo, self.hi, self.hash, content = segments(self.data, self.begins, self.ends, self.least, self.k)
         order = np.lexsort((self.lo, content, self.hash))
         self.anchor, self.lo, self.hi, self.hash, content = (x[order] for x in (self.anchor, self.lo, self.hi, self.hash, content))
         same = np.r_[False, (content[1:] == content[:-1]) & (self.hash[1:] == self.hash[:-1])] if len(content) else np.zeros(0, bool)
