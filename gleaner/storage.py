@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+_written: dict[str, str] = {}
+_owner = [""]
+
+
+@contextlib.contextmanager
+def owned(name: str):
+    """Tables materialised inside belong to `name` and go with release(owner=name)."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +44,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    _written[path] = _owner[-1]
     settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,14 +55,18 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession, df: DataFrame | None = None) -> None:
-    """Delete tables of materialise(): those df reads, or all. Nothing may read them later."""
+def release(spark: SparkSession, df: DataFrame | None = None, owner: str | None = None) -> None:
+    """Delete tables of materialise(): those df reads, or those of an owner. Nothing may read them later."""
     jvm = spark.sparkContext._jvm
-    gone = list(_written) if df is None else [p for p in _written if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles())]
+    if df is not None:
+        files = df.inputFiles()
+        gone = [p for p in _written if any(p.rsplit("/", 1)[1] in f for f in files)]
+    else:
+        gone = [p for p, who in _written.items() if who == owner]
     for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _written.remove(path)
+        del _written[path]
 
 
 def partitions(spark: SparkSession) -> int:
