@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -56,23 +57,26 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def document_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """(d, ids, texts): documents dealt into `parts` by doc_id, many to a row.
+def document_blocks(docs: DataFrame, parts: int, others: tuple[str, ...] = ()) -> DataFrame:
+    """(d, ids, texts, rest): documents dealt into `parts` by doc_id, many to a row.
 
-    ids is a blob of (doc_id, is_null); texts is a blob of UTF-8 texts. Rows of
-    one doc_id share a part. A task holds at most FLUSH_BYTES for each part.
+    ids is a blob of (doc_id, is_null), texts one of UTF-8 texts, and rest one of
+    the row's values in the columns `others`. Rows of one doc_id share a part. A
+    task holds at most FLUSH_BYTES for each part.
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def flush(d: int) -> pa.RecordBatch:
-            ids, nulls, texts, _ = held.pop(d)
-            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([put_arrays(np.array(ids, np.int64), np.array(nulls, np.uint8))], pa.binary()), pa.array([put_strings(texts, level=3)], pa.binary())], ["d", "ids", "texts"])
+            ids, nulls, texts, _, rest = held.pop(d)
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([put_arrays(np.array(ids, np.int64), np.array(nulls, np.uint8))], pa.binary()), pa.array([put_strings(texts, level=3)], pa.binary()), pa.array([put_strings(rest)], pa.binary())], ["d", "ids", "texts", "rest"])
 
         for batch in batches:
-            for d, i, t in zip(batch["d"].to_pylist(), batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
-                x = held.setdefault(d, [[], [], [], 0])
+            more = list(zip(*(batch[c].to_pylist() for c in others), strict=True)) if others else [()] * batch.num_rows
+            for d, i, t, o in zip(batch["d"].to_pylist(), batch["doc_id"].to_pylist(), utf8(batch["text"]), more, strict=True):
+                x = held.setdefault(d, [[], [], [], 0, []])
+                x[4].append(pickle.dumps(o) if others else b"")
                 x[0].append(i if i is not None else 0)
                 x[1].append(i is None)
                 x[2].append(t)
@@ -82,21 +86,22 @@ def document_blocks(docs: DataFrame, parts: int) -> DataFrame:
         for d in list(held):
             yield flush(d)
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("d"))
-    return dealt.mapInArrow(pack, "d int, ids binary, texts binary")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("d"), *others)
+    return dealt.mapInArrow(pack, "d int, ids binary, texts binary, rest binary")
 
 
-def read_blocks(ids: Iterable[bytes], texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(doc_id, is_null, texts) of the blocks of a part, sorted by (null first, doc_id, text)."""
-    numbers, nulls, words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], []
-    for i, t in zip(ids, texts, strict=True):
+def read_blocks(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    """(doc_id, is_null, texts, rest) of the blocks of a part, sorted by (null first, doc_id, text)."""
+    numbers, nulls, words, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [], []
+    for i, t, o in zip(blocks["ids"].to_pylist(), blocks["texts"].to_pylist(), blocks["rest"].to_pylist(), strict=True):
         a, b = get_arrays(i)
         numbers.append(a)
         nulls.append(b)
         words += get_strings(t)
+        rest += get_strings(o)
     n, z = np.concatenate(numbers), np.concatenate(nulls)
-    order = sorted(range(len(words)), key=lambda k: (1 - z[k], n[k], words[k]))
-    return n[order], z[order], [words[k] for k in order]
+    order = sorted(range(len(words)), key=lambda k: (1 - z[k], n[k], words[k], rest[k]))
+    return n[order], z[order], [words[k] for k in order], [rest[k] for k in order]
 
 
 def id_array(numbers: np.ndarray, nulls: np.ndarray) -> pa.Array:

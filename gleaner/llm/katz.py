@@ -50,7 +50,7 @@ class Part:
     """A part's documents as word numbers, with its distinct words in hash order."""
 
     def __init__(self, blocks: pa.Table, parts: int):
-        self.ids, self.nulls, texts = read_blocks(blocks["ids"].to_pylist(), blocks["texts"].to_pylist())
+        self.ids, self.nulls, texts, _ = read_blocks(blocks)
         names = Ids({END: 0})
         seqs = []
         for t in texts:

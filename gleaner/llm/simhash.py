@@ -92,19 +92,34 @@ def _masks(bits: range, most: int) -> dict[int, np.ndarray]:
     return {k: np.array([sum(1 << b for b in c) for c in combinations(bits, k)], np.uint64) for k in range(most + 1)}
 
 
-def _messages(fp: np.ndarray, tag: np.ndarray, used: np.ndarray, value: np.ndarray, bits: range, most: int):
+def _messages(tag: np.ndarray, used: np.ndarray, value: np.ndarray, bits: range, most: int):
     """Variants that flip only these bits, each with the flips left to spend below."""
     masks = _masks(bits, most)
     for k, m in masks.items():
         keep = used + k <= most
         if not keep.any():
             continue
-        yield (np.repeat(fp[keep], len(m)), np.repeat(tag[keep], len(m)), np.repeat(used[keep] + np.uint8(k), len(m)), (value[keep][:, None] ^ m[None, :]).ravel())
+        yield (np.repeat(tag[keep], len(m)), np.repeat(used[keep] + np.uint8(k), len(m)), (value[keep][:, None] ^ m[None, :]).ravel())
 
 
 def _gather(parts):
     parts = list(parts)
-    return [np.concatenate([p[i] for p in parts]) for i in range(4)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint64)]
+    return [np.concatenate([p[i] for p in parts]) for i in range(3)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint64)]
+
+
+class Points:
+    """The points that one task has been told of; close() verifies links between them."""
+
+    def __init__(self, ids, fp, sketch, radius: int, differing: int | None):
+        self.ids, at = np.unique(ids, return_index=True)
+        self.fp, self.sketch = fp[at], [s[at] for s in sketch]
+        self.radius, self.differing = radius, differing
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(self.fp[a] ^ self.fp[b]) <= self.radius
+        if self.differing is not None:
+            ok &= sum(np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in self.sketch) <= self.differing
+        return ok
 
 
 class Forest:
@@ -129,7 +144,7 @@ class Forest:
         return True
 
 
-def _meet(fp, tag, used, value, low: int, near: int, far: int, limit: int, forest: Forest, links: list) -> None:
+def _meet(tag, used, value, low: int, near: int, far: int, limit: int, points: Points, forest: Forest, links: list) -> None:
     """Enumerate the variants below bit `low` and link what meets; `far` >= `near` flips a side."""
     if len(np.unique(tag)) < 2:
         return
@@ -140,80 +155,91 @@ def _meet(fp, tag, used, value, low: int, near: int, far: int, limit: int, fores
             c = c * (low - k + 1) // k
             x += c
         per[u] = x
-    if low > 4 and sum(int((used == u).sum()) * per[u] for u in range(far + 1)) > limit and len(fp) > 1:
+    if low > 4 and sum(int((used == u).sum()) * per[u] for u in range(far + 1)) > limit:
         step = 4
-        fp, tag, used, value = _gather(_messages(fp, tag, used, value, range(low - step, low), far))
+        tag, used, value = _gather(_messages(tag, used, value, range(low - step, low), far))
         at = (value >> np.uint64(low - step)) & np.uint64((1 << step) - 1)
         for x in range(1 << step):
             if (pick := at == x).sum() > 1:
-                _meet(fp[pick], tag[pick], used[pick], value[pick], low - step, near, far, limit, forest, links)
+                _meet(tag[pick], used[pick], value[pick], low - step, near, far, limit, points, forest, links)
         return
-    fp, tag, used, value = _gather(_messages(fp, tag, used, value, range(low), far))
+    tag, used, value = _gather(_messages(tag, used, value, range(low), far))
     ordered = np.sort(value)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return
     place = np.minimum(np.searchsorted(twice, value), len(twice) - 1)
     hit = twice[place] == value
-    fp, tag, used, value = fp[hit], tag[hit], used[hit], value[hit]
+    tag, used, value = tag[hit], used[hit], value[hit]
     order = np.lexsort((tag, used, value))
-    fp, tag, used, value = fp[order], tag[order], used[order], value[order]
-    first = np.r_[True, value[1:] != value[:-1]]
-    heads = np.flatnonzero(first)[np.cumsum(first) - 1]
-    ok = (used[heads] <= near) & ~first & (np.bitwise_count(fp ^ fp[heads]) <= near + far)
-    pairs = np.unique(np.stack([tag[heads][ok], tag[ok]], axis=1), axis=0)
-    for a, b in pairs.tolist():
-        if forest.link(a, b):
-            links.append((a, b))
-
-
-def ball_links(points: DataFrame, radius: int = 3, limit: int = 1 << 20) -> DataFrame:
+    tag, used, value = tag[order], used[order], value[order]
+    while len(tag):
+        first = np.r_[True, value[1:] != value[:-1]]
+        heads = np.flatnonzero(first)[np.cumsum(first) - 1]
+        fine = used[heads] <= near
+        ok = fine & ~first & points.close(tag[heads], tag)
+        for a, b in np.unique(np.stack([tag[heads][ok], tag[ok]], axis=1), axis=0).tolist():
+            if forest.link(a, b):
+                links.append((int(points.ids[a]), int(points.ids[b])))
+        rest = fine & ~first & ~ok  # what isn't close to the head may be close to each other
+        tag, used, value = tag[rest], used[rest], value[rest]
+
+
+def ball_links(points: DataFrame, radius: int = 3, limit: int = 1 << 20, differing: int | None = None) -> DataFrame:
     """(src, dst): links that connect whatever lies within `radius` bits.
 
-    points: (fp long, doc_id long), one row per distinct fingerprint. Every row
-    is a real link between two ids; paths over them reach exactly what paths over
-    all links within the radius reach. At a meeting variant all are linked to one
-    member that is within the smaller half, so no pairs within a group are listed.
+    points: (fp long, doc_id long), distinct doc_ids. Every row is a real link
+    between two ids; paths over them reach exactly what paths over all links within
+    the radius reach. At a meeting variant all are linked to one member that is
+    within the smaller half, so no pairs within a group are listed.
+
+    With `differing`, points also has s0 and s1 (long), and a link is one only if
+    these 128 bits differ in at most so many places.
     """
     spark = points.sparkSession
     near, far = radius // 2, radius - radius // 2
     n = points.count()
     t = min(28, max(4, (max(1, n) // 64).bit_length()))
     parts = partitions(spark)
+    extra = ["s0", "s1"] if differing is not None else []
 
     def send(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
-                fp = b["fp"].slice(lo, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-                tag = b["doc_id"].slice(lo, 4096).to_numpy(zero_copy_only=False)
-                fp, tag, used, value = _gather(_messages(fp, tag, np.zeros(len(fp), np.uint8), fp, range(64 - t, 64), far))
+                fp, ids, *sketch = (b[c].slice(lo, 4096).to_numpy(zero_copy_only=False) for c in ("fp", "doc_id", *extra))
+                fp = fp.view(np.uint64)
+                tag, used, value = _gather(_messages(np.arange(len(fp)), np.zeros(len(fp), np.uint8), fp, range(64 - t, 64), far))
                 r = ((value >> np.uint64(64 - t)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
                 order = np.argsort(r, kind="stable")
                 cuts = np.searchsorted(r[order], np.arange(parts + 1))
-                rows = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(parts) if cuts[k] < cuts[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([put_arrays(fp[i], tag[i], used[i], value[i] >> np.uint64(64 - t)) for _, i in rows], pa.binary())], ["r", "blob"])
+                rows = []
+                for k in range(parts):
+                    if cuts[k] < cuts[k + 1]:
+                        i = order[cuts[k] : cuts[k + 1]]
+                        own, at = np.unique(tag[i], return_inverse=True)
+                        rows.append((k, put_arrays(at.astype(np.uint16), used[i], value[i] >> np.uint64(64 - t), ids[own], fp[own], *(s[own].view(np.uint64) for s in sketch))))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["r", "blob"])
 
     def receive(batches):
-        got = [[] for _ in range(4)]
+        got = []
         for b in batches:
-            for x in b["blob"]:
-                for g, a in zip(got, get_arrays(x.as_py()), strict=True):
-                    g.append(a)
-        if not got[0]:
+            got += [get_arrays(x.as_py()) for x in b["blob"]]
+        if not got:
             return
-        fp, tag, used, top = (np.concatenate(g) for g in got)
+        held = Points(np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got]), [np.concatenate([g[5 + k] for g in got]) for k in range(len(extra))], radius, differing)
+        tag = np.concatenate([np.searchsorted(held.ids, g[3])[g[0]] for g in got])
+        used, top = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
         order = np.argsort(top, kind="stable")
-        fp, tag, used, top = fp[order], tag[order], used[order], top[order]
-        below = np.uint64((1 << (64 - t)) - 1)
-        value = (top << np.uint64(64 - t)) | (fp & below)
+        tag, used, top = tag[order], used[order], top[order]
+        value = (top << np.uint64(64 - t)) | (held.fp[tag] & np.uint64((1 << (64 - t)) - 1))
         forest, links = Forest(), []
         cuts = np.r_[np.flatnonzero(np.r_[True, top[1:] != top[:-1]]), len(top)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi - lo > 1:
-                _meet(fp[lo:hi], tag[lo:hi], used[lo:hi], value[lo:hi], 64 - t, near, far, limit, forest, links)
+                _meet(tag[lo:hi], used[lo:hi], value[lo:hi], 64 - t, near, far, limit, held, forest, links)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["src", "dst"])
 
-    return points.select("fp", "doc_id").repartition(parts, "fp").mapInArrow(send, "r int, blob binary").repartition(parts, "r").select("blob").mapInArrow(receive, "src long, dst long")
+    return points.select("fp", "doc_id", *extra).repartition(parts, "doc_id").mapInArrow(send, "r int, blob binary").repartition(parts, "r").select("blob").mapInArrow(receive, "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -234,3 +260,85 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
 def op4(spark, sf_dir):
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: near_duplicates(): fingerprints of word sets, their radius, and the sketch of 5-word shingles.
+TABLES, WIDE, SKETCH_BITS, WIDTH, SIMILAR = 8, 4, 128, 5, 0.8
+_mix = np.random.Generator(np.random.PCG64(4))
+TABLE_ODD = _mix.integers(1, 2**62, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH_ODD = _mix.integers(1, 2**62, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _stir(h: np.ndarray, odd: np.uint64) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(31))) * odd
+    return x ^ (x >> np.uint64(29))
+
+
+def _signatures(texts: list[bytes]) -> np.ndarray:
+    """(TABLES + 2) x n: fingerprints of the sets of words, then the sketch as two words.
+
+    The sketch has, for each of 128 hashes, one bit of the least hash of the
+    text's 5-word shingles; a share (1 - s) / 2 of the bits of two texts of
+    similarity s differ.
+    """
+    words = [sorted({xxhash.xxh64_intdigest(w, SEED) for w in t.lower().split()}) for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    flat = np.array([h for w in words for h in w], np.uint64)
+    out = [majority(_stir(flat, odd), counts) for odd in TABLE_ODD]
+    shingles = [shingle_hashes(t, WIDTH) for t in texts]
+    n = np.array([len(s) for s in shingles], np.int64)
+    some = np.flatnonzero(n)
+    halves = np.zeros((2, len(texts)), np.uint64)
+    if len(some):
+        flat = np.array([h for s in shingles for h in s], np.uint64)
+        starts = (np.cumsum(n) - n)[some]
+        for k, odd in enumerate(SKETCH_ODD):
+            least = np.minimum.reduceat(_stir(flat, odd), starts)
+            halves[k // 64, some] |= (_stir(least, np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(1)) << np.uint64(k % 64)
+    return np.stack([*out, *halves])
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(doc_id, component_id) of documents in groups of near copies; docs (doc_id, text).
+
+    Candidates are pairs within WIDE bits in one of TABLES SimHash fingerprints of
+    their sets of words, found by ball hashing; each is verified on the sketch of
+    5-word shingles, at an estimated similarity of `similarity` less one standard
+    error or more. component_id is the smallest doc_id of the group. Rows that share
+    a doc_id are one document; null ids are in no group. Texts without words, null
+    ones too, are equal to each other.
+    """
+    spark = docs.sparkSession
+    names = [f"f{k}" for k in range(TABLES)] + ["s0", "s1"]
+
+    def run(batches):
+        for b in batches:
+            texts, lo = utf8(b["text"]), 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 21):
+                    size += len(texts[hi])
+                    hi += 1
+                found = _signatures(texts[lo:hi]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), *(pa.array(x) for x in found)], ["doc_id", *names])
+                lo = hi
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = materialise(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names)), "signatures")
+    heads = materialise(marked.groupBy(*names).agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in names)), "heads")
+    error = (SKETCH_BITS * (1 - similarity) / 2 * (1 + similarity) / 2) ** 0.5
+    most = int(SKETCH_BITS * (1 - similarity) / 2 + error)
+    links = None
+    for k in range(TABLES):
+        found = materialise(ball_links(heads.select(F.col(f"f{k}").alias("fp"), "doc_id", "s0", "s1"), WIDE, differing=most), "links")
+        links = found if links is None else links.unionByName(found)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in names]
+    twins = marked.alias("a").join(heads.alias("b"), same).where("a.doc_id <> b.doc_id").select(F.col("b.doc_id").alias("src"), F.col("a.doc_id").alias("dst"))
+    parts = connected_components(links.unionByName(twins))
+    return parts.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """docs without the members of a group of near copies but the one of smallest doc_id."""
+    gone = materialise(near_duplicates(docs, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import materialise, partitions, table
 from .common import document_blocks, get_arrays, get_strings, id_array, put_arrays, put_strings, read_blocks
@@ -121,7 +122,7 @@ class Part:
     """The documents of a part as one byte array, and its suffixes."""
 
     def __init__(self, blocks: pa.Table, least: int, sorted_suffixes: bool = True):
-        self.ids, self.nulls, texts = read_blocks(blocks["ids"].to_pylist(), blocks["texts"].to_pylist())
+        self.ids, self.nulls, texts, self.rest = read_blocks(blocks)
         self.raw = b"".join(texts)
         self.data = np.frombuffer(self.raw, np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -364,6 +365,7 @@ def _runs(part: Part, d: int, told: pa.Table, parts: int) -> pa.Table:
     return _rows(rows)
 
 
+RESULT_NAMES = ("n_bytes", "n_removed", "n_spans", "starts", "ends", "kept")
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
 
 
@@ -393,20 +395,23 @@ def _digest(cleaned: pa.Table) -> pa.Table:
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False, columns: bool = False) -> DataFrame:
     """Remove from each text every byte of a `least`-byte string that also starts earlier.
 
     Earlier: in a smaller doc_id (null ids first), or in the same document before;
     rows that share a doc_id are in the order of their texts. Strings are judged
     on the input and never cross documents. Result: doc_id, n_bytes, n_removed,
     n_spans, starts and ends of the removed runs, and the kept bytes (or their
-    SHA-256). Null and shorter texts keep all they have; an empty table gives no
-    rows; other columns are ignored.
+    SHA-256); with `columns`, docs' other columns too. Null and shorter texts keep all they have; an empty table gives no
+    rows; other columns are ignored unless asked for, and dropped where they bear a
+    result's name.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     k = max(1, least // 4)
-    blocks = document_blocks(docs, parts)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", *RESULT_NAMES)) if columns else ()
+    blocks = document_blocks(docs, parts, others)
+    kinds = to_arrow_schema(docs.select(*others).schema)
 
     def ask(group: pa.Table) -> pa.Table:
         part, d = Part(group, least), group["d"][0].as_py()
@@ -420,10 +425,17 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False)
     repeats = materialise(blocks.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(sort, KINDS).groupBy("r").applyInArrow(lambda x: _merged(x, least, k), KINDS), "repeats")
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _cleaned(Part(left, least, False), right)
-        return _digest(found) if digest else found
-
-    return blocks.groupBy("d").cogroup(repeats.groupBy("d")).applyInArrow(clean, DIGEST if digest else RESULT)
+        part = Part(left, least, False)
+        found = _cleaned(part, right)
+        if digest:
+            return _digest(found)
+        rows = [pickle.loads(x) for x in part.rest] if others else []
+        for k, c in enumerate(others):
+            found = found.append_column(c, pa.array([r[k] for r in rows], kinds.field(c).type))
+        return found
+
+    schema = DIGEST if digest else RESULT + "".join(f", `{c}` {t}" for c, t in docs.select(*others).dtypes)
+    return blocks.groupBy("d").cogroup(repeats.groupBy("d")).applyInArrow(clean, schema)
 
 
 def op2(spark, sf_dir):

@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from gleaner.llm.simhash import ball_links, simhash_components
+from gleaner.llm.simhash import ball_links, drop_near_duplicates, simhash_components
 from gleaner.operators.components import connected_components
 
 
@@ -73,3 +73,24 @@ def test_null_ids_and_repeats(spark):
     rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, "only here x y z")]
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
+
+
+def test_near_duplicates_by_verified_links(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    rows, group = [], {}
+    for g in range(12):
+        base = rng.choices(words, k=300)
+        for c in range(5):
+            own = list(base)
+            for _ in range(c % 3):
+                own[rng.randrange(300)] = "changed"
+            rows.append((100 * g + c, " ".join(own)))
+            group[100 * g + c] = 100 * g
+    rows += [(5000 + k, " ".join(rng.choices(words, k=200))) for k in range(40)] + [(9000, None), (9001, ""), (None, rows[0][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as s0", "2 as gone")
+    kept = [r.doc_id for r in drop_near_duplicates(d).collect()]
+    assert sorted(x for x in kept if x is not None and x >= 5000) == [5000 + k for k in range(40)] + [9000]
+    assert None in kept
+    assert len([x for x in kept if x is not None and x < 5000]) <= 13
+    assert {group[x] for x in kept if x is not None and x < 5000} == set(group.values())
