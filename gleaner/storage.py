@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, Spark deletes a query's shuffle files as it ends; the written table has replaced them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[str, str] = {}
 _owner = [""]
 
@@ -43,18 +44,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written[path] = _owner[-1]
-    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs now, not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release(spark: SparkSession, df: DataFrame | None = None, owner: str | None = None) -> None:
     """Delete tables of materialise(): those df reads, or those of an owner. Nothing may read them later."""
     jvm = spark.sparkContext._jvm
