@@ -2,19 +2,384 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..storage import table
+from ..functions import scalar as S
+from ..functions import text as T
+from ..functions import video as V
+from ..operators import exact, groups, pairs, results, store
+from ..operators.components import connected_components
+from ..storage import materialise, table
+from . import adapters as A
 
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
 
-def _exact_groups(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), F.octet_length("text").alias("size_bytes"))
-    return docs.groupBy("digest", "size_bytes").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id")).where("members > 1")
 
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
 
-QUERIES = {"exact_groups": _exact_groups}
-ORACLES = {
-    "exact_groups": """
-SELECT sha256(text) AS digest, octet_length(encode(text)) AS size_bytes, count(*) AS members, min(doc_id) AS first_id
-FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"""
-}
+    return keep
+
+
+@query("classify_extension", """SELECT doc_id, CASE WHEN e IN ('.jpg', '.heic') THEN 'image' WHEN e = '.mp4' THEN 'video' WHEN e = '.txt' THEN 'text' END AS media_type, e <> '.heic' AS phash_ok
+FROM (SELECT doc_id, lower(['.txt', '.JPG', '.mp4', '.heic', '.pdf'][doc_id % 5 + 1]) AS e FROM documents)""")
+def classify_extension(spark, sf_dir):
+    path = F.concat("source", F.lit("/x.y/"), "doc_id", F.element_at(F.array(*(F.lit(x) for x in (".txt", ".JPG", ".mp4", ".heic", ".pdf"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", S.media_type(path).alias("media_type"), S.supports_phash(path).alias("phash_ok"))
+
+
+@query("first_by_key", "SELECT host, min(page_id) AS page_id FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages) GROUP BY host")
+def first_by_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"))
+    return rows.groupBy("host").agg(F.min("page_id").alias("page_id"))
+
+
+@query("exact_bucket_candidates", f"WITH {A.FILES} SELECT file_id, size_bytes FROM files WHERE size_bytes IN (SELECT size_bytes FROM files GROUP BY size_bytes HAVING count(*) > 1)")
+def exact_bucket_candidates(spark, sf_dir):
+    return exact.bucket_candidates(A.files(spark, sf_dir)).select("file_id", "size_bytes")
+
+
+@query("exact_groups", f"WITH {A.MEMBERS} SELECT digest, size_bytes, members, group_id AS first_id FROM grp")
+def exact_groups(spark, sf_dir):
+    return A.members(spark, sf_dir).where("file_id = group_id").select("digest", "size_bytes", "members", F.col("group_id").alias("first_id"))
+
+
+_LE = "unhex(array_to_string(list_reverse([substr(lpad(hex({0}), 16, '0'), k * 2 + 1, 2) for k in range(0, 8)]), ''))"
+
+
+@query("sampled_fingerprint", f"""WITH b AS (SELECT doc_id, encode(text) AS c, strlen(text)::BIGINT AS n FROM documents)
+SELECT doc_id, CASE WHEN n <= 192 THEN sha256({_LE.format('n')} || c) ELSE sha256({_LE.format('n')} || {_LE.format('0::BIGINT')} || c[1:64] || {_LE.format('((n - 64) // 2)')} || c[(n - 64) // 2 + 1 : (n - 64) // 2 + 64] || {_LE.format('(n - 64)')} || c[n - 63 : n]) END AS digest FROM b""")
+def sampled_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.sha256_sampled(F.encode("text", "UTF-8"), 64).alias("digest"))
+
+
+@query("tiered_exact", f"""WITH {A.FILES}, k AS (SELECT file_id, size_bytes, sha256(content[1:16]) AS sampled, CASE WHEN file_id % 2 = 0 THEN sha256(content) END AS "full" FROM files),
+f AS (SELECT size_bytes, sampled, count(*) AS n, count("full") AS known, count(DISTINCT "full") AS kinds FROM k GROUP BY ALL HAVING count(*) > 1),
+m AS (SELECT file_id, size_bytes, sampled, CASE WHEN kinds >= 2 OR known = n THEN "full" ELSE sampled END AS digest, CASE WHEN kinds >= 2 OR known = n THEN 1.0 ELSE 0.99 END AS confidence FROM k JOIN f USING (size_bytes, sampled))
+SELECT file_id, group_id, confidence FROM m JOIN (SELECT size_bytes, sampled, digest, min(file_id) AS group_id FROM m WHERE digest IS NOT NULL GROUP BY ALL HAVING count(*) > 1) USING (size_bytes, sampled, digest)""")
+def tiered_exact(spark, sf_dir):
+    rows = A.files(spark, sf_dir).select("file_id", "media_type", "size_bytes", F.sha2(F.substring("content", 1, 16), 256).alias("sampled"), F.when(F.col("file_id") % 2 == 0, F.sha2("content", 256)).alias("full"))
+    return exact.tiered_confidence(rows).select("file_id", "group_id", "confidence")
+
+
+@query("exact_group_winner_actions", f"WITH {A.MEMBERS} SELECT group_id, file_id, CASE WHEN file_id = recommended THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action FROM mem")
+def exact_group_winner_actions(spark, sf_dir):
+    return groups.choose_actions(A.members(spark, sf_dir).select("group_id", "file_id", "quality"), -1.0).select("group_id", "file_id", "action")
+
+
+@query("approximate_representative", f"""WITH {A.MEMBERS}, m AS (SELECT group_id, file_id, recommended, file_id % 3 <> 0 AS ok FROM mem)
+SELECT group_id, coalesce(max(CASE WHEN ok AND file_id = recommended THEN file_id END), min(CASE WHEN ok THEN file_id END), min(recommended)) AS rep_id FROM m GROUP BY group_id""")
+def approximate_representative(spark, sf_dir):
+    m = A.members(spark, sf_dir).withColumn("path", F.when(F.col("file_id") % 3 == 0, "a.heic").otherwise("a.png"))
+    return exact.representatives(m).select("group_id", "rep_id")
+
+
+@query("stable_key", f"WITH {A.STORED} SELECT group_id, stable_key FROM groups")
+def stable_key(spark, sf_dir):
+    return A.stored(spark, sf_dir)[0].select("group_id", "stable_key")
+
+
+@query("normalise_text", r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normal FROM documents")
+def normalise_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.normalise_text("text").alias("normal"))
+
+
+@query("normalise_name", r"SELECT page_id, trim(regexp_replace(lower(regexp_replace(url, '\.[^.]*$', '')), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS name FROM pages")
+def normalise_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.normalise_name("url").alias("name"))
+
+
+@query("name_similarity", "WITH n AS (SELECT DISTINCT p_name, list_distinct(string_split(p_name, ' ')) AS g FROM part) SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g))::DOUBLE AS similarity FROM n a JOIN n b ON a.p_name < b.p_name AND len(list_intersect(a.g, b.g)) > 0")
+def name_similarity(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("g", S.name_grams("p_name"))
+    tokens = names.select("p_name", "g", F.explode("g").alias("t"))
+    met = tokens.select(F.col("p_name").alias("a"), F.col("g").alias("ga"), "t").join(tokens.select(F.col("p_name").alias("b"), F.col("g").alias("gb"), "t"), "t").where("a < b")
+    return met.select("a", "b", S.overlap_of_grams("ga", "gb").alias("similarity")).distinct()
+
+
+def _facts(spark, sf_dir):
+    return T.text_facts(A.files(spark, sf_dir))
+
+
+@query("text_sketch", """WITH RECURSIVE d AS (SELECT doc_id, [unicode(c) for c in string_split(lower(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s+$', ''))), '')] AS u FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(u) - 3)) AS i, u FROM d WHERE len(u) >= 5),
+h0 AS (SELECT doc_id, u[i]::UBIGINT AS a, u[i + 1]::UBIGINT AS b, u[i + 2]::UBIGINT AS c, u[i + 3]::UBIGINT AS d, u[i + 4]::UBIGINT AS e FROM g),
+h1 AS (SELECT *, ((xor(14695981039346656037::UBIGINT, a)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h0),
+h2 AS (SELECT doc_id, c, d, e, ((xor(h, b)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h1),
+h3 AS (SELECT doc_id, d, e, ((xor(h, c)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h2),
+h4 AS (SELECT doc_id, e, ((xor(h, d)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h3),
+h5 AS (SELECT DISTINCT doc_id, ((xor(h, e)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h4),
+r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS k FROM h5)
+SELECT doc_id AS file_id, count(*)::INTEGER AS n_features, (min(h)::HUGEINT - 9223372036854775808)::BIGINT AS least, (max(h)::HUGEINT - 9223372036854775808)::BIGINT AS greatest FROM r WHERE k <= 1024 GROUP BY doc_id""")
+def text_sketch(spark, sf_dir):
+    return _facts(spark, sf_dir).where(F.size("features") > 0).select("file_id", F.size("features").alias("n_features"), F.get("features", F.lit(0)).alias("least"), F.element_at("features", -1).alias("greatest"))
+
+
+@query("minhash_signature")
+def minhash_signature(spark, sf_dir):
+    return _facts(spark, sf_dir).select("file_id", F.posexplode("bands").alias("band", "v")).select("file_id", "band", "v.r0", "v.r1")
+
+
+@query("lsh_candidates")
+def lsh_candidates(spark, sf_dir):
+    return pairs.lsh_pairs(materialise(_facts(spark, sf_dir).select("file_id", "bands"), "bands"))
+
+
+@query("name_token_candidates", """WITH t AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS token FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY id) AS k, count(*) OVER (PARTITION BY token) AS n, lag(id) OVER (PARTITION BY token ORDER BY id) AS p FROM t),
+h AS (SELECT * FROM r WHERE k < 256 OR k = n)
+SELECT a.id AS src, b.id AS dst FROM h a JOIN h b ON a.token = b.token AND a.id < b.id UNION SELECT p, id FROM r WHERE k > 256""")
+def name_token_candidates(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.array_join(F.array_distinct(F.split("p_name", " ")), " ").alias("name"))
+    return pairs.name_token_pairs(names)
+
+
+@query("text_similarity_edges")
+def text_similarity_edges(spark, sf_dir):
+    return groups.text_edges(materialise(_facts(spark, sf_dir), "facts")).withColumn("sim", F.round("sim", 6))
+
+
+@query("text_groups")
+def text_groups(spark, sf_dir):
+    """The flagship: facts, candidates, edges, components, winners and confidence."""
+    facts = materialise(_facts(spark, sf_dir), "facts")
+    edges = materialise(groups.text_edges(facts), "edges")
+    g, items = groups.text_groups(facts, edges)
+    return items.join(g.select("group_id", "confidence"), "group_id").select("group_id", "file_id", "action", F.round("similarity", 6).alias("similarity"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("image_same_cell_pairs", f"WITH {A.IMAGES} SELECT a.image_id AS src, b.image_id AS dst FROM cells a JOIN cells b ON a.image_id < b.image_id AND a.cw = b.cw AND a.ch = b.ch")
+def image_same_cell_pairs(spark, sf_dir):
+    return pairs.cell_pairs(A.images(spark, sf_dir).drop("phash"), False).select("src", "dst")
+
+
+@query("image_neighbour_pairs", f"WITH {A.IMAGES} SELECT a.image_id AS src, b.image_id AS dst FROM cells a JOIN cells b ON a.image_id < b.image_id AND abs(a.cw - b.cw) <= 8 AND abs(a.ch - b.ch) <= 8")
+def image_neighbour_pairs(spark, sf_dir):
+    return pairs.cell_pairs(A.images(spark, sf_dir).drop("phash")).select("src", "dst")
+
+
+def _image_edges(spark, sf_dir):
+    return pairs.radius_pairs(A.images(spark, sf_dir), S.max_hamming(0.6875)).select("src", "dst", (1 - F.col("distance") / 64).alias("sim"))
+
+
+@query("phash_radius_pairs", f"WITH {A.IMAGES}, {A.EDGES} SELECT src, dst, sim FROM edges")
+def phash_radius_pairs(spark, sf_dir):
+    return _image_edges(spark, sf_dir)
+
+
+@query("connected_components", f"WITH RECURSIVE {A.IMAGES}, {A.EDGES}, {A.COMPONENTS} SELECT id, component FROM parts")
+def components(spark, sf_dir):
+    return connected_components(_image_edges(spark, sf_dir))
+
+
+_GROUPED = f"{A.IMAGES}, {A.EDGES}, {A.COMPONENTS}, q AS (SELECT component AS group_id, id AS file_id, (id % 17) / 17.0::DOUBLE AS quality FROM parts), w AS (SELECT group_id, arg_max(file_id, struct_pack(a := quality, b := -file_id)) AS winner, count(*) AS n FROM q GROUP BY group_id), s AS (SELECT q.group_id, max(quality) AS q2 FROM q JOIN w USING (group_id) WHERE file_id <> winner GROUP BY q.group_id), top AS (SELECT group_id, max(quality) AS q1 FROM q GROUP BY group_id), ins AS (SELECT component AS group_id, count(*) AS e, min(sim) AS low FROM edges JOIN parts ON src = id GROUP BY component)"
+
+
+def _image_groups(spark, sf_dir):
+    edges = materialise(_image_edges(spark, sf_dir), "edges")
+    facts = A.images(spark, sf_dir).select(F.col("image_id").alias("file_id"), F.concat(F.lit("i/"), "image_id").alias("path"), F.lit(1).cast("long").alias("size_bytes"), (F.col("image_id") % 17 / 17.0).alias("quality"))
+    return groups.groups_from_edges(edges, facts, "similar_image")
+
+
+@query("image_groups", f"""WITH RECURSIVE {_GROUPED}
+SELECT q.group_id, q.file_id, CASE WHEN q1 - q2 <= 0.02 THEN 'review_required' WHEN file_id = winner THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action, CASE WHEN file_id = winner THEN 1.0 ELSE coalesce(sim, -1.0) END AS similarity
+FROM q JOIN w USING (group_id) JOIN s USING (group_id) JOIN top USING (group_id) LEFT JOIN edges ON src = least(file_id, winner) AND dst = greatest(file_id, winner)""")
+def image_groups(spark, sf_dir):
+    return _image_groups(spark, sf_dir)[1].select("group_id", "file_id", "action", "similarity")
+
+
+@query("group_confidence", f"WITH RECURSIVE {_GROUPED} SELECT group_id, CASE WHEN e >= n * (n - 1) / 2 THEN least(low, 1.0) ELSE 0.0 END AS confidence FROM w LEFT JOIN ins USING (group_id)")
+def group_confidence(spark, sf_dir):
+    return _image_groups(spark, sf_dir)[0].select("group_id", "confidence")
+
+
+@query("frame_timestamps", """WITH d AS (SELECT o_orderkey, floor(o_totalprice * 10)::BIGINT - 20000 AS d FROM orders)
+SELECT o_orderkey, CASE WHEN d <= 0 THEN [] WHEN d * 5 // 100 >= d * 95 // 100 THEN [d // 2] ELSE [(d * 5 // 100 + floor((d * 95 // 100 - d * 5 // 100) / 7.0::DOUBLE * i + 0.5))::BIGINT for i in range(0, 8)] END::BIGINT[] AS ts FROM d""")
+def frame_timestamps(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor(F.col("o_totalprice") * 10).cast("long") - 20000).alias("d"))
+    return rows.select("o_orderkey", V.frame_timestamps("d", 8).alias("ts"))
+
+
+@query("video_band_pairs", f"""WITH {A.VIDEOS} SELECT a.video_id AS src, b.video_id AS dst FROM videos a JOIN videos b ON a.video_id < b.video_id AND a.duration_ms > 0 AND b.duration_ms > 0
+AND abs(a.duration_ms - b.duration_ms) <= greatest(3000, greatest(a.duration_ms, b.duration_ms) * 5 // 100) AND abs(a.width / a.height::DOUBLE - b.width / b.height::DOUBLE) <= 0.05""")
+def video_band_pairs(spark, sf_dir):
+    return pairs.duration_pairs(A.videos(spark, sf_dir))
+
+
+@query("frame_step", f"WITH {A.FRAMES}, g AS (SELECT video_id, (ts_ms - lag(ts_ms) OVER (PARTITION BY video_id ORDER BY idx)) AS gap FROM fr) SELECT video_id, coalesce(min(CASE WHEN gap > 0 THEN gap END), 0)::BIGINT AS step FROM g GROUP BY video_id")
+def frame_step(spark, sf_dir):
+    return A.frames(spark, sf_dir).select("video_id", V.frame_step("frames").alias("step"))
+
+
+@query("required_pairs", "SELECT p_partkey, greatest(3, (CASE WHEN p_size > 25 THEN p_size - 25 ELSE p_size END + 1) // 2)::INTEGER AS required FROM part")
+def required_pairs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", V.required_pairs(F.col("p_size") - 25, "p_size").alias("required"))
+
+
+@query("video_similarity")
+def video_similarity(spark, sf_dir):
+    """Videos next to each other by id, aligned and compared."""
+    v = A.frames(spark, sf_dir)
+    other = v.select((F.col("video_id") - 1).alias("video_id"), F.col("frames").alias("others"))
+    return v.join(other, "video_id").select("video_id", F.round(V.video_similarity("frames", "others", 8), 6).alias("similarity"))
+
+
+@query("choose_actions", """WITH r AS (SELECT l_orderkey AS group_id, l_linenumber::BIGINT AS file_id, max(l_extendedprice) / 100000 AS quality FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC, file_id) AS rn FROM r),
+t AS (SELECT group_id, max(CASE WHEN rn = 1 THEN quality END) - max(CASE WHEN rn = 2 THEN quality END) AS gap FROM k GROUP BY group_id)
+SELECT group_id, file_id, CASE WHEN gap <= 0.02 THEN 'review_required' WHEN rn = 1 THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action FROM k JOIN t USING (group_id)""")
+def choose_actions(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("long").alias("file_id")).agg((F.max("l_extendedprice") / 100000).alias("quality"))
+    return groups.choose_actions(rows).select("group_id", "file_id", "action")
+
+
+@query("image_quality", "SELECT p_partkey, round(least(1.0, least(0.70, ln(1 + p_size * 100 * p_size * 60 / 1e6) / ln(13) * 0.70) + CASE p_brand[-1] WHEN '1' THEN 0.10 WHEN '2' THEN 0.07 ELSE 0.03 END + least(0.10, ln(1 + p_retailprice * 100) / ln(1 + 1e7) * 0.10) + 0.10), 6) AS quality FROM part")
+def image_quality(spark, sf_dir):
+    kind = F.when(F.col("p_brand").endswith("1"), "png").when(F.col("p_brand").endswith("2"), "JPEG").otherwise("BMP")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(S.image_quality(F.col("p_size") * 100, F.col("p_size") * 60, kind, F.col("p_retailprice") * 100), 6).alias("quality"))
+
+
+@query("video_quality", "SELECT o_orderkey, round(least(1.0, least(0.55, ln(1 + (o_orderkey % 2000) * 720) / ln(1 + 3840 * 2160) * 0.55) + CASE WHEN o_totalprice > 100000 THEN least(0.20, ln(1 + o_totalprice) / ln(1 + 2e7) * 0.20) ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 0.10 ELSE 0.05 END + CASE WHEN o_custkey % 2 = 0 THEN 0.05 ELSE 0 END + 0.10), 6) AS quality FROM orders")
+def video_quality(spark, sf_dir):
+    rate = F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(S.video_quality(F.col("o_orderkey") % 2000, F.lit(720), rate, F.when(F.col("o_orderstatus") == "F", "HEVC").otherwise("vp9"), F.col("o_custkey") % 2 == 0, "o_totalprice"), 6).alias("quality"))
+
+
+@query("text_quality", f"WITH {A.FILES} SELECT file_id, round(quality, 6) AS quality FROM files")
+def text_quality(spark, sf_dir):
+    return A.files(spark, sf_dir).select("file_id", F.round("quality", 6).alias("quality"))
+
+
+def _manifests(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o/"), "o_orderkey").alias("path"), F.floor("o_totalprice").cast("long").alias("size_bytes"), F.col("o_custkey").alias("mtime_ns"), F.when(F.col("o_orderkey") % 11 == 0, "missing").otherwise("active").alias("status"), F.col("o_orderkey").alias("k"))
+    new = o.where("k % 7 <> 0").select("path", (F.col("size_bytes") + F.when(F.col("k") % 5 == 0, 1).otherwise(0)).alias("size_bytes"), "mtime_ns", "k")
+    return o.where("k % 13 <> 0").drop("k"), new.drop("k")
+
+
+@query("incremental_status", """WITH o AS (SELECT o_orderkey AS k, 'o/' || o_orderkey AS path, floor(o_totalprice)::BIGINT AS s, o_custkey AS m, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' ELSE 'active' END AS st FROM orders)
+SELECT path, CASE WHEN k % 7 = 0 THEN 'missing' WHEN k % 13 = 0 THEN 'added' WHEN k % 5 <> 0 AND st = 'active' THEN 'unchanged' ELSE 'changed' END AS change, s + CASE WHEN k % 7 <> 0 AND k % 5 = 0 THEN 1 ELSE 0 END AS size_bytes, m AS mtime_ns, CASE WHEN k % 7 = 0 THEN 'missing' ELSE 'active' END AS status FROM o WHERE NOT (k % 7 = 0 AND k % 13 = 0)""")
+def incremental_status(spark, sf_dir):
+    return store.incremental_status(*_manifests(spark, sf_dir))
+
+
+@query("replace_groups_status", f"WITH {A.STORED} SELECT group_id, CASE WHEN group_id % 2 = 0 THEN status ELSE 'pending' END AS status FROM groups")
+def replace_groups_status(spark, sf_dir):
+    g, _ = A.stored(spark, sf_dir)
+    none = F.lit(None).cast("timestamp")
+    before = g.where("group_id % 2 = 0").select("stable_key", "status", none.alias("ignored_at"), none.alias("processed_at"))
+    return store.replace_groups(g.drop("status"), before).select("group_id", "status")
+
+
+@query("set_group_status", f"WITH {A.STORED} SELECT group_id, CASE WHEN group_id % 5 = 0 THEN 'ignored' ELSE status END AS status, CASE WHEN group_id % 5 = 0 THEN TIMESTAMP '2024-01-01' END AS ignored_at FROM groups")
+def set_group_status(spark, sf_dir):
+    g, _ = A.stored(spark, sf_dir)
+    none = F.lit(None).cast("timestamp")
+    g = g.withColumn("ignored_at", none).withColumn("processed_at", none)
+    return store.set_status(g, g.where("group_id % 5 = 0"), "ignored", F.lit("2024-01-01").cast("timestamp")).select("group_id", "status", F.col("ignored_at").cast("timestamp_ntz").alias("ignored_at"))
+
+
+@query("set_recommended", f"""WITH {A.STORED} SELECT group_id, file_id, CASE WHEN group_id % 2 = 1 THEN action WHEN file_id = group_id THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action,
+CASE WHEN group_id % 2 = 1 OR group_type = 'exact' THEN similarity WHEN file_id = group_id THEN 1.0 ELSE -1.0 END AS similarity FROM items JOIN groups USING (group_id)""")
+def set_recommended(spark, sf_dir):
+    g, i = A.stored(spark, sf_dir)
+    return store.set_recommended(g, i, g.where("group_id % 2 = 0").select("group_id", F.col("group_id").alias("file_id")))[1].select("group_id", "file_id", "action", "similarity")
+
+
+_LEFT = f"{A.STORED}, lft AS (SELECT * FROM items WHERE file_id % 4 <> 0), alive AS (SELECT group_id, arg_max(file_id, struct_pack(a := quality, b := -file_id)) AS best FROM lft GROUP BY group_id HAVING count(*) > 1), now AS (SELECT g.group_id, group_type, CASE WHEN recommended_file_id % 4 = 0 THEN best ELSE recommended_file_id END AS rec, recommended_file_id % 4 = 0 AS lost FROM groups g JOIN alive USING (group_id))"
+
+
+@query("prune_groups", f"WITH {_LEFT} SELECT group_id, file_id, CASE WHEN action = 'keep_recommended' AND file_id <> rec THEN 'cleanup_candidate' WHEN file_id = rec AND lost THEN 'keep_recommended' ELSE action END AS action, CASE WHEN NOT lost OR group_type = 'exact' THEN similarity WHEN file_id = rec THEN 1.0 ELSE -1.0 END AS similarity FROM lft JOIN now USING (group_id)")
+def prune_groups(spark, sf_dir):
+    g, i = A.stored(spark, sf_dir)
+    return store.delete_paths(g, i, i.where("file_id % 4 = 0").select("path"))[1].select("group_id", "file_id", "action", "similarity")
+
+
+@query("drop_failed", f"WITH {_LEFT} SELECT group_id, rec AS recommended_file_id FROM now")
+def drop_failed(spark, sf_dir):
+    g, i = A.stored(spark, sf_dir)
+    return groups.drop_failed(g, i, i.where("file_id % 4 = 0").select("file_id"))[0].select("group_id", "recommended_file_id")
+
+
+@query("list_groups", f"WITH {A.STORED} SELECT group_id, group_type, confidence, status, count(*) AS members, sum(CASE WHEN file_id <> recommended_file_id THEN size_bytes ELSE 0 END)::BIGINT AS reclaimable_bytes, 'text' AS media_kind FROM groups JOIN items USING (group_id) WHERE status = 'pending' AND group_id IN (SELECT group_id FROM items WHERE contains(lower(path), 'src1')) GROUP BY ALL")
+def list_groups(spark, sf_dir):
+    return results.list_groups(*A.stored(spark, sf_dir), search="SRC1").drop("recommended_file_id")
+
+
+@query("summary", f"WITH {A.STORED} SELECT count(*) AS groups, count(*) FILTER (WHERE group_type = 'exact') AS exact, count(*) FILTER (WHERE group_type = 'similar_image') AS similar, count(*) FILTER (WHERE status = 'pending') AS pending, (SELECT sum(size_bytes)::BIGINT FROM items JOIN groups USING (group_id) WHERE status = 'pending' AND file_id <> recommended_file_id) AS reclaimable_bytes FROM groups")
+def summary(spark, sf_dir):
+    return results.summary(*A.stored(spark, sf_dir))
+
+
+@query("group_detail", f"WITH {A.STORED}, f AS (SELECT doc_id AS file_id, (n_chars * 2654435761) % 4294967296 AS phash FROM documents) SELECT i.group_id, i.file_id, bit_count(xor(f.phash, b.phash))::INTEGER AS distance FROM items i JOIN groups g USING (group_id) JOIN f ON f.file_id = i.file_id JOIN f b ON b.file_id = g.recommended_file_id")
+def group_detail(spark, sf_dir):
+    g, i = A.stored(spark, sf_dir)
+    facts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), (F.col("n_chars") * 2654435761 % 4294967296).alias("phash"))
+    return results.group_detail(g, i, facts).select("group_id", "file_id", "distance")
+
+
+@query("delete_guard", f"WITH {A.STORED} SELECT group_id, 0::BIGINT AS \"left\" FROM items GROUP BY group_id HAVING count(*) FILTER (WHERE group_id % 3 <> 0 AND file_id <> group_id) = 0")
+def delete_guard(spark, sf_dir):
+    _, i = A.stored(spark, sf_dir)
+    return store.delete_guard(i, i.where("group_id % 3 = 0 OR file_id = group_id").select("file_id"))
+
+
+@query("report_totals", f"WITH {A.STORED} SELECT count(*) FILTER (WHERE action = 'keep_recommended') AS keep, count(*) FILTER (WHERE action = 'cleanup_candidate') AS cleanup, sum(size_bytes) FILTER (WHERE action = 'cleanup_candidate')::BIGINT AS cleanup_bytes FROM items")
+def report_totals(spark, sf_dir):
+    return results.report_totals(A.stored(spark, sf_dir)[1])
+
+
+@query("report_lines", f"""WITH {A.STORED} SELECT group_id, file_id, CASE WHEN action = 'keep_recommended' THEN '+' ELSE '-' END || ' ' || path || ' sim=' || CASE WHEN similarity < 0 THEN '—' ELSE '1.00' END || ' ' || CASE WHEN size_bytes >= 1024 THEN format('{{:.1f}} KiB', size_bytes / 1024.0) ELSE size_bytes || ' B' END AS line FROM items""")
+def report_lines(spark, sf_dir):
+    return results.report_lines(*A.stored(spark, sf_dir))
+
+
+@query("human_bytes", "SELECT o_orderkey, CASE WHEN b >= 1048576 THEN format('{:.1f} MiB', b / 1048576.0::DOUBLE) WHEN b >= 1024 THEN format('{:.1f} KiB', b / 1024.0::DOUBLE) ELSE b || ' B' END AS shown FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT * (o_orderkey % 9) AS b FROM orders)")
+def human_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.human_bytes(F.floor("o_totalprice").cast("long") * (F.col("o_orderkey") % 9)).alias("shown"))
+
+
+@query("parse_frame_rate", "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN (p_partkey % 60000) / (p_size % 3)::DOUBLE END AS rate FROM part")
+def parse_frame_rate(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", S.parse_frame_rate(F.concat((F.col("p_partkey") % 60000).cast("string"), F.lit("/"), (F.col("p_size") % 3).cast("string"))).alias("rate"))
+
+
+def _fused(spark, sf_dir):
+    """Exact groups of documents, of which a similarity group holds two representatives at a time."""
+    m = A.members(spark, sf_dir)
+    ex = m.select("group_id", F.col("recommended").alias("recommended_file_id")).distinct()
+    reps = ex.select("group_id", F.col("recommended_file_id").alias("rep_id"))
+    sim = F.floor(F.col("group_id") / 100).cast("long")
+    held = m.where("file_id = recommended").select(sim.alias("sg"), "file_id", "path", "quality", "size_bytes").withColumn("n", F.count("*").over(Window.partitionBy("sg"))).where("n > 1")
+    g = held.groupBy(F.col("sg").alias("group_id")).agg(F.min("file_id").alias("recommended_file_id")).withColumn("group_type", F.lit("similar_text")).withColumn("confidence", F.lit(0.5))
+    items = held.select(F.col("sg").alias("group_id"), "file_id", "path", "quality", "size_bytes").join(g.select("group_id", F.col("recommended_file_id").alias("w")), "group_id")
+    items = items.withColumn("action", F.when(F.col("file_id") == F.col("w"), "keep_recommended").otherwise("review_required")).withColumn("similarity", F.when(F.col("file_id") == F.col("w"), 1.0).otherwise(0.9)).drop("w")
+    return groups.fuse_exact(g, items, ex, m, reps)
+
+
+_FUSED = f"""{A.MEMBERS}, held AS (SELECT * FROM (SELECT group_id // 100 AS sg, file_id, count(*) OVER (PARTITION BY group_id // 100) AS n FROM mem WHERE file_id = recommended) WHERE n > 1), sim AS (SELECT sg, min(file_id) AS w FROM held GROUP BY sg)"""
+
+
+@query("fuse_exact", f"""WITH {_FUSED} SELECT sg AS group_id, m.file_id, CASE WHEN m.file_id = w THEN 'keep_recommended' WHEN m.recommended = w THEN 'cleanup_candidate' ELSE 'review_required' END AS action, CASE WHEN m.recommended = w THEN 1.0 ELSE 0.9 END AS similarity
+FROM held h JOIN sim USING (sg) JOIN mem m ON m.recommended = h.file_id""")
+def fuse_exact(spark, sf_dir):
+    return _fused(spark, sf_dir)[1].select("group_id", "file_id", "action", "similarity")
+
+
+@query("fused_exact_groups", f"WITH {_FUSED} SELECT DISTINCT m.group_id FROM held h JOIN mem m ON m.recommended = h.file_id")
+def fused_exact_groups(spark, sf_dir):
+    return _fused(spark, sf_dir)[2]
+
+
+@query("path_unique", f"WITH {A.STORED} SELECT group_id, file_id FROM items")
+def path_unique(spark, sf_dir):
+    """A second set of groups, all of whose members the first ones hold, is dissolved."""
+    g, i = A.stored(spark, sf_dir)
+    g = g.select("group_id", "group_type")
+    again = i.select((F.col("group_id") + 10**9).alias("group_id"), "file_id", F.concat(F.lit(""), "path").alias("path"))
+    more = g.select((F.col("group_id") + 10**9).alias("group_id"), F.lit("similar_text").alias("group_type"))
+    return groups.path_unique(g.unionByName(more), i.select("group_id", "file_id", "path").unionByName(again))[1].select("group_id", "file_id")
