@@ -129,15 +129,15 @@ def stable_key(group_type, paths) -> Column:
 
 
 def human_bytes(n) -> Column:
-    x = col(n)
+    x = col(n)  # ties of the last digit go to the even one
     out = F.concat(x.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB", "EiB"), 1):
-        out = F.when(x >= 1024**k, F.format_string(f"%.1f {unit}", x / float(1024**k))).otherwise(out)
+        out = F.when(x >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(x / float(1024**k), 1))).otherwise(out)
     return out
 
 
 def similarity_text(x) -> Column:
-    return F.when(col(x) < 0, "—").otherwise(F.format_string("%.2f", col(x)))
+    return F.when(col(x) < 0, "—").otherwise(F.format_string("%.2f", F.bround(col(x), 2)))
 
 
 def parse_frame_rate(text) -> Column:

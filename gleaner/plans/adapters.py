@@ -51,7 +51,7 @@ def _by_group():
 
 STORED = f"""{MEMBERS},
 groups AS (SELECT group_id, ['exact', 'similar_image', 'similar_text'][group_id % 3 + 1] AS group_type, (group_id % 10) / 10.0::DOUBLE AS confidence, max(file_id) AS recommended_file_id, ['pending', 'ignored', 'processed', 'pending'][group_id % 4 + 1] AS status, substr(sha256('exact|' || string_agg(lower(path), '|' ORDER BY path)), 1, 32) AS stable_key FROM mem GROUP BY group_id),
-items AS (SELECT group_id, file_id, path, CASE WHEN file_id = max(file_id) OVER (PARTITION BY group_id) THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action, CASE WHEN file_id = max(file_id) OVER (PARTITION BY group_id) THEN 1.0 ELSE -1.0 END AS similarity, quality, size_bytes, media_type FROM mem)"""
+items AS (SELECT group_id, file_id, path, CASE WHEN file_id = max(file_id) OVER (PARTITION BY group_id) THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action, CASE WHEN file_id = max(file_id) OVER (PARTITION BY group_id) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS similarity, quality, size_bytes, media_type FROM mem)"""
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), (640 + 4 * (F.col("vec_id") % 5)).cast("long").alias("width"), (480 + 4 * (F.col("vec_id") % 3)).cast("long").alias("height"), bits.alias("phash"))
 
 
-IMAGES = "images AS (SELECT vec_id AS image_id, (640 + 4 * (vec_id % 5))::BIGINT AS width, (480 + 4 * (vec_id % 3))::BIGINT AS height, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UHUGEINT << i::UHUGEINT) ELSE 0::UHUGEINT END))::UHUGEINT::UBIGINT AS phash FROM embeddings), cells AS (SELECT *, greatest(((width + 4) // 8) * 8, 8) AS cw, greatest(((height + 4) // 8) * 8, 8) AS ch FROM images)"
+IMAGES = "images AS (SELECT vec_id AS image_id, (640 + 4 * (vec_id % 5))::BIGINT AS width, (480 + 4 * (vec_id % 3))::BIGINT AS height, list_aggregate(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UHUGEINT << i::UHUGEINT)::UBIGINT ELSE 0::UBIGINT END), 'bit_or') AS phash FROM embeddings), cells AS (SELECT *, greatest(((width + 4) // 8) * 8, 8) AS cw, greatest(((height + 4) // 8) * 8, 8) AS ch FROM images)"
 EDGES = "edges AS (SELECT a.image_id AS src, b.image_id AS dst, 1 - bit_count(xor(a.phash, b.phash)) / 64.0::DOUBLE AS sim FROM cells a JOIN cells b ON a.image_id < b.image_id AND abs(a.cw - b.cw) <= 8 AND abs(a.ch - b.ch) <= 8 AND bit_count(xor(a.phash, b.phash)) <= 20)"
 COMPONENTS = "reach(id, c) AS (SELECT DISTINCT id, id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) UNION SELECT e.b, r.c FROM reach r JOIN (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) e ON r.id = e.a), parts AS (SELECT id, min(c) AS component FROM reach GROUP BY id)"
 
@@ -79,7 +79,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = e.withColumn("k", F.row_number().over(w)).where("k <= 8").withColumn("t0", F.first("ts").over(w))
-    frame = F.struct((F.col("k") - 1).cast("int").alias("idx"), F.floor((F.unix_micros("ts") - F.unix_micros("t0")) / 1000).cast("long").alias("ts_ms"), F.floor(F.col("value") * 1000003).cast("long").alias("hash"))
+    frame = F.struct((F.col("k") - 1).cast("int").alias("idx"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1000).cast("long").alias("ts_ms"), F.floor(F.col("value") * 1000003).cast("long").alias("hash"))
     return rows.groupBy(F.col("user_id").alias("video_id")).agg(F.array_sort(F.collect_list(frame)).alias("frames"))
 
 

@@ -61,7 +61,7 @@ def sampled_fingerprint(spark, sf_dir):
 
 @query("tiered_exact", f"""WITH {A.FILES}, k AS (SELECT file_id, size_bytes, sha256(content[1:16]) AS sampled, CASE WHEN file_id % 2 = 0 THEN sha256(content) END AS "full" FROM files),
 f AS (SELECT size_bytes, sampled, count(*) AS n, count("full") AS known, count(DISTINCT "full") AS kinds FROM k GROUP BY ALL HAVING count(*) > 1),
-m AS (SELECT file_id, size_bytes, sampled, CASE WHEN kinds >= 2 OR known = n THEN "full" ELSE sampled END AS digest, CASE WHEN kinds >= 2 OR known = n THEN 1.0 ELSE 0.99 END AS confidence FROM k JOIN f USING (size_bytes, sampled))
+m AS (SELECT file_id, size_bytes, sampled, CASE WHEN kinds >= 2 OR known = n THEN "full" ELSE sampled END AS digest, CASE WHEN kinds >= 2 OR known = n THEN 1.0::DOUBLE ELSE 0.99::DOUBLE END AS confidence FROM k JOIN f USING (size_bytes, sampled))
 SELECT file_id, group_id, confidence FROM m JOIN (SELECT size_bytes, sampled, digest, min(file_id) AS group_id FROM m WHERE digest IS NOT NULL GROUP BY ALL HAVING count(*) > 1) USING (size_bytes, sampled, digest)""")
 def tiered_exact(spark, sf_dir):
     rows = A.files(spark, sf_dir).select("file_id", "media_type", "size_bytes", F.sha2(F.substring("content", 1, 16), 256).alias("sampled"), F.when(F.col("file_id") % 2 == 0, F.sha2("content", 256)).alias("full"))
@@ -188,13 +188,13 @@ def _image_groups(spark, sf_dir):
 
 
 @query("image_groups", f"""WITH RECURSIVE {_GROUPED}
-SELECT q.group_id, q.file_id, CASE WHEN q1 - q2 <= 0.02 THEN 'review_required' WHEN file_id = winner THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action, CASE WHEN file_id = winner THEN 1.0 ELSE coalesce(sim, -1.0) END AS similarity
+SELECT q.group_id, q.file_id, CASE WHEN q1 - q2 <= 0.02 THEN 'review_required' WHEN file_id = winner THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action, CASE WHEN file_id = winner THEN 1.0::DOUBLE ELSE coalesce(sim, -1.0::DOUBLE) END AS similarity
 FROM q JOIN w USING (group_id) JOIN s USING (group_id) JOIN top USING (group_id) LEFT JOIN edges ON src = least(file_id, winner) AND dst = greatest(file_id, winner)""")
 def image_groups(spark, sf_dir):
     return _image_groups(spark, sf_dir)[1].select("group_id", "file_id", "action", "similarity")
 
 
-@query("group_confidence", f"WITH RECURSIVE {_GROUPED} SELECT group_id, CASE WHEN e >= n * (n - 1) / 2 THEN least(low, 1.0) ELSE 0.0 END AS confidence FROM w LEFT JOIN ins USING (group_id)")
+@query("group_confidence", f"WITH RECURSIVE {_GROUPED} SELECT group_id, CASE WHEN e >= n * (n - 1) / 2 THEN least(low, 1.0) ELSE 0.0::DOUBLE END AS confidence FROM w LEFT JOIN ins USING (group_id)")
 def group_confidence(spark, sf_dir):
     return _image_groups(spark, sf_dir)[0].select("group_id", "confidence")
 
@@ -238,13 +238,13 @@ def choose_actions(spark, sf_dir):
     return groups.choose_actions(rows).select("group_id", "file_id", "action")
 
 
-@query("image_quality", "SELECT p_partkey, round(least(1.0, least(0.70, ln(1 + p_size * 100 * p_size * 60 / 1e6) / ln(13) * 0.70) + CASE p_brand[-1] WHEN '1' THEN 0.10 WHEN '2' THEN 0.07 ELSE 0.03 END + least(0.10, ln(1 + p_retailprice * 100) / ln(1 + 1e7) * 0.10) + 0.10), 6) AS quality FROM part")
+@query("image_quality", "SELECT p_partkey, round(least(1.0, least(0.70, ln(1 + p_size * 100 * p_size * 60 / 1e6) / ln(13) * 0.70) + CASE p_brand[-1] WHEN '1' THEN 0.10::DOUBLE WHEN '2' THEN 0.07::DOUBLE ELSE 0.03::DOUBLE END + least(0.10, ln(1 + p_retailprice * 100) / ln(1 + 1e7) * 0.10) + 0.10), 6) AS quality FROM part")
 def image_quality(spark, sf_dir):
     kind = F.when(F.col("p_brand").endswith("1"), "png").when(F.col("p_brand").endswith("2"), "JPEG").otherwise("BMP")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(S.image_quality(F.col("p_size") * 100, F.col("p_size") * 60, kind, F.col("p_retailprice") * 100), 6).alias("quality"))
 
 
-@query("video_quality", "SELECT o_orderkey, round(least(1.0, least(0.55, ln(1 + (o_orderkey % 2000) * 720) / ln(1 + 3840 * 2160) * 0.55) + CASE WHEN o_totalprice > 100000 THEN least(0.20, ln(1 + o_totalprice) / ln(1 + 2e7) * 0.20) ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 0.10 ELSE 0.05 END + CASE WHEN o_custkey % 2 = 0 THEN 0.05 ELSE 0 END + 0.10), 6) AS quality FROM orders")
+@query("video_quality", "SELECT o_orderkey, round(least(1.0, least(0.55, ln(1 + (o_orderkey % 2000) * 720) / ln(1 + 3840 * 2160) * 0.55) + CASE WHEN o_totalprice > 100000 THEN least(0.20, ln(1 + o_totalprice) / ln(1 + 2e7) * 0.20) ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 0.10::DOUBLE ELSE 0.05::DOUBLE END + CASE WHEN o_custkey % 2 = 0 THEN 0.05::DOUBLE ELSE 0 END + 0.10), 6) AS quality FROM orders")
 def video_quality(spark, sf_dir):
     rate = F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(S.video_quality(F.col("o_orderkey") % 2000, F.lit(720), rate, F.when(F.col("o_orderstatus") == "F", "HEVC").otherwise("vp9"), F.col("o_custkey") % 2 == 0, "o_totalprice"), 6).alias("quality"))
@@ -284,7 +284,7 @@ def set_group_status(spark, sf_dir):
 
 
 @query("set_recommended", f"""WITH {A.STORED} SELECT group_id, file_id, CASE WHEN group_id % 2 = 1 THEN action WHEN file_id = group_id THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action,
-CASE WHEN group_id % 2 = 1 OR group_type = 'exact' THEN similarity WHEN file_id = group_id THEN 1.0 ELSE -1.0 END AS similarity FROM items JOIN groups USING (group_id)""")
+CASE WHEN group_id % 2 = 1 OR group_type = 'exact' THEN similarity WHEN file_id = group_id THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS similarity FROM items JOIN groups USING (group_id)""")
 def set_recommended(spark, sf_dir):
     g, i = A.stored(spark, sf_dir)
     return store.set_recommended(g, i, g.where("group_id % 2 = 0").select("group_id", F.col("group_id").alias("file_id")))[1].select("group_id", "file_id", "action", "similarity")
@@ -293,7 +293,7 @@ def set_recommended(spark, sf_dir):
 _LEFT = f"{A.STORED}, lft AS (SELECT * FROM items WHERE file_id % 4 <> 0), alive AS (SELECT group_id, arg_max(file_id, struct_pack(a := quality, b := -file_id)) AS best FROM lft GROUP BY group_id HAVING count(*) > 1), now AS (SELECT g.group_id, group_type, CASE WHEN recommended_file_id % 4 = 0 THEN best ELSE recommended_file_id END AS rec, recommended_file_id % 4 = 0 AS lost FROM groups g JOIN alive USING (group_id))"
 
 
-@query("prune_groups", f"WITH {_LEFT} SELECT group_id, file_id, CASE WHEN action = 'keep_recommended' AND file_id <> rec THEN 'cleanup_candidate' WHEN file_id = rec AND lost THEN 'keep_recommended' ELSE action END AS action, CASE WHEN NOT lost OR group_type = 'exact' THEN similarity WHEN file_id = rec THEN 1.0 ELSE -1.0 END AS similarity FROM lft JOIN now USING (group_id)")
+@query("prune_groups", f"WITH {_LEFT} SELECT group_id, file_id, CASE WHEN action = 'keep_recommended' AND file_id <> rec THEN 'cleanup_candidate' WHEN file_id = rec AND lost THEN 'keep_recommended' ELSE action END AS action, CASE WHEN NOT lost OR group_type = 'exact' THEN similarity WHEN file_id = rec THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS similarity FROM lft JOIN now USING (group_id)")
 def prune_groups(spark, sf_dir):
     g, i = A.stored(spark, sf_dir)
     return store.delete_paths(g, i, i.where("file_id % 4 = 0").select("path"))[1].select("group_id", "file_id", "action", "similarity")
@@ -364,7 +364,7 @@ def _fused(spark, sf_dir):
 _FUSED = f"""{A.MEMBERS}, held AS (SELECT * FROM (SELECT group_id // 100 AS sg, file_id, count(*) OVER (PARTITION BY group_id // 100) AS n FROM mem WHERE file_id = recommended) WHERE n > 1), sim AS (SELECT sg, min(file_id) AS w FROM held GROUP BY sg)"""
 
 
-@query("fuse_exact", f"""WITH {_FUSED} SELECT sg AS group_id, m.file_id, CASE WHEN m.file_id = w THEN 'keep_recommended' WHEN m.recommended = w THEN 'cleanup_candidate' ELSE 'review_required' END AS action, CASE WHEN m.recommended = w THEN 1.0 ELSE 0.9 END AS similarity
+@query("fuse_exact", f"""WITH {_FUSED} SELECT sg AS group_id, m.file_id, CASE WHEN m.file_id = w THEN 'keep_recommended' WHEN m.recommended = w THEN 'cleanup_candidate' ELSE 'review_required' END AS action, CASE WHEN m.recommended = w THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS similarity
 FROM held h JOIN sim USING (sg) JOIN mem m ON m.recommended = h.file_id""")
 def fuse_exact(spark, sf_dir):
     return _fused(spark, sf_dir)[1].select("group_id", "file_id", "action", "similarity")
