@@ -20,11 +20,13 @@ from .common import get_arrays, put_arrays
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
-PROBE_TERMS = 8
+PROBE_TERMS = 16
+#: Non-essential bounds sum to this share of what is needed at most; with less left open, most vectors fail the first test.
+SLACK = 0.25
 
 
 class Shard:
-    """Postings of one shard; search() gives a query's k best as (ids, scores)."""
+    """Postings of one shard, with the bounds of each."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, peak: float):
         order = np.argsort(ids, kind="stable")
@@ -34,37 +36,50 @@ class Shard:
         self.postings = np.ascontiguousarray(vectors[order].T.astype(self.kind))
         self.high, self.low = self.postings.max(axis=1), self.postings.min(axis=1)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n = min(len(query), len(self.high))
-        w = query[:n].astype(self.kind)
+    def search(self, owns: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best for each query; its own id is left out.
+
+        The essential postings of all queries are traversed together, a block of
+        rows at a time; each query then probes its other terms by itself.
+        """
+        n = min(queries.shape[1], len(self.high))
+        w = queries[:, :n].astype(self.kind)
         a, b = w * self.high[:n], w * self.low[:n]
-        base, bound = np.minimum(a, b).sum(), np.abs(a - b)
-        floor = np.minimum(a, b)
-        order = np.argsort(bound, kind="stable")
-        sums = np.cumsum(bound[order])
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0, self.kind)
-        skip = self.ids == own
+        floor, bound = np.minimum(a, b), np.abs(a - b)
+        base, order = floor.sum(axis=1), np.argsort(bound, axis=1, kind="stable")
+        sums = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+        rank = np.argsort(order, axis=1)
+        best = [(np.zeros(0, np.int64), np.zeros(0, self.kind)) for _ in range(len(w))]
         for lo in range(0, len(self.ids), BLOCK_ROWS):
-            rows = np.arange(lo, min(lo + BLOCK_ROWS, len(self.ids)))
-            rows = rows[~skip[lo : lo + BLOCK_ROWS]]
-            cut = 0
-            if len(best_s) >= k:
-                cut = int(np.searchsorted(sums, best_s[-1] - base, side="left"))  # bounds of order[:cut] sum to less than is needed
-            essential = order[cut:]
-            partial = w[essential] @ self.postings[essential][:, lo : lo + BLOCK_ROWS] - floor[essential].sum()
-            partial = partial[~skip[lo : lo + BLOCK_ROWS]]
-            while cut:
-                live = partial + sums[cut - 1] >= best_s[-1] - base
-                rows, partial = rows[live], partial[live]
-                if not len(rows):
-                    break
-                step = order[max(0, cut - PROBE_TERMS) : cut]
-                partial = partial + w[step] @ self.postings[np.ix_(step, rows)] - floor[step].sum()
-                cut = max(0, cut - PROBE_TERMS)
-            best_i, best_s = np.r_[best_i, rows], np.r_[best_s, partial + base]
-            keep = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[keep], best_s[keep]
-        return self.ids[best_i], best_s.astype(np.int64)
+            ids = self.ids[lo : lo + BLOCK_ROWS]
+            need = [s[-1] - base[q] if len(s) >= k else None for q, (_, s) in enumerate(best)]
+            # bounds of the first `cut` terms of a query's order sum to less than it needs
+            cuts = np.array([0 if x is None else np.searchsorted(sums[q], SLACK * x, side="left") for q, x in enumerate(need)])
+            essential = rank >= cuts[:, None]
+            partial = np.where(essential, w, 0) @ self.postings[:n, lo : lo + BLOCK_ROWS] - np.where(essential, floor, 0).sum(axis=1)[:, None]
+            for q, own in enumerate(owns):
+                cut, found = int(cuts[q]), partial[q]
+                if need[q] is None:
+                    rows = np.arange(len(ids))
+                else:
+                    rows = np.flatnonzero(found + (sums[q, cut - 1] if cut else 0) >= need[q])
+                    found = found[rows]
+                if (mine := ids[rows] == own).any():
+                    rows, found = rows[~mine], found[~mine]
+                while cut and len(rows):
+                    step = order[q, max(0, cut - PROBE_TERMS) : cut]
+                    found = found + w[q, step] @ self.postings[np.ix_(step, rows + lo)] - floor[q, step].sum()
+                    cut = max(0, cut - PROBE_TERMS)
+                    live = found + (sums[q, cut - 1] if cut else 0) >= need[q]
+                    rows, found = rows[live], found[live]
+                if len(rows):
+                    i, s = np.r_[best[q][0], rows + lo], np.r_[best[q][1], found + base[q]]
+                    if len(s) > 4 * k:
+                        enough = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        i, s = i[enough], s[enough]
+                    keep = np.lexsort((i, -s))[:k]
+                    best[q] = i[keep], s[keep]
+        return [(self.ids[i], s.astype(np.int64)) for i, s in best]
 
 
 def _packed(rows: DataFrame, per: int) -> DataFrame:
@@ -126,8 +141,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, shard_rows: int =
             matrix = np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, _, m in have])
             shard = Shard(ids, matrix, max(float(np.abs(m).max(initial=0)) for _, _, m in ask))
             for qs, keys, m in ask:
-                for q, key, row in zip(qs.tolist(), keys.tolist(), m, strict=True):
-                    i, s = shard.search(q, row, k)
+                for q, key, (i, s) in zip(qs.tolist(), keys.tolist(), shard.search(qs, m, k), strict=True):
                     out[0].append(np.full(len(i), q))
                     out[1].append(np.full(len(i), key))
                     out[2].append(i)
