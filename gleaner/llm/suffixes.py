@@ -370,12 +370,13 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<
 
 
 def _cleaned(part: Part, repeats: pa.Table) -> pa.Table:
-    delta = np.zeros(len(part.data) + 1, np.int64)
+    depth = np.zeros(len(part.data) + 1, np.int32)
     for x in repeats["blob"].to_pylist():
         lo, hi = get_arrays(x)
-        np.add.at(delta, lo, 1)
-        np.add.at(delta, hi + part.least, -1)
-    gone = np.cumsum(delta[:-1]) > 0
+        np.add.at(depth, lo, 1)
+        np.add.at(depth, hi + part.least, -1)
+    gone = np.cumsum(depth, out=depth)[:-1] > 0
+    del depth
     cols = [[] for _ in range(6)]
     for b, e in zip(part.begins.tolist(), part.ends.tolist(), strict=True):
         own = gone[b:e]
@@ -410,7 +411,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False,
     parts = partitions(spark)
     k = max(1, least // 4)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", *RESULT_NAMES)) if columns else ()
-    blocks = document_blocks(docs, parts, others)
+    blocks = document_blocks(docs, 2 * parts, others)  # a task holds one of its groups at a time
     kinds = to_arrow_schema(docs.select(*others).schema)
 
     def ask(group: pa.Table) -> pa.Table:
