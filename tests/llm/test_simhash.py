@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from gleaner.llm.simhash import ball_links, drop_near_duplicates, simhash_components
+from gleaner.llm.simhash import ball_links, drop_near_duplicates, near_duplicates, simhash_components
 from gleaner.operators.components import connected_components
 
 
@@ -94,3 +94,38 @@ def test_near_duplicates_by_verified_links(spark):
     assert None in kept
     assert len([x for x in kept if x is not None and x < 5000]) <= 13
     assert {group[x] for x in kept if x is not None and x < 5000} == set(group.values())
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def near(spark, rows):
+    return {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def edited(rng, words, like):
+    """A pair of texts whose similarity is in the range: one block added or cut, or words changed."""
+    while True:
+        n = rng.randint(150, 900)
+        a = rng.choices(words, k=n)
+        b = list(a)
+        if rng.random() < 0.6:
+            k, at = int(n * rng.uniform(0.1, 0.3)), rng.choice([0, n // 2, n])
+            b = a[:at] + rng.choices(words, k=k) + a[at:] if rng.random() < 0.5 else a[k:]
+        else:
+            for at in rng.sample(range(n), max(1, int(n * rng.uniform(0.015, 0.07)))):
+                b[at] = rng.choice(words)
+        a, b = " ".join(a), " ".join(b)
+        if like[0] <= jaccard(a, b) < like[1]:
+            return a, b
+
+
+def test_pairs_over_the_threshold_are_found(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(5000)]
+    pairs = [edited(rng, words, (0.8, 0.85)) for _ in range(400)]
+    found = near(spark, [(2 * k + i, p[i]) for k, p in enumerate(pairs) for i in range(2)])
+    linked = sum(found.get(2 * k + 1) == 2 * k for k in range(400))
+    assert linked >= 396 and all(v == k - k % 2 for k, v in found.items())
