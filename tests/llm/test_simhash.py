@@ -129,3 +129,10 @@ def test_pairs_over_the_threshold_are_found(spark):
     found = near(spark, [(2 * k + i, p[i]) for k, p in enumerate(pairs) for i in range(2)])
     linked = sum(found.get(2 * k + 1) == 2 * k for k in range(400))
     assert linked >= 396 and all(v == k - k % 2 for k, v in found.items())
+
+
+def test_pairs_under_the_threshold_are_not_linked(spark):
+    rng = random.Random(22)
+    words = [f"w{k}" for k in range(5000)]
+    pairs = [edited(rng, words, (0.7, 0.8)) for _ in range(200)]
+    assert near(spark, [(2 * k + i, p[i]) for k, p in enumerate(pairs) for i in range(2)]) == {}
