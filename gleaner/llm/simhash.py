@@ -111,16 +111,12 @@ def _gather(parts):
 class Points:
     """The points that one task has been told of; close() verifies links between them."""
 
-    def __init__(self, ids, fp, sketch, radius: int, differing: int | None):
+    def __init__(self, ids, fp, radius: int):
         self.ids, at = np.unique(ids, return_index=True)
-        self.fp, self.sketch = fp[at], [s[at] for s in sketch]
-        self.radius, self.differing = radius, differing
+        self.fp, self.radius = fp[at], radius
 
     def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(self.fp[a] ^ self.fp[b]) <= self.radius
-        if self.differing is not None:
-            ok &= sum(np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in self.sketch) <= self.differing
-        return ok
+        return np.bitwise_count(self.fp[a] ^ self.fp[b]) <= self.radius
 
 
 class Forest:
@@ -186,28 +182,24 @@ def _meet(tag, used, value, low: int, near: int, far: int, limit: int, points: P
         tag, used, value = tag[rest], used[rest], value[rest]
 
 
-def ball_links(points: DataFrame, radius: int = 3, limit: int = 1 << 20, differing: int | None = None) -> DataFrame:
+def ball_links(points: DataFrame, radius: int = 3, limit: int = 1 << 20) -> DataFrame:
     """(src, dst): links that connect whatever lies within `radius` bits.
 
     points: (fp long, doc_id long), distinct doc_ids. Every row is a real link
     between two ids; paths over them reach exactly what paths over all links within
     the radius reach. At a meeting variant all are linked to one member that is
     within the smaller half, so no pairs within a group are listed.
-
-    With `differing`, points also has s0 and s1 (long), and a link is one only if
-    these 128 bits differ in at most so many places.
     """
     spark = points.sparkSession
     near, far = radius // 2, radius - radius // 2
     n = points.count()
     t = min(28, max(4, (max(1, n) // 64).bit_length()))
     parts = partitions(spark)
-    extra = ["s0", "s1"] if differing is not None else []
 
     def send(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
-                fp, ids, *sketch = (b[c].slice(lo, 4096).to_numpy(zero_copy_only=False) for c in ("fp", "doc_id", *extra))
+                fp, ids = (b[c].slice(lo, 4096).to_numpy(zero_copy_only=False) for c in ("fp", "doc_id"))
                 fp = fp.view(np.uint64)
                 tag, used, value = _gather(_messages(np.arange(len(fp)), np.zeros(len(fp), np.uint8), fp, range(64 - t, 64), far))
                 r = ((value >> np.uint64(64 - t)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
@@ -218,7 +210,7 @@ def ball_links(points: DataFrame, radius: int = 3, limit: int = 1 << 20, differi
                     if cuts[k] < cuts[k + 1]:
                         i = order[cuts[k] : cuts[k + 1]]
                         own, at = np.unique(tag[i], return_inverse=True)
-                        rows.append((k, put_arrays(at.astype(np.uint16), used[i], value[i] >> np.uint64(64 - t), ids[own], fp[own], *(s[own].view(np.uint64) for s in sketch))))
+                        rows.append((k, put_arrays(at.astype(np.uint16), used[i], value[i] >> np.uint64(64 - t), ids[own], fp[own])))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["r", "blob"])
 
     def receive(batches):
@@ -227,7 +219,7 @@ def ball_links(points: DataFrame, radius: int = 3, limit: int = 1 << 20, differi
             got += [get_arrays(x.as_py()) for x in b["blob"]]
         if not got:
             return
-        held = Points(np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got]), [np.concatenate([g[5 + k] for g in got]) for k in range(len(extra))], radius, differing)
+        held = Points(np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got]), radius)
         tag = np.concatenate([np.searchsorted(held.ids, g[3])[g[0]] for g in got])
         used, top = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
         order = np.argsort(top, kind="stable")
@@ -240,7 +232,7 @@ def ball_links(points: DataFrame, radius: int = 3, limit: int = 1 << 20, differi
                 _meet(tag[lo:hi], used[lo:hi], value[lo:hi], 64 - t, near, far, limit, held, forest, links)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["src", "dst"])
 
-    return points.select("fp", "doc_id", *extra).repartition(parts, "doc_id").mapInArrow(send, "r int, blob binary").repartition(parts, "r").select("blob").mapInArrow(receive, "src long, dst long")
+    return points.select("fp", "doc_id").repartition(parts, "doc_id").mapInArrow(send, "r int, blob binary").repartition(parts, "r").select("blob").mapInArrow(receive, "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -390,9 +382,10 @@ def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float) -> D
     some = members.select("h").distinct()
     nodes = materialise(marked.join(some, "h", "left_semi").groupBy("h").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "s0", "s1"))), "nodes")
     texts = materialise(marked.select("h", "doc_id", "z").join(nodes.select("h", "doc_id"), ["h", "doc_id"]).groupBy("h").agg(F.min("z").alias("z")), "texts")
-    tested = None
+    now = tested = None
     for step in range(PIVOTS + 1):
-        now = materialise(_components(links, nodes), "nodes")
+        if now is None:
+            now = materialise(_components(links, nodes), "nodes")
         at = members.join(now.select("h", "c"), "h")
         mixed = [F.min("c").alias("lo"), F.max("c").alias("hi")]
         if step < PIVOTS:
@@ -411,7 +404,7 @@ def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float) -> D
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(materialise(_similar(pairs, texts, similarity), "links"))
+        links, now = links.unionByName(materialise(_similar(pairs, texts, similarity), "links")), None
     return links
 
 

@@ -136,3 +136,20 @@ def test_pairs_under_the_threshold_are_not_linked(spark):
     words = [f"w{k}" for k in range(5000)]
     pairs = [edited(rng, words, (0.7, 0.8)) for _ in range(200)]
     assert near(spark, [(2 * k + i, p[i]) for k, p in enumerate(pairs) for i in range(2)]) == {}
+
+
+def test_chains_over_one_set_of_words_stay_whole(spark):
+    rng = random.Random(23)
+    rows, whole = [], {}
+    for g in range(40):
+        lines = [" ".join(f"g{g}w{k}x{j}" for j in range(20)) for k in range(30)]
+        chain = [" ".join(lines)]
+        for _ in range(10):  # two lines swapped at a time, so the ends are less similar than 0.8
+            i, j = rng.sample(range(30), 2)
+            lines[i], lines[j] = lines[j], lines[i]
+            chain.append(" ".join(lines))
+        assert all(jaccard(x, y) >= 0.8 for x, y in zip(chain, chain[1:], strict=False))
+        ids = rng.sample(range(100 * g, 100 * g + 99), len(chain))
+        rows += list(zip(ids, chain, strict=True))
+        whole |= dict.fromkeys(ids, min(ids))
+    assert near(spark, rows) == whole
