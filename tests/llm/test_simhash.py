@@ -153,3 +153,9 @@ def test_chains_over_one_set_of_words_stay_whole(spark):
         rows += list(zip(ids, chain, strict=True))
         whole |= dict.fromkeys(ids, min(ids))
     assert near(spark, rows) == whole
+
+
+def test_texts_that_share_a_doc_id(spark):
+    rng = random.Random(24)
+    a, b = (" ".join(rng.choices([f"w{k}" for k in range(5000)], k=100)) for _ in range(2))
+    assert near(spark, [(1, a), (1, b), (2, a), (3, b), (4, "other words")]) == {1: 1, 2: 1, 3: 1}
