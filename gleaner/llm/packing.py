@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -39,7 +40,8 @@ class Encoder:
 
     Between two characters that are no white space, a single space begins a new
     pre-token, so what lies between such spaces is encoded by itself and memoised.
-    Texts in which white space meets a space are encoded whole.
+    Texts in which white space meets a space are encoded whole. The file's added
+    tokens are cut out of a text first, as the tokenizer does, and become their ids.
     """
 
     def __init__(self, path: str):
@@ -47,10 +49,13 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            held = json.load(f)
+        vocab = held["model"]["vocab"]
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in held["added_tokens"]}
+        self.cutter = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         plain = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        ranks = {bytes(plain[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
+        ranks = {bytes(plain[c] for c in token): i for token, i in vocab.items() if token not in self.added}
         self.core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memo: dict[str, bytes] = {}
 
@@ -58,6 +63,12 @@ class Encoder:
         return self.core.encode_to_numpy(text).astype("<u4").tobytes() if text else b""
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return b"".join(self.added.get(x) or self.plain(x) for x in self.cutter.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text in which added tokens, if any, are ordinary text."""
         words = text.split(" ")
         memo = self.memo
         if len(memo) > MEMO_WORDS:

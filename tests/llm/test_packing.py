@@ -7,12 +7,11 @@ from tokenizers import Tokenizer
 
 from gleaner.llm.packing import Encoder, cut, default_tokenizer, pack, plan
 
-TEXTS = [None, "", " ", "a", "Hello  world", "x \n y", "It's 12,5 o'clock\n\nNew  line ", "é ñ ß ü　漢字 🙂", "trail \t", "<|endoftext|> is text", "many words " * 900, "\n", "a\n b", "don't I'll\r\n  ok"]
+TEXTS = [None, "", " ", "a", "Hello  world", "x \n y", "It's 12,5 o'clock\n\nNew  line ", "é ñ ß ü　漢字 🙂", "trail \t", "<|endoftext|> is a token", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>x ", "<|endoftext| >", "a  <|endoftext|>  b", "many words " * 900, "\n", "a\n b", "don't I'll\r\n  ok"]
 
 
 def test_ids_equal_the_tokenizer(spark):
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     code = Encoder(default_tokenizer())
     rng = random.Random(3)
     fuzz = ["".join(rng.choice(" \n\tab'sé1.,- ") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
@@ -25,7 +24,6 @@ def test_pack_is_whole_and_gapless(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as length", "'x' as salt")
     got = pack(docs, capacity=128).collect()
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     want = sorted((str(i), k, s, n, ids[s : s + n]) for i, x in rows for ids in [t.encode(x or "", add_special_tokens=False).ids + [2]] for k, (s, n) in enumerate(cut(len(ids), 128)))
     assert sorted((str(r.doc_id), r.piece, r.start, r["length"], list(r.ids)) for r in got) == want
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
