@@ -1,10 +1,11 @@
 """Chat formatting of typed content parts, in DataFrame functions only.
 
 A turn becomes <|turn|>ROLE<|says|>CONTENT<|end|>. CONTENT is what a visitor
-makes of the turn's parts, in order: a text part is its escaped text, and each
-image, audio or document part a placeholder, whose reference and expanded token
-count are recorded as an attachment. The k-th placeholder of the output is the
-k-th attachment.
+makes of the turn's parts, in order: text parts that follow each other are joined
+and then escaped, so that no control string can be put together from several, and
+each image, audio or document part is a placeholder, whose reference and expanded
+token count are recorded as an attachment. The k-th placeholder of the output is
+the k-th attachment.
 
 Control strings inside roles and texts get a word joiner (U+2060) behind their
 first character, and a word joiner of the text itself is doubled; unescape()
@@ -38,8 +39,17 @@ def _none(x: Column, default) -> Column:
     return F.coalesce(x, F.lit(default))
 
 
-def _visit_text(p: Column) -> Column:
-    return F.when(_none(p["kind"], "text") == "text", escape(_none(p["text"], ""))).otherwise(F.concat(F.lit("<|"), F.when(p["kind"].isin("image", "audio"), p["kind"]).otherwise(F.lit("document")), F.lit("|>")))
+def _visit_content(parts: Column) -> Column:
+    """The parts as one string; `run` is the text since the last placeholder, not escaped yet."""
+
+    def visit(a: Column, p: Column) -> Column:
+        sign = F.concat(F.lit("<|"), F.when(p["kind"].isin("image", "audio"), p["kind"]).otherwise(F.lit("document")), F.lit("|>"))
+        is_text = _none(p["kind"], "text") == "text"
+        done = F.when(is_text, a["done"]).otherwise(F.concat(a["done"], escape(a["run"]), sign))
+        run = F.when(is_text, F.concat(a["run"], _none(p["text"], ""))).otherwise(F.lit(""))
+        return F.struct(done.alias("done"), run.alias("run"))
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("done"), F.lit("").alias("run")), visit, lambda a: F.concat(a["done"], escape(a["run"])))
 
 
 def _visit_tokens(p: Column) -> Column:
@@ -68,7 +78,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.struct(
             F.col("turn").alias("turn"),
             _none(F.col("role"), "").alias("role"),
-            F.array_join(F.transform(parts, _visit_text), "").alias("content"),
+            _visit_content(parts).alias("content"),
             F.transform(F.filter(parts, lambda p: _none(p["kind"], "text") != "text"), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), _visit_tokens(p).alias("n_tokens"))).alias("files"),
         ).alias("t"),
     )
