@@ -32,11 +32,24 @@ HIDDEN = frozenset("head script style noscript template svg math iframe object c
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul textarea label".split())
 CLOSES_P = BLOCK - frozenset("html body button label textarea legend".split()) | {"hr"}
-#: An opened tag ends these open ones, up to the tag's own container.
-IMPLIED = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("tbody thead tfoot tr td th", ("table",)), "thead": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",))}
-IMPLIED = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in IMPLIED.items()}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
-ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|data-main|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What may stand in a head; any other tag, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head html".split())
+#: An opened tag ends the nearest open one of these kinds, the outer kind first, up to the tag's own container.
+CELLS, ROWS, BODIES = frozenset(("td", "th")), frozenset(("tr",)), frozenset(("tbody", "thead", "tfoot"))
+IMPLIED = {
+    **{t: ((frozenset(ends.split()),), frozenset(within.split())) for t, ends, within in (("li", "li", "ul ol menu dir td th table"), ("dt", "dt dd", "dl td th table"), ("dd", "dt dd", "dl td th table"))},
+    **{t: ((CELLS,), frozenset(("tr", "table"))) for t in CELLS},
+    "tr": ((ROWS, CELLS), BODIES | {"table"}),
+    **{t: ((BODIES, ROWS, CELLS), frozenset(("table",))) for t in BODIES},
+}
+#: An end tag closes nothing beyond these; those of a table's parts, nothing beyond the table.
+TABLE_PARTS = CELLS | ROWS | BODIES | {"table"}
+FENCE, TABLE_FENCE = CELLS | {"table"}, frozenset(("table",))
+#: A quote opens a value only behind an equals sign.
+VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?=[^a-zA-Z])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE})?)?)*+)>?", re.S)
+ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?)?")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 #: Groups of attribute tokens, each one feature of a node.
@@ -54,42 +67,109 @@ INPUTS = frozenset(("input", "select", "textarea", "button"))
 
 
 class Node:
-    __slots__ = ("tag", "up", "depth", "tokens", "above", "in_bad", "in_good", "index", "kids", "text", "links", "nodes", "paras", "items", "inputs", "own", "own_links", "marks", "begin", "label", "hidden")
+    __slots__ = ("tag", "up", "depth", "tokens", "above", "in_bad", "in_good", "index", "kids", "text", "links", "nodes", "paras", "items", "inputs", "own", "own_links", "marks", "begin", "label")
 
     def __init__(self, tag: str, up: int, depth: int):
         self.tag, self.up, self.depth = tag, up, depth
         self.tokens = self.above = self.in_bad = self.in_good = self.index = self.kids = 0
         self.text = self.links = self.nodes = self.paras = self.items = self.inputs = self.own = self.own_links = self.marks = self.begin = 0
-        self.label, self.hidden = 0, False
+        self.label = 0
 
 
-@functools.lru_cache(maxsize=50_000)
-def _attributes(raw: str) -> tuple[int, int | None, bool]:
+def _read_attributes(raw: str) -> tuple[int, int | None, bool]:
     """(groups of tokens as bits, training label, hidden) of a start tag's attributes."""
-    bits, label, hidden = 0, None, False
+    bits, label, hidden, seen = 0, None, False, set()
     for m in ATTR.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in seen:  # of equal names the first counts
+            continue
+        seen.add(name)
         if name == "data-main":
             label = int(value or 0)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             hidden = True
-        elif name != "style" and name != "aria-hidden":
+        elif name in ("class", "id", "role"):
             for w in SPLIT.findall(value):
                 if (g := GROUP_OF.get(w.lower())) is not None:
                     bits |= 1 << g
     return bits, label, hidden
 
 
+_short_attributes = functools.lru_cache(maxsize=20_000)(_read_attributes)
+
+
+def _attributes(raw: str) -> tuple[int, int | None, bool]:
+    return _short_attributes(raw) if len(raw) < 200 else _read_attributes(raw)
+
+
+class Stack:
+    """The open tags. A tag is (name, number of its nearest block's node).
+
+    Blocks have frames of their own, and each frame counts the other tags that are
+    open in it, so no search walks over tags that it doesn't close; a search among
+    frames that fails is remembered in those it passed.
+    """
+
+    def __init__(self):
+        self.tags: list[tuple[str, int]] = [("body", 0)]
+        self.frames: list[tuple[int, str, set]] = [(0, "body", set())]
+        self.counts: list[dict[str, int]] = [{}]
+
+    def push(self, tag: str, node: int) -> None:
+        if tag in BLOCK:
+            self.frames.append((len(self.tags), tag, set()))
+            self.counts.append({})
+        else:
+            self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
+        self.tags.append((tag, node))
+
+    def pop(self) -> str:
+        tag = self.tags.pop()[0]
+        if tag in BLOCK:
+            self.frames.pop()
+            self.counts.pop()
+        else:
+            self.counts[-1][tag] -= 1
+        return tag
+
+    def nearest(self, tags: frozenset, fence: frozenset) -> int | None:
+        """Place of the nearest open block of these tags, none beyond a fence."""
+        key = (tags, fence)
+        for k in range(len(self.frames) - 1, 0, -1):
+            at, tag, failed = self.frames[k]
+            if tag in tags:
+                return at
+            if tag in fence or key in failed:
+                break
+        else:
+            k = 0
+        for f in self.frames[k + 1 :]:
+            f[2].add(key)
+        return None
+
+    def inline(self, tag: str) -> int | None:
+        """Place of the nearest open tag that is no block, none beyond the nearest block."""
+        if not self.counts[-1].get(tag):
+            return None
+        k = len(self.tags) - 1
+        while self.tags[k][0] != tag:
+            k -= 1
+        return k
+
+
+ONE = {t: frozenset((t,)) for t in BLOCK}
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """(nodes in document order, text blocks as (owner node, text))."""
+    """(nodes in document order, text blocks as (owner node, text)); time grows with the page's length."""
     root = Node("body", -1, 0)
     nodes, blocks = [root], []
-    open_: list[tuple[str, int]] = [("body", 0)]  # tag, node of the nearest block
+    stack = Stack()
+    open_ = stack.tags
     buffer: list[str] = []
     hide = links = 0
     size = 0
-    at = 0
-    lower = None
+    head = None  # its place in the stack
 
     def flush() -> None:
         nonlocal size
@@ -101,6 +181,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 size += len(text)
 
     def words(raw: str) -> None:
+        if head is not None and len(open_) - 1 == head and not raw.isspace():
+            close(head)
         if hide or not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
@@ -114,16 +196,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.own_links += n
 
     def close(depth: int) -> None:
-        nonlocal hide, links
+        nonlocal hide, links, head
         while len(open_) > depth:
             tag = open_[-1][0]
             if tag in BLOCK:
                 flush()
-            open_.pop()
+            stack.pop()
             if tag in HIDDEN or tag == "!hidden":
                 hide -= 1
             elif tag == "a":
                 links -= 1
+        if head is not None and len(open_) <= head:
+            head = None
 
     pos, end = 0, len(page)
     search = TOKEN.search
@@ -139,35 +223,26 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name is None:
             continue
         tag = name.lower()
-        if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == tag or open_[k][0] == "!hidden" and k > 0 and open_[k - 1][0] == tag and k == len(open_) - 1:
-                    close(k if open_[k][0] == tag else k - 1)
-                    break
-                if tag not in BLOCK and open_[k][0] in BLOCK:
-                    break
+        if m[1] and tag != "br":
+            at = stack.nearest(ONE[tag], TABLE_FENCE if tag in TABLE_PARTS else FENCE) if tag in BLOCK else stack.inline(tag)
+            if at is not None:
+                close(at)
+            elif tag == "p":
+                flush()
             continue
+        if head is not None and len(open_) - 1 == head and tag not in IN_HEAD:
+            close(head)
         if tag in ("html", "body"):
-            bits, label, _ = _attributes(m[3])
-            root.tokens |= bits
+            root.tokens |= _attributes(m[3])[0]
             continue
-        if tag in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == "p":
-                    close(k)
-                    break
-                if open_[k][0] in BLOCK:
-                    break
+        if tag in CLOSES_P and stack.frames[-1][1] == "p":
+            close(stack.frames[-1][0])
         if tag in IMPLIED:
-            ends, within = IMPLIED[tag]
-            k = len(open_) - 1
-            low = None
-            while k > 0 and open_[k][0] not in within:
-                if open_[k][0] in ends:
-                    low = k
-                k -= 1
-            if low is not None:
-                close(low)
+            kinds, within = IMPLIED[tag]
+            for kind in kinds:
+                if (at := stack.nearest(kind, within)) is not None:
+                    close(at)
+                    break
         top = nodes[open_[-1][1]]
         if tag in VOID:
             if tag == "input":
@@ -180,23 +255,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in INPUTS:
             top.inputs += 1
         if tag in RAW:
-            lower = page.lower() if lower is None or len(lower) != len(page) else lower
-            stop = lower.find(f"</{tag}", pos)
-            stop = end if stop < 0 else stop
             if tag == "textarea":
                 top.inputs += 1
-            pos = page.find(">", stop)
+            found = RAW_END[tag].search(page, pos)
+            pos = page.find(">", found.end()) if found else -1
             pos = end if pos < 0 else pos + 1
             continue
         if tag in HIDDEN:
-            open_.append((tag, open_[-1][1]))
+            if tag == "head":
+                if head is not None or len(nodes) > 1:
+                    continue
+                head = len(open_)
+            stack.push(tag, open_[-1][1])
             hide += 1
             continue
         if tag == "a":
             links += 1
         top.nodes += 1
         if tag not in BLOCK:
-            open_.append((tag, open_[-1][1]))
+            stack.push(tag, open_[-1][1])
             continue
         flush()
         bits, label, hidden = _attributes(m[3])
@@ -207,12 +284,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         node.label = top.label if label is None else label
         node.index, node.begin = top.kids, size
         top.kids += 1
-        open_.append((tag, len(nodes)))
+        stack.push(tag, len(nodes))
         nodes.append(node)
         if hidden:
-            open_.append(("!hidden", len(nodes) - 1))
+            stack.push("!hidden", len(nodes) - 1)
             hide += 1
-    close(0 if not open_ else 1)
+    close(1)
     flush()
     for n in nodes:
         n.text, n.links = n.own, n.own_links
