@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as p
 import pytest
 
@@ -5,8 +7,6 @@ import pytest
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """The stages of a small corpus, each written and read again."""
-    import random
-
     rng = random.Random(12)
     words = [f"word{k}" for k in range(3000)]
     say = lambda n: " ".join(rng.choices(words, k=n))
@@ -48,3 +48,24 @@ def test_run_equals_the_stages_on_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_columns_pass_through(spark, tmp_path):
+    """Columns that bear the operators' own names keep their values; null ids and repeated rows pass every stage."""
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(2000)]
+    rows = [(k if k else None, " ".join(rng.choices(words, k=60)), f"mine{k}", [f"i{k}"], f"kept{k}", k) for k in range(20)]
+    rows += [rows[7], rows[7], (None, None, None, None, None, None), (30, "", "x", [], "y", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, toxicity string, items array<string>, kept string, `own 3` long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b c d e f g h i j k")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {r[0]: (r[2], r[3], r[4], r[5]) for r in rows if r[1]}
+    for k, (_, stage) in enumerate(p.STAGES[:-1]):
+        columns = docs.columns
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert docs.columns == columns
+        for r in docs.where("length(text) > 0").collect():
+            assert (r.toxicity, r["items"], r.kept, r["own 3"]) == want[r.doc_id]
+    assert p.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 0
