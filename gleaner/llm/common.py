@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES, HELD_BYTES = 4 << 20, 48 << 20
 
 
 def put_arrays(*arrays: np.ndarray, level: int = 1) -> bytes:
@@ -57,32 +57,50 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(words: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text whose words are parted by spaces, in slices of about this size that cut no word."""
+    lo = 0
+    while lo < len(words):
+        hi = words.find(b" ", lo + size)
+        hi = len(words) if hi < 0 else hi
+        yield words[lo:hi]
+        lo = hi
+
+
 def document_blocks(docs: DataFrame, parts: int, others: tuple[str, ...] = ()) -> DataFrame:
     """(d, ids, texts, rest): documents dealt into `parts` by doc_id, many to a row.
 
     ids is a blob of (doc_id, is_null), texts one of UTF-8 texts, and rest one of
     the row's values in the columns `others`. Rows of one doc_id share a part. A
-    task holds at most FLUSH_BYTES for each part.
+    task holds at most FLUSH_BYTES for a part, and HELD_BYTES for all.
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        total = 0
 
         def flush(d: int) -> pa.RecordBatch:
-            ids, nulls, texts, _, rest = held.pop(d)
+            nonlocal total
+            ids, nulls, texts, size, rest = held.pop(d)
+            total -= size
             return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([put_arrays(np.array(ids, np.int64), np.array(nulls, np.uint8))], pa.binary()), pa.array([put_strings(texts, level=3)], pa.binary()), pa.array([put_strings(rest)], pa.binary())], ["d", "ids", "texts", "rest"])
 
         for batch in batches:
             more = list(zip(*(batch[c].to_pylist() for c in others), strict=True)) if others else [()] * batch.num_rows
             for d, i, t, o in zip(batch["d"].to_pylist(), batch["doc_id"].to_pylist(), utf8(batch["text"]), more, strict=True):
                 x = held.setdefault(d, [[], [], [], 0, []])
-                x[4].append(pickle.dumps(o) if others else b"")
+                more_of = pickle.dumps(o) if others else b""
+                x[4].append(more_of)
                 x[0].append(i if i is not None else 0)
                 x[1].append(i is None)
                 x[2].append(t)
-                x[3] += len(t) + 16
+                x[3] += (size := len(t) + len(more_of) + 150)
+                total += size
                 if x[3] >= FLUSH_BYTES:
                     yield flush(d)
+                elif total >= HELD_BYTES:
+                    for one in list(held):
+                        yield flush(one)
         for d in list(held):
             yield flush(d)
 
