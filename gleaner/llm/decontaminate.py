@@ -6,9 +6,10 @@ whether a window (ten words of an item, or a whole shorter item) ends there.
 Spans of hit words are removed; documents of which too much is hit go.
 
 The automaton is built from the test items alone. They are split by word count
-into shards of at most SHARD_WORDS words, so that what is broadcast has a fixed
-bound at any size of the test set; a document streams through one shard after
-another and the hits are united.
+into shards of about SHARD_WORDS words (some 400 bytes of automaton a word), and
+the documents stream through one shard after another: between two shards they are
+a table in the shared folder with the hits so far. So the driver, a broadcast and
+a worker hold one shard at a time, at any size of the test set.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import table
+from ..storage import materialise, table
 from .common import utf8
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 400_000
 #: Lower-cases A-Z; bytes 00-2F, 3A-60 and 7B-7F are no part of a word.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else 32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -189,37 +190,56 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """docs' columns, then n_words, n_hit, items (sorted array), coverage, rejected[, clean_text].
 
     Null and empty texts have no words and are never hit; items without words
-    match nothing; a null item_id reads as "null"; repeated rows count each by
-    itself. An empty benchmark hits nothing, an empty docs gives no rows. Columns
-    of docs that bear a result's name are dropped.
+    match nothing; items of null item_id are one item, null in `items` and before
+    all others; repeated rows count each by itself. An empty benchmark hits
+    nothing, an empty docs gives no rows. Columns of docs that bear a result's
+    name are dropped.
     """
     spark = docs.sparkSession
-    shards = [spark.sparkContext.broadcast([("null" if i is None else i, t) for i, t in s]) for s in _shards(benchmark, shard_words)]
-    built: dict[int, Automaton] = {}
     made = ["n_words", "n_hit", "items", "coverage", "rejected"] + ["clean_text"] * keep_text
     docs = docs.drop(*made)
     kept = docs.schema
     kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "coverage": pa.float64(), "rejected": pa.bool_(), "clean_text": pa.string()}
-
-    def run(batches):
-        if not built:
-            built.update({k: build(s.value, window) for k, s in enumerate(shards)})
-        for b in batches:
-            out = {k: [] for k in made}
-            for raw, null in zip(utf8(b["text"]), b["text"].is_null().to_pylist(), strict=True):
-                words = words_of(raw)
-                hits = np.zeros(len(words), bool)
-                items: set[str] = set()
-                for auto in built.values():
-                    items.update(auto.items[k] for k in _match(auto, words, hits))
-                n = int(hits.sum())
-                share = n / len(words) if words else 0.0
-                for k, v in zip(made, (len(words), n, sorted(items), share, share > max_coverage, None if null else _removed(raw, hits).decode() if keep_text else None), strict=False):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept.names), *(pa.array(out[k], kinds[k]) for k in made)], [*kept.names, *made])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
-    return docs.mapInArrow(run, f"{schema}, n_words long, n_hit long, items array<string>, coverage double, rejected boolean" + ", clean_text string" * keep_text)
+    between = {"hits so far": pa.binary(), "items so far": pa.list_(pa.string())}
+
+    def through(now: DataFrame, shard: list, first: bool, last: bool) -> DataFrame:
+        """now with the hits of a shard: the results after the last, the hits so far before."""
+        held = spark.sparkContext.broadcast(shard)
+        names = made if last else list(between)
+
+        def run(batches):
+            auto = build(held.value, window)
+            for b in batches:
+                out = {k: [] for k in names}
+                done = [(None, None)] * b.num_rows if first else zip(*(b[k].to_pylist() for k in between), strict=True)
+                for raw, null, (bits, before) in zip(utf8(b["text"]), b["text"].is_null().to_pylist(), done, strict=True):
+                    words = words_of(raw)
+                    hits = np.zeros(len(words), bool) if first else np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
+                    items = {auto.items[k] for k in _match(auto, words, hits)}.union(before or ())
+                    told = sorted(items, key=lambda x: (x is not None, x))
+                    if last:
+                        n = int(hits.sum())
+                        share = n / len(words) if words else 0.0
+                        row = (len(words), n, told, share, share > max_coverage, None if null else _removed(raw, hits).decode() if keep_text else None)
+                    else:
+                        row = (np.packbits(hits).tobytes(), told)
+                    for k, v in zip(names, row, strict=False):
+                        out[k].append(v)
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept.names), *(pa.array(out[k], (kinds | between)[k]) for k in names)], [*kept.names, *names])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+        more = "n_words long, n_hit long, items array<string>, coverage double, rejected boolean" + ", clean_text string" * keep_text if last else "`hits so far` binary, `items so far` array<string>"
+        found = now.mapInArrow(run, f"{schema}, {more}")
+        if not last:
+            found = materialise(found, "hits")
+            held.destroy()
+        return found
+
+    shards = _shards(benchmark, shard_words)
+    shard, now, first = next(shards, []), docs, True
+    while (after := next(shards, None)) is not None:
+        now, shard, first = through(now, shard, first, False), after, False
+    return through(now, shard, first, True)
 
 
 def op7(spark, sf_dir):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import table
+from ..storage import materialise, table
 from .common import get_arrays, put_arrays, utf8
 
 SAMPLE_ROWS = 24_000
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, feature
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     kept = spark.createDataFrame(chosen.collect(), chosen.schema)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(kept), "doc_id").select("text", "toxic")
+    rows = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(kept), "doc_id").select("text", "toxic"), "labelled")
 
     def count(batches):
         seen: dict[bytes, list[int]] = {}
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, feature
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["x"])
 
     coded = [get_arrays(r[0]) for r in rows.mapInArrow(encode, "x binary").collect()]
+    held.destroy()
     w, b = fit(sorted(((x, int(y[0]), s) for x, y, s in coded), key=lambda r: (r[1], r[0].tobytes())), len(index), penalty)
     return {f: float(v) for f, v in zip(names, w, strict=True) if v}, b
 

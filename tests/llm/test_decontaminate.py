@@ -60,3 +60,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert m.decontaminate(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none).first().n_hit == 0
     assert m.decontaminate(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+
+
+def test_null_item_ids_are_one_item(spark):
+    items = [(None, "a b c"), (None, "d e f"), ("null", "g h i"), ("z", "j k l")]
+    for limit in (10**6, 1):
+        d = spark.createDataFrame([(1, "a b c x d e f"), (2, "a b c g h i j k l")], "doc_id long, text string")
+        got = {r.doc_id: r["items"] for r in m.decontaminate(d, spark.createDataFrame(items, "item_id string, text string"), shard_words=limit).collect()}
+        assert got == {1: [None], 2: [None, "null", "z"]}
