@@ -255,14 +255,18 @@ def op4(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: near_duplicates(): tables of words of min-hashes of 5-word shingles, and the loose bar on their sketch.
-TABLES, PLACES, SKETCH_BITS, LOOSE, WIDTH, SIMILAR = 6, 6, 128, 32, 5, 0.8
-#: Rounds in which a bucket's members are compared with one of them, before all that are still apart are.
-PIVOTS = 2
+#: near_duplicates(): tables of words of min-hashes of 5-word shingles, and the bins of their sketch.
+TABLES, PLACES, BINS, WIDTH, SIMILAR = 6, 6, 512, 5, 0.8
+#: A pair is ruled out by its sketch only where it differs by so many standard errors more than similar ones do.
+SLACK = 5.0
+#: Rounds in which a bucket's members are compared with PIVOTS of them each, before all that are still apart are.
+ROUNDS, PIVOTS = 2, 8
 _mix = np.random.Generator(np.random.PCG64(4))
-SKETCH_ODD = _mix.integers(1, 2**62, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WORD_ODD = _mix.integers(1, 2**62, TABLES * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = _mix.integers(1, 2**62, (TABLES, PLACES), dtype=np.uint64)
-PIVOT_SALTS = [int(x) for x in _mix.integers(1, 2**62, PIVOTS)]
+PIVOT_SALTS = _mix.integers(1, 2**62, (ROUNDS, PIVOTS)).tolist()
+#: Texts that are signed at a time: so many at most, of so many bytes.
+SIGN_TEXTS, SIGN_BYTES = 2048, 1 << 21
 
 
 def _stir(h: np.ndarray, odd: np.uint64) -> np.ndarray:
@@ -275,37 +279,43 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64))
 
 
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, n x (TABLES * PLACES), and sketches, n x 2, of sets that aren't empty.
+def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, n x (TABLES * PLACES), sketches and filled bins, n x (BINS / 64) each, of sets that aren't empty.
 
     A table's word is PLACES min-hashes. Words that differ in one place at most
     agree in a key, which leaves that place out: the ball of radius 1. At a
     similarity s a table brings two texts together with probability
     s^6 + 6 (1 - s) s^5, and at 0.8 the six tables do with 0.998. The sketch has
-    one bit of each of 128 min-hashes; a share (1 - s) / 2 of the bits differ.
+    one bit of the least hash of each bin; where a bin is filled in either of two
+    texts, these bits differ with probability (1 - s) / 2.
     """
     flat = np.concatenate(sets)
     n = np.array([len(x) for x in sets], np.int64)
     starts = np.cumsum(n) - n
-    keys, halves = np.zeros((len(sets), TABLES * PLACES), np.uint64), np.zeros((len(sets), 2), np.uint64)
-    word = []
-    for k, odd in enumerate(SKETCH_ODD):
-        least = _stir(np.minimum.reduceat(_stir(flat, odd), starts), np.uint64(0x9E3779B97F4A7C15))
-        halves[:, k // 64] |= (least >> np.uint64(40) & np.uint64(1)) << np.uint64(k % 64)
-        t, place = divmod(k, PLACES)
-        if t < TABLES:
+    keys = np.zeros((len(sets), TABLES * PLACES), np.uint64)
+    for t in range(TABLES):
+        word = []
+        for place in range(PLACES):
+            odd = WORD_ODD[t * PLACES + place]
+            least = _stir(np.minimum.reduceat(_stir(flat, odd), starts), np.uint64(0x9E3779B97F4A7C15))
             word.append(_stir(least ^ SALTS[t, place], odd))
-            if place == PLACES - 1:
-                whole = sum(word)
-                for left_out, x in enumerate(word):
-                    keys[:, t * PLACES + left_out] = _stir(whole - x + SALTS[t, left_out], odd)
-                word = []
-    return keys, halves
+        whole = sum(word)
+        for left_out, x in enumerate(word):
+            keys[:, t * PLACES + left_out] = _stir(whole - x + SALTS[t, left_out], WORD_ODD[t * PLACES + left_out])
+    none = np.uint64(2**64 - 1)
+    least = np.full(len(sets) * BINS, none, np.uint64)
+    mixed = _stir(flat, np.uint64(0xD6E8FEB86659FD93))
+    np.minimum.at(least, np.repeat(np.arange(len(sets)) * BINS, n) + (mixed % np.uint64(BINS)).astype(np.int64), mixed)
+    filled = least != none
+    ones = filled & ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(bool)
+    packed = [np.packbits(x.reshape(len(sets), BINS), axis=1, bitorder="little").view(np.int64) for x in (ones, filled)]
+    return keys, *packed
 
 
 def _sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, s0, s1, keys, z): the hash, size, sketch and keys of each text's set of shingles, and the text itself, compressed."""
-    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("keys", pa.list_(pa.int64())), ("z", pa.binary())]
+    """(doc_id, h, n, sketch, filled, keys, z): the hash, size, sketch and keys of each text's set of shingles, and the text itself, compressed."""
+    longs = pa.list_(pa.int64())
+    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("sketch", longs), ("filled", longs), ("keys", longs), ("z", pa.binary())]
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -313,27 +323,32 @@ def _sign(docs: DataFrame) -> DataFrame:
             texts, lo = utf8(b["text"]), 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 21):
+                while hi < len(texts) and hi < lo + SIGN_TEXTS and (hi == lo or size + len(texts[hi]) < SIGN_BYTES):
                     size += len(texts[hi])
                     hi += 1
                 sets = [shingle_set(t) for t in texts[lo:hi]]
                 some = [k for k, x in enumerate(sets) if len(x)]
-                keys, halves = np.zeros((len(sets), TABLES * PLACES), np.uint64), np.zeros((len(sets), 2), np.uint64)
+                sketch, filled = np.zeros((2, len(sets), BINS // 64), np.int64)
+                keys = np.zeros((len(sets), TABLES * PLACES), np.uint64)
                 if some:
-                    keys[some], halves[some] = _signatures([sets[k] for k in some])
+                    keys[some], sketch[some], filled[some] = _signatures([sets[k] for k in some])
                 h = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 listed = [k.view(np.int64) if len(x) else [] for k, x in zip(keys, sets, strict=True)]
-                values = [b["doc_id"].slice(lo, hi - lo), h, [len(x) for x in sets], np.ascontiguousarray(halves[:, 0]).view(np.int64), np.ascontiguousarray(halves[:, 1]).view(np.int64), listed, [squeeze.compress(t) for t in texts[lo:hi]]]
+                values = [b["doc_id"].slice(lo, hi - lo), h, [len(x) for x in sets], list(sketch), list(filled), listed, [squeeze.compress(t) for t in texts[lo:hi]]]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(values, kinds, strict=True)], [name for name, _ in kinds])
                 lo = hi
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, s0 long, s1 long, keys array<long>, z binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, sketch array<long>, filled array<long>, keys array<long>, z binary")
 
 
 def _likely(similarity: float):
-    """Whether rows a and b can be similar: by their sizes surely, by their sketches but for five standard errors."""
-    bits = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in ("s0", "s1"))
-    return (bits <= LOOSE) & (F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= similarity)
+    """Whether rows a and b can be similar: by their sizes surely, by their sketches but for SLACK standard errors."""
+    total = lambda x, y, f: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(f(p, q))), F.lit(0), lambda s, k: s + k)
+    apart = total("a.sketch", "b.sketch", lambda p, q: p.bitwiseXOR(q))
+    bins = total("a.filled", "b.filled", lambda p, q: p.bitwiseOR(q))
+    share = (1 - similarity) / 2
+    near = apart <= share * bins + SLACK * F.sqrt(share * (1 - share) * bins) + 1
+    return (F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= similarity) & near
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -372,30 +387,32 @@ def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float) -> D
     """links and more between sets, which connect what links of all similar pairs that share a key would.
 
     In a bucket, the members of one key, a link that would close a ring isn't
-    needed, so most of a large group is settled by comparing all with a pivot.
-    What is in several components after PIVOTS rounds is compared pair by pair
-    across them, with whatever members those have.
+    needed, so most of a large group is settled by comparing all with a few pivots,
+    and again with others where that left several components. What is then still
+    apart is compared pair by pair across components.
     """
     keyed = marked.select("h", F.explode("keys").alias("key"))
     full = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
     members = materialise(keyed.join(full, "key").distinct(), "members")
     some = members.select("h").distinct()
-    nodes = materialise(marked.join(some, "h", "left_semi").groupBy("h").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "s0", "s1"))), "nodes")
+    facts = ("doc_id", "n", "sketch", "filled")
+    nodes = materialise(marked.join(some, "h", "left_semi").groupBy("h").agg(*(F.min(c).alias(c) for c in facts)), "nodes")
     texts = materialise(marked.select("h", "doc_id", "z").join(nodes.select("h", "doc_id"), ["h", "doc_id"]).groupBy("h").agg(F.min("z").alias("z")), "texts")
     now = tested = None
-    for step in range(PIVOTS + 1):
+    for step in range(ROUNDS + 1):
         if now is None:
             now = materialise(_components(links, nodes), "nodes")
         at = members.join(now.select("h", "c"), "h")
         mixed = [F.min("c").alias("lo"), F.max("c").alias("hi")]
-        if step < PIVOTS:
-            salt = F.lit(PIVOT_SALTS[step])
-            heads = at.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(salt)).alias("x"), *mixed).where("lo < hi").select("key", F.col("x").bitwiseXOR(salt).alias("head"))
+        if step < ROUNDS:
+            salts = [F.lit(x) for x in PIVOT_SALTS[step]]
+            least = at.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(x)).alias(f"x{k}") for k, x in enumerate(salts)), *mixed).where("lo < hi")
+            heads = least.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"x{k}").bitwiseXOR(x) for k, x in enumerate(salts))))).alias("head"))
             met = members.join(heads, "key").where("h <> head").select(F.least("h", "head").alias("src"), F.greatest("h", "head").alias("dst")).distinct()
             pairs = met.join(now.alias("a"), F.col("src") == F.col("a.h")).join(now.alias("b"), F.col("dst") == F.col("b.h")).where(F.col("a.c") != F.col("b.c")).where(_likely(similarity)).select("src", "dst")
         else:
             apart = at.groupBy("key").agg(*mixed).where("lo < hi").select("key")
-            rest = materialise(members.join(apart, "key").join(now, "h").select("key", "h", "c", "n", "s0", "s1"), "rest")
+            rest = materialise(members.join(apart, "key").join(now, "h").select("key", "h", "c", "n", "sketch", "filled"), "rest")
             met = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & _likely(similarity))
             pairs = met.select(F.least("a.h", "b.h").alias("src"), F.greatest("a.h", "b.h").alias("dst")).distinct()
         if tested is not None:

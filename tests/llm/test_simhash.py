@@ -155,6 +155,28 @@ def test_chains_over_one_set_of_words_stay_whole(spark):
     assert near(spark, rows) == whole
 
 
+def test_a_large_drifting_group_equals_brute_force(spark):
+    """A group in which each copy is edited from one before it: the classes are those of all similar pairs."""
+    rng = random.Random(25)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [rng.choices(words, k=150)]
+    for _ in range(249):
+        own = list(rng.choice(texts))
+        for _ in range(rng.choice([1, 2, 4])):
+            own[rng.randrange(150)] = rng.choice(words)
+        texts.append(own)
+    texts = [" ".join(t) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    found = near(spark, list(enumerate(texts)))
+    want = {k: c for k, c in enumerate(comp) if comp.count(c) > 1}
+    assert sum(found.get(k) != c for k, c in want.items()) <= 2 and set(found) <= set(want)
+
+
 def test_texts_that_share_a_doc_id(spark):
     rng = random.Random(24)
     a, b = (" ".join(rng.choices([f"w{k}" for k in range(5000)], k=100)) for _ in range(2))
