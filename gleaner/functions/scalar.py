@@ -144,3 +144,50 @@ def parse_frame_rate(text) -> Column:
     p = F.split(col(text), "/")
     num, den = F.expr("1") * F.try_to_number(F.get(p, F.lit(0)), F.lit("999999999")), F.try_to_number(F.get(p, F.lit(1)), F.lit("999999999"))
     return F.when(F.size(p) == 2, F.try_divide(num.cast("double"), den.cast("double"))).otherwise(num.cast("double"))
+
+
+def clean_path(path) -> Column:
+    """A path without empty and "." segments, and with each ".." and the segment before it taken away."""
+    rooted = F.startswith(col(path), F.lit("/"))
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        climbs = (F.size(kept) > 0) & (F.element_at(kept, -1) != "..")
+        up = F.when(climbs, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(rooted, kept).otherwise(F.array_append(kept, part))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.array_append(kept, part))
+
+    kept = F.aggregate(F.split(col(path), "/"), none, step)
+    return F.when(rooted, F.concat(F.lit("/"), F.array_join(kept, "/"))).when(F.size(kept) == 0, ".").otherwise(F.array_join(kept, "/"))
+
+
+def dedupe_key(path) -> Column:
+    """One spelling of a folder entry for deletions: "." and empty segments go, but ".." stays, since a link may stand before it."""
+    kept = F.filter(F.split(col(path), "/"), lambda p: ~p.isin("", "."))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def absolute_path(path, folder) -> Column:
+    """The path under a working folder unless it is absolute; nothing else is changed."""
+    return F.when(F.startswith(col(path), F.lit("/")), col(path)).otherwise(F.concat(col(folder), F.lit("/"), col(path)))
+
+
+def version_key(version) -> tuple[Column, Column]:
+    """(numbers, pre-release) of a version like v1.2.3-beta; a segment that is no number counts as 0."""
+    bare = F.regexp_replace(F.trim(col(version)), "^[vV]", "")
+    parts = F.split(bare, "-", 2)
+    numbers = F.transform(F.split(F.get(parts, F.lit(0)), r"\."), lambda x: F.coalesce(F.when(F.rlike(x, F.lit(r"^[+-]?\d{1,18}$")), x.try_cast("long")), F.lit(0).cast("long")))
+    return numbers, F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+
+
+def version_compare(a, b) -> Column:
+    """1, 0 or -1; missing segments are 0, and a release is later than its pre-releases."""
+    (x, p), (y, q) = version_key(a), version_key(b)
+    signs = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: F.signum(F.coalesce(z["x"], F.lit(0)) - F.coalesce(z["y"], F.lit(0))).cast("int"))
+    first = F.coalesce(F.get(F.filter(signs, lambda s: s != 0), F.lit(0)), F.lit(0))
+    return F.when(first != 0, first).when(p == q, 0).when(p == "", 1).when(q == "", -1).when(p > q, 1).otherwise(-1).cast("int")
+
+
+def quality(kind, size, image=None, video=None) -> Column:
+    """The quality of a file by its type; what isn't known of it scores 0."""
+    zero = F.lit(0.0)
+    return F.when(col(kind) == "text", text_quality(size)).when(col(kind) == "image", zero if image is None else F.coalesce(image, zero)).when(col(kind) == "video", zero if video is None else F.coalesce(video, zero)).otherwise(0.0)

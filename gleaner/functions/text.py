@@ -19,7 +19,9 @@ MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 SIGN = np.uint64(1 << 63)
-FACTS = "file_id long, path string, size_bytes long, name string, length int, features array<long>, bands array<struct<r0:long,r1:long>>"
+FACTS = "file_id long, path string, size_bytes long, name string, length int, features array<long>, profile array<int>, bands array<struct<r0:long,r1:long>>"
+#: A profile counts the features by their last bits; two sketches share no more than the sum of the lesser counts.
+PROFILE = 256
 
 
 def lower(text: str) -> str:
@@ -63,25 +65,38 @@ def minhash(features: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).min(axis=0)
 
 
+def encode_features(features: np.ndarray) -> bytes:
+    """Unsigned 64-bit values as little-endian bytes, the form of stores without arrays."""
+    return np.ascontiguousarray(features, "<u8").tobytes()
+
+
+def decode_features(blob: bytes) -> np.ndarray:
+    if len(blob) % 8:
+        raise ValueError(f"{len(blob)} bytes are no whole number of features")
+    return np.frombuffer(blob, "<u8").astype(np.uint64)
+
+
 def text_facts(files: DataFrame) -> DataFrame:
     """FACTS of files (file_id, path, size_bytes, content string).
 
     features are longs whose signed order is the hashes' unsigned order; texts of
-    fewer than five code points, and null ones, have none, and no bands.
+    fewer than five code points, and null ones, have none, and no bands. profile has
+    PROFILE counts, or none without features.
     """
 
     def run(batches):
         for b in batches:
-            names, lengths, features, bands = [], [], [], []
+            names, lengths, features, profiles, bands = [], [], [], [], []
             for path, text in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 normal = normal_form(text or "")
                 f = sketch(normal)
                 names.append(name_key(path or ""))
                 lengths.append(len(normal.encode("utf-8", "replace")))
                 features.append((f ^ SIGN).view(np.int64))
+                profiles.append(np.bincount((f % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).astype(np.int32) if len(f) else [])
                 m = minhash(f).view(np.int64).tolist() if len(f) else []
                 bands.append([{"r0": m[2 * k], "r1": m[2 * k + 1]} for k in range(len(m) // 2)])
             kinds = pa.list_(pa.struct([("r0", pa.int64()), ("r1", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b["file_id"], b["path"], b["size_bytes"], pa.array(names), pa.array(lengths, pa.int32()), pa.array(features, pa.list_(pa.int64())), pa.array(bands, kinds)], ["file_id", "path", "size_bytes", "name", "length", "features", "bands"])
+            yield pa.RecordBatch.from_arrays([b["file_id"], b["path"], b["size_bytes"], pa.array(names), pa.array(lengths, pa.int32()), pa.array(features, pa.list_(pa.int64())), pa.array(profiles, pa.list_(pa.int32())), pa.array(bands, kinds)], ["file_id", "path", "size_bytes", "name", "length", "features", "profile", "bands"])
 
     return files.select(F.col("file_id").cast("long").alias("file_id"), "path", F.col("size_bytes").cast("long").alias("size_bytes"), F.col("content").cast("string").alias("content")).mapInArrow(run, FACTS)

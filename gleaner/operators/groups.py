@@ -7,11 +7,12 @@ similarity, quality, size_bytes). No group is ever gathered into one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import dice, length_close, name_grams, overlap_of_grams, text_floor
+from ..functions.scalar import clean_path, dice, length_close, name_grams, overlap_of_grams, text_floor
+from ..storage import materialise
 from .components import connected_components
 from .pairs import lsh_pairs, name_token_pairs
 
@@ -58,9 +59,12 @@ def text_edges(facts: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(src, dst, sim) of candidate pairs whose sketches are alike enough; alike names lower the bar."""
     threshold = threshold if 0 < threshold <= 1 else 0.92
     pairs = lsh_pairs(facts).unionByName(name_token_pairs(facts)).distinct()
-    short = facts.select("file_id", "length", name_grams("name").alias("grams"))
-    near = pairs.join(short.select(F.col("file_id").alias("src"), F.col("length").alias("n1"), F.col("grams").alias("g1")), "src").join(short.select(F.col("file_id").alias("dst"), F.col("length").alias("n2"), F.col("grams").alias("g2")), "dst")
-    near = near.where(length_close("n1", "n2")).select("src", "dst", overlap_of_grams("g1", "g2").alias("names"))
+    # what two sketches can share at most follows from their profiles, so few pairs draw the sketches themselves
+    short = facts.select("file_id", "length", name_grams("name").alias("grams"), F.size("features").alias("size"), "profile")
+    left, right = (short.select(F.col("file_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in short.columns[1:])) for side in ("src", "dst"))
+    near = pairs.join(left, "src").join(right, "dst").where(length_close("length_src", "length_dst")).withColumn("names", overlap_of_grams("grams_src", "grams_dst"))
+    most = F.aggregate(F.zip_with("profile_src", "profile_dst", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    near = near.where(2 * most >= text_floor(threshold, "names") * (F.col("size_src") + F.col("size_dst")) - 1e-6).select("src", "dst", "names")
     full = facts.select("file_id", "features")
     sims = near.join(full.select(F.col("file_id").alias("src"), F.col("features").alias("f1")), "src").join(full.select(F.col("file_id").alias("dst"), F.col("features").alias("f2")), "dst")
     return sims.select("src", "dst", "names", dice("f1", "f2").alias("sim")).where(F.col("sim") >= text_floor(threshold, "names")).select("src", "dst", "sim")
@@ -97,23 +101,58 @@ def fuse_exact(groups: DataFrame, items: DataFrame, exact: DataFrame, exact_item
     return fused.drop("winner_rep"), whole, met.select(F.col("exact_id").alias("group_id")).distinct()
 
 
+def _first_claims(rows: DataFrame, place: list[str], within: list[str]) -> DataFrame:
+    """rows with `ahead`: whether another `place` comes first at the row's path or file id, within the same `within`."""
+    at = F.struct(*place)
+    for key in ("clean", "file_id"):
+        first = rows.groupBy(*within, key).agg(F.min(at).alias(f"first {key}"))
+        rows = rows.join(first, [*within, key])
+    return rows.withColumn("ahead", (F.col("first clean") < at) | (F.col("first file_id") < at)).drop("first clean", "first file_id")
+
+
+def _greedy(rows: DataFrame, place: list[str], within: list[str], least: int) -> DataFrame:
+    """What stays of rows (clean, file_id, *place) if each `place` in turn keeps what no earlier one has claimed.
+
+    A place with fewer than `least` rows left claims nothing. In a round, all
+    places decide that are first at each of their keys; the rest wait, without the
+    rows that were claimed. The rounds end when none waits, and there are as many
+    as the longest chain of places of which each waits for the one before.
+    """
+    kept, waiting = None, rows
+    while True:
+        seen = materialise(_first_claims(waiting, place, within), "claims")
+        places = [*within, *(c for c in place if c not in within)]
+        sizes = seen.groupBy(*places).agg(F.count("*").alias("rows"), F.bool_or("ahead").alias("waits"))
+        ready = materialise(seen.join(sizes, places), "claims")
+        stands = ready.where((F.col("rows") >= least) & ~F.col("waits")).select(*rows.columns)
+        kept = stands if kept is None else kept.unionByName(stands)
+        left = ready.where((F.col("rows") >= least) & F.col("waits")).select(*rows.columns)
+        if left.isEmpty():
+            return kept
+        for key in ("clean", "file_id"):
+            left = left.join(stands.select(*within, key).distinct(), [*within, key], "left_anti")
+        waiting = left.select(*rows.columns)
+
+
 def path_unique(groups: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each path and file in one group at most, the first in (type, group_id) order; groups of one go.
+    """Each path and file in one group at most, that of the first group in (type, group_id) order which stands.
 
-    A group that is dissolved claims nothing, so the rounds repeat until no member
-    is held twice among the groups that stand.
+    A group keeps the members that no group before it holds; with fewer than two
+    left it is dissolved and claims nothing. Paths are compared by clean_path().
+    Inside a group the first of equal members, by file_id and path, stays. Where
+    groups have a recommended_file_id that went, another is chosen (rescore).
     """
     rank = F.array_position(F.array(*(F.lit(t) for t in config.TYPE_ORDER)), F.col("group_type"))
-    order = groups.select("group_id", rank.alias("rank"))
-    clean = F.regexp_replace(F.regexp_replace("path", r"/(\./)+", "/"), r"/{2,}", "/")
-    rows = items.join(order, "group_id").withColumn("clean", clean)
-    first = Window.partitionBy("clean").orderBy("rank", "group_id", "file_id")
-    by_id = Window.partitionBy("file_id").orderBy("rank", "group_id")
-    kept = rows.withColumn("a", F.row_number().over(first)).where("a = 1").withColumn("b", F.row_number().over(by_id)).where("b = 1").drop("a", "b")
-    alive = kept.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    # members that a dissolved group had claimed return to the next group that stands
-    again = rows.join(alive, "group_id", "left_semi").withColumn("a", F.row_number().over(first)).where("a = 1").withColumn("b", F.row_number().over(by_id)).where("b = 1").drop("a", "b", "rank", "clean")
-    return groups.join(alive, "group_id", "left_semi"), again
+    rows = items.join(groups.select("group_id", rank.alias("rank")), "group_id").select("group_id", "rank", "file_id", "path", clean_path("path").alias("clean")).distinct()
+    twice = rows.groupBy("group_id", "clean").agg(F.count("*").alias("n")).where("n > 1").select("group_id").unionByName(rows.groupBy("group_id", "file_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")).distinct()
+    repeated = materialise(rows.join(twice, "group_id", "left_semi"), "repeated")
+    inside = rows.join(twice, "group_id", "left_anti")
+    if not repeated.isEmpty():
+        inside = inside.unionByName(_greedy(repeated, ["file_id", "path"], ["group_id"], 1))
+    kept = materialise(_greedy(inside, ["rank", "group_id"], [], 2).select("group_id", "file_id", "path"), "kept")
+    left = items.join(kept, ["group_id", "file_id", "path"], "left_semi").select(items.columns).dropDuplicates(["group_id", "file_id", "path"])
+    alive = groups.join(kept.select("group_id").distinct(), "group_id", "left_semi").select(groups.columns)
+    return rescore(alive, left) if {"recommended_file_id"} <= set(groups.columns) else (alive, left)
 
 
 def rescore(groups: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

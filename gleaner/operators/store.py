@@ -78,3 +78,60 @@ def delete_guard(items: DataFrame, request: DataFrame) -> DataFrame:
     """(group_id, left): groups in which a request (file_id) would leave no file."""
     asked = items.join(request.select("file_id", F.lit(1).alias("gone")).distinct(), "file_id", "left")
     return asked.groupBy("group_id").agg(F.count_if(F.col("gone").isNull()).alias("left"), F.count("gone").alias("asked")).where("left = 0 AND asked > 0").select("group_id", "left")
+
+
+def touch(manifest: DataFrame, paths: DataFrame, now) -> DataFrame:
+    """manifest (path, status, last_seen, …): these paths were seen now and are active."""
+    seen = paths.select("path", F.lit(True).alias("seen")).distinct()
+    hit = F.col("seen").isNotNull()
+    return manifest.join(seen, "path", "left").withColumn("last_seen", F.when(hit, now).otherwise(F.col("last_seen"))).withColumn("status", F.when(hit, "active").otherwise(F.col("status"))).select(manifest.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of new, and those of old whose key new doesn't have; so all rows of a key are replaced together."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(new.select(old.columns))
+
+
+#: Sampled digests bear the version of the sampling, so that old ones never match new ones.
+SAMPLING = "v1:"
+
+
+def save_hashes(old: DataFrame, full: DataFrame, sampled: DataFrame) -> DataFrame:
+    """hashes (path, size_bytes, full_hash, sampled_hash, algorithm) with new full and sampled digests (path, size_bytes, digest).
+
+    A digest replaces its own kind only. The algorithm is sha256 where a full digest
+    is known, else sha256-sampled.
+    """
+    f = full.select("path", F.col("size_bytes").alias("fs"), F.col("digest").alias("f"))
+    s = sampled.select("path", F.col("size_bytes").alias("ss"), F.concat(F.lit(SAMPLING), "digest").alias("s"))
+    both = old.join(f, "path", "full_outer").join(s, "path", "full_outer")
+    whole = F.coalesce("f", "full_hash")
+    return both.select("path", F.coalesce("ss", "fs", "size_bytes").alias("size_bytes"), whole.alias("full_hash"), F.coalesce("s", "sampled_hash").alias("sampled_hash"), F.when(F.coalesce(whole, F.lit("")) != "", "sha256").otherwise("sha256-sampled").alias("algorithm"))
+
+
+def load_hashes(hashes: DataFrame) -> DataFrame:
+    """(path, full_hash, sampled_hash): digests that can be used now; sampled ones of this sampling only."""
+    of_now = F.startswith("sampled_hash", F.lit(SAMPLING))
+    return hashes.select("path", F.nullif("full_hash", F.lit("")).alias("full_hash"), F.when(of_now, F.substr("sampled_hash", F.lit(len(SAMPLING) + 1))).alias("sampled_hash"))
+
+
+def group_members(groups: DataFrame, items: DataFrame, ids: DataFrame) -> DataFrame:
+    """(group_id, file_id, path) of the asked groups' members without their winners: what may be deleted."""
+    asked = groups.join(ids.select("group_id").distinct(), "group_id", "left_semi").select("group_id", "recommended_file_id")
+    return items.join(asked, "group_id").where("file_id <> recommended_file_id").select("group_id", "file_id", "path")
+
+
+def delete_effects(groups: DataFrame, items: DataFrame, outcome: DataFrame, alive: DataFrame, mode: str, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(audit, processed) after a deletion: audit rows (mode, group_id, file_id, path, ok, message), and group_ids now processed.
+
+    outcome: (path, ok, message) of the request; alive: (path) of files that are
+    still there. A group is processed if something of it was deleted and at least
+    one member, but not all, is left. With `ids` only those groups count.
+    """
+    wanted = items if ids is None else items.join(ids.select("group_id").distinct(), "group_id", "left_semi")
+    rows = wanted.join(groups.select("group_id"), "group_id", "left_semi").join(outcome.select("path", "ok", "message").dropDuplicates(["path"]), "path", "left")
+    audit = rows.where("ok IS NOT NULL").select(F.lit(mode).alias("mode"), "group_id", "file_id", "path", "ok", F.when(F.col("ok"), "").otherwise(F.coalesce("message", F.lit(""))).alias("message"))
+    there = rows.join(alive.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    gone = F.coalesce("ok", F.lit(False))
+    counts = there.groupBy("group_id").agg(F.count("*").alias("members"), F.count_if(gone).alias("deleted"), F.count_if(~gone & F.col("there")).alias("left"))
+    return audit, counts.where("deleted > 0 AND left >= 1 AND left < members").select("group_id")

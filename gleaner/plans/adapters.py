@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import sha256_full, stable_key, text_quality
+from ..functions.scalar import sha256_full, text_quality
 from ..operators.exact import exact_members
+from ..operators.keys import stable_keys
+from ..operators.ordering import ordered
 from ..storage import table
 
 
@@ -37,18 +39,14 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     m = members(spark, sf_dir)
     kind = F.element_at(F.array(*(F.lit(t) for t in ("exact", "similar_image", "similar_text"))), (F.col("group_id") % 3 + 1).cast("int"))
     status = F.element_at(F.array(*(F.lit(t) for t in ("pending", "ignored", "processed", "pending"))), (F.col("group_id") % 4 + 1).cast("int"))
-    groups = m.groupBy("group_id").agg(F.max("file_id").alias("recommended_file_id"), F.sort_array(F.collect_list("path")).alias("paths")).select("group_id", kind.alias("group_type"), ((F.col("group_id") % 10) / 10.0).alias("confidence"), "recommended_file_id", status.alias("status"), stable_key(F.lit("exact"), "paths").alias("stable_key"))
-    won = F.col("file_id") == F.max("file_id").over(_by_group())
-    items = m.select("group_id", "file_id", "path", F.when(won, "keep_recommended").otherwise("cleanup_candidate").alias("action"), F.when(won, 1.0).otherwise(-1.0).alias("similarity"), "quality", "size_bytes", "media_type")
+    keyed = stable_keys(m.select("group_id", F.lit("exact").alias("group_type"), "path"))
+    groups = m.groupBy("group_id").agg(F.max("file_id").alias("recommended_file_id")).join(keyed, "group_id").select("group_id", kind.alias("group_type"), ((F.col("group_id") % 10) / 10.0).alias("confidence"), "recommended_file_id", status.alias("status"), "stable_key")
+    best = m.groupBy("group_id").agg(F.max("file_id").alias("best"))
+    won = F.col("file_id") == F.col("best")
+    items = m.join(best, "group_id").select("group_id", "file_id", "path", F.when(won, "keep_recommended").otherwise("cleanup_candidate").alias("action"), F.when(won, 1.0).otherwise(-1.0).alias("similarity"), "quality", "size_bytes", "media_type")
     return groups, items
 
 
-def _by_group():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("group_id")
-
-
 STORED = f"""{MEMBERS},
 groups AS (SELECT group_id, ['exact', 'similar_image', 'similar_text'][group_id % 3 + 1] AS group_type, (group_id % 10) / 10.0::DOUBLE AS confidence, max(file_id) AS recommended_file_id, ['pending', 'ignored', 'processed', 'pending'][group_id % 4 + 1] AS status, substr(sha256('exact|' || string_agg(lower(path), '|' ORDER BY path)), 1, 32) AS stable_key FROM mem GROUP BY group_id),
 items AS (SELECT group_id, file_id, path, CASE WHEN file_id = max(file_id) OVER (PARTITION BY group_id) THEN 'keep_recommended' ELSE 'cleanup_candidate' END AS action, CASE WHEN file_id = max(file_id) OVER (PARTITION BY group_id) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS similarity, quality, size_bytes, media_type FROM mem)"""
@@ -66,21 +64,19 @@ COMPONENTS = "reach(id, c) AS (SELECT DISTINCT id, id FROM (SELECT src AS id FRO
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("video_id"), F.floor(F.col("o_totalprice") * 10).cast("long").alias("duration_ms"), (1280 + 16 * (F.col("o_orderkey") % 7)).cast("long").alias("width"), F.lit(720).cast("long").alias("height"))
+    """All orders as videos: the price is the duration, and the number gives one of 97 shapes."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), F.floor(F.col("o_totalprice") * 10).cast("long").alias("duration_ms"), (640 + 64 * (F.col("o_orderkey") % 97)).cast("long").alias("width"), F.lit(720).cast("long").alias("height"))
 
 
-VIDEOS = "videos AS (SELECT o_orderkey AS video_id, floor(o_totalprice * 10)::BIGINT AS duration_ms, (1280 + 16 * (o_orderkey % 7))::BIGINT AS width, 720::BIGINT AS height FROM orders WHERE o_orderkey % 20 = 0)"
+VIDEOS = "videos AS (SELECT o_orderkey AS video_id, floor(o_totalprice * 10)::BIGINT AS duration_ms, (640 + 64 * (o_orderkey % 97))::BIGINT AS width, 720::BIGINT AS height FROM orders)"
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video_id, frames): the first eight events of a user, by time."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = e.withColumn("k", F.row_number().over(w)).where("k <= 8").withColumn("t0", F.first("ts").over(w))
-    frame = F.struct((F.col("k") - 1).cast("int").alias("idx"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1000).cast("long").alias("ts_ms"), F.floor(F.col("value") * 1000003).cast("long").alias("hash"))
-    return rows.groupBy(F.col("user_id").alias("video_id")).agg(F.array_sort(F.collect_list(frame)).alias("frames"))
+    """(video_id, frames): all events of a user, by time; the value is the hash."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
+    rows = ordered(e, ["video_id"], [F.col("us"), F.col("event_id")]).join(e.groupBy("video_id").agg(F.min("us").alias("first")), "video_id")
+    frame = F.struct((F.col("k") - 1).cast("int").alias("idx"), F.floor((F.col("us") - F.col("first")) / 1000).cast("long").alias("ts_ms"), F.floor(F.col("value") * 1000003).cast("long").alias("hash"))
+    return rows.groupBy("video_id").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
 
 
-FRAMES = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, first_value(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t0 FROM events), fr AS (SELECT user_id AS video_id, k - 1 AS idx, (epoch_us(ts) - epoch_us(t0)) // 1000 AS ts_ms FROM ev WHERE k <= 8)"
+FRAMES = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, min(ts) OVER (PARTITION BY user_id) AS t0 FROM events), fr AS (SELECT user_id AS video_id, k - 1 AS idx, (epoch_us(ts) - epoch_us(t0)) // 1000 AS ts_ms, floor(value * 1000003)::BIGINT AS hash FROM ev)"

@@ -107,26 +107,47 @@ def _facts(spark, sf_dir):
     return T.text_facts(A.files(spark, sf_dir))
 
 
-@query("text_sketch", """WITH RECURSIVE d AS (SELECT doc_id, [unicode(c) for c in string_split(lower(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s+$', ''))), '')] AS u FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(u) - 3)) AS i, u FROM d WHERE len(u) >= 5),
+_MOD = "18446744073709551616::UHUGEINT"
+#: Bottom-k sketches of documents in SQL: r (doc_id, h, k), the k least 5-gram hashes, unsigned; d has the normal form.
+SKETCH = f"""d AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s+$', ''))) AS normal FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(u) - 3)) AS i, u FROM (SELECT doc_id, [unicode(c) for c in string_split(normal, '')] AS u FROM d) WHERE len(u) >= 5),
 h0 AS (SELECT doc_id, u[i]::UBIGINT AS a, u[i + 1]::UBIGINT AS b, u[i + 2]::UBIGINT AS c, u[i + 3]::UBIGINT AS d, u[i + 4]::UBIGINT AS e FROM g),
-h1 AS (SELECT *, ((xor(14695981039346656037::UBIGINT, a)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h0),
-h2 AS (SELECT doc_id, c, d, e, ((xor(h, b)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h1),
-h3 AS (SELECT doc_id, d, e, ((xor(h, c)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h2),
-h4 AS (SELECT doc_id, e, ((xor(h, d)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h3),
-h5 AS (SELECT DISTINCT doc_id, ((xor(h, e)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM h4),
-r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS k FROM h5)
-SELECT doc_id AS file_id, count(*)::INTEGER AS n_features, (min(h)::HUGEINT - 9223372036854775808)::BIGINT AS least, (max(h)::HUGEINT - 9223372036854775808)::BIGINT AS greatest FROM r WHERE k <= 1024 GROUP BY doc_id""")
+h1 AS (SELECT *, ((xor(14695981039346656037::UBIGINT, a)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h0),
+h2 AS (SELECT doc_id, c, d, e, ((xor(h, b)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h1),
+h3 AS (SELECT doc_id, d, e, ((xor(h, c)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h2),
+h4 AS (SELECT doc_id, e, ((xor(h, d)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h3),
+h5 AS (SELECT DISTINCT doc_id, ((xor(h, e)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h4),
+r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS k FROM h5 QUALIFY k <= 1024)"""
+#: MinHash bands of the sketches: bands (file_id, band, r0, r1), signed.
+BANDS = f"""m0 AS (SELECT doc_id, j, ((h::UHUGEINT + j::UHUGEINT * 11400714819323198485::UHUGEINT) % {_MOD})::UBIGINT AS x FROM r, range(0, 16) t(j)),
+m1 AS (SELECT doc_id, j, ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_MOD})::UBIGINT AS x FROM m0),
+m2 AS (SELECT doc_id, j, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_MOD})::UBIGINT AS x FROM m1),
+m3 AS (SELECT doc_id, j, min(xor(x, x >> 31)) AS x FROM m2 GROUP BY ALL),
+s AS (SELECT doc_id AS file_id, (j // 2)::INTEGER AS band, j % 2 AS side, CASE WHEN x >= 9223372036854775808::UBIGINT THEN (x::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE x::BIGINT END AS v FROM m3),
+bands AS (SELECT file_id, band, max(CASE WHEN side = 0 THEN v END) AS r0, max(CASE WHEN side = 1 THEN v END) AS r1 FROM s GROUP BY ALL)"""
+#: Pairs in a bucket by its 256 places, and edges of pairs that are alike enough; no two names share a token here.
+LSH = """pl AS (SELECT file_id, band, r0, r1, row_number() OVER w AS k, count(*) OVER (PARTITION BY band, r0, r1) AS n, lag(file_id) OVER w AS p FROM bands WINDOW w AS (PARTITION BY band, r0, r1 ORDER BY file_id)),
+hd AS (SELECT * FROM pl WHERE k < 256 OR k = n),
+lsh AS (SELECT a.file_id AS src, b.file_id AS dst FROM hd a JOIN hd b USING (band, r0, r1) WHERE a.file_id < b.file_id UNION SELECT p, file_id FROM pl WHERE k > 256)"""
+TEXT_EDGES = """sz AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id), ln AS (SELECT doc_id, strlen(normal) AS n FROM d),
+near AS (SELECT src, dst FROM lsh JOIN ln a ON a.doc_id = src JOIN ln b ON b.doc_id = dst WHERE least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7),
+cm AS (SELECT src, dst, count(*) AS c FROM near JOIN r x ON x.doc_id = src JOIN r y ON y.doc_id = dst AND x.h = y.h GROUP BY ALL),
+edges AS (SELECT src, dst, 2 * c / (a.n + b.n)::DOUBLE AS sim FROM cm JOIN sz a ON a.doc_id = src JOIN sz b ON b.doc_id = dst WHERE 2 * c / (a.n + b.n)::DOUBLE >= 0.92 - 0.04)"""
+
+
+@query("text_sketch", f"""WITH {SKETCH}
+SELECT doc_id AS file_id, count(*)::INTEGER AS n_features, (min(h)::HUGEINT - 9223372036854775808)::BIGINT AS least, (max(h)::HUGEINT - 9223372036854775808)::BIGINT AS greatest, (sum(h) % 1000000007)::BIGINT AS mark FROM r GROUP BY doc_id""")
 def text_sketch(spark, sf_dir):
-    return _facts(spark, sf_dir).where(F.size("features") > 0).select("file_id", F.size("features").alias("n_features"), F.get("features", F.lit(0)).alias("least"), F.element_at("features", -1).alias("greatest"))
+    whole = F.aggregate("features", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("decimal(38,0)"))
+    return _facts(spark, sf_dir).where(F.size("features") > 0).select("file_id", F.size("features").alias("n_features"), F.get("features", F.lit(0)).alias("least"), F.element_at("features", -1).alias("greatest"), (whole % 1000000007).cast("long").alias("mark"))
 
 
-@query("minhash_signature")
+@query("minhash_signature", f"WITH {SKETCH}, {BANDS} SELECT file_id, band, r0, r1 FROM bands")
 def minhash_signature(spark, sf_dir):
     return _facts(spark, sf_dir).select("file_id", F.posexplode("bands").alias("band", "v")).select("file_id", "band", "v.r0", "v.r1")
 
 
-@query("lsh_candidates")
+@query("lsh_candidates", f"WITH {SKETCH}, {BANDS}, {LSH} SELECT src, dst FROM lsh")
 def lsh_candidates(spark, sf_dir):
     return pairs.lsh_pairs(materialise(_facts(spark, sf_dir).select("file_id", "bands"), "bands"))
 
@@ -140,12 +161,17 @@ def name_token_candidates(spark, sf_dir):
     return pairs.name_token_pairs(names)
 
 
-@query("text_similarity_edges")
+@query("text_similarity_edges", f"WITH {SKETCH}, {BANDS}, {LSH}, {TEXT_EDGES} SELECT src, dst, round(sim, 6) AS sim FROM edges")
 def text_similarity_edges(spark, sf_dir):
     return groups.text_edges(materialise(_facts(spark, sf_dir), "facts")).withColumn("sim", F.round("sim", 6))
 
 
-@query("text_groups")
+@query("text_groups", f"""WITH RECURSIVE {SKETCH}, {BANDS}, {LSH}, {TEXT_EDGES}, {A.COMPONENTS},
+m AS (SELECT component AS group_id, id AS file_id, strlen(text) AS size FROM parts JOIN documents ON doc_id = id),
+w AS (SELECT group_id, arg_max(file_id, struct_pack(a := size, b := -file_id)) AS winner, count(*) AS n FROM m GROUP BY group_id),
+ins AS (SELECT component AS group_id, count(*) AS e, min(sim) AS low FROM edges JOIN parts ON src = id GROUP BY component)
+SELECT group_id, file_id, CASE WHEN file_id = winner THEN 'keep_recommended' ELSE 'review_required' END AS action, round(CASE WHEN file_id = winner THEN 1.0::DOUBLE ELSE coalesce(sim, -1.0::DOUBLE) END, 6) AS similarity, round(CASE WHEN e >= n * (n - 1) / 2 THEN least(low, 1.0) ELSE 0.0::DOUBLE END, 6) AS confidence
+FROM m JOIN w USING (group_id) JOIN ins USING (group_id) LEFT JOIN edges ON src = least(file_id, winner) AND dst = greatest(file_id, winner)""")
 def text_groups(spark, sf_dir):
     """The flagship: facts, candidates, edges, components, winners and confidence."""
     facts = materialise(_facts(spark, sf_dir), "facts")
@@ -222,12 +248,19 @@ def required_pairs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", V.required_pairs(F.col("p_size") - 25, "p_size").alias("required"))
 
 
-@query("video_similarity")
+@query("video_similarity", f"""WITH {A.FRAMES}, st AS (SELECT video_id, coalesce(min(CASE WHEN gap > 0 THEN gap END), 0) AS step FROM (SELECT video_id, ts_ms - lag(ts_ms) OVER (PARTITION BY video_id ORDER BY idx) AS gap FROM fr) GROUP BY video_id),
+v AS (SELECT video_id, max(ts_ms) AS d, count(*) AS n, step FROM fr JOIN st USING (video_id) GROUP BY ALL),
+p AS (SELECT a.video_id AS src, b.video_id AS dst, greatest(a.step, b.step) // 2 AS tol, a.n AS n FROM v a JOIN v b ON a.video_id < b.video_id AND a.video_id % 97 = b.video_id % 97 AND a.d > 0 AND b.d > 0 AND abs(a.d - b.d) <= greatest(3000, greatest(a.d, b.d) * 5 // 100)),
+c AS (SELECT src, dst, abs(x.ts_ms - y.ts_ms) AS delta, -greatest(0, 1 - bit_count(xor(x.hash, y.hash)) / 64.0::DOUBLE) AS minus, x.idx AS l, y.idx AS r FROM p JOIN fr x ON x.video_id = src JOIN fr y ON y.video_id = dst AND abs(x.ts_ms - y.ts_ms) <= tol),
+k AS (SELECT src, dst, list([struct_pack(m := -minus, l := l, r := r)] ORDER BY delta, minus, l, r) AS near FROM c GROUP BY ALL),
+f AS (SELECT src, dst, list_reduce(near, lambda a, x: CASE WHEN len(list_filter(a, lambda q: q.l = x[1].l OR q.r = x[1].r)) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM k)
+SELECT p.src, p.dst, round(CASE WHEN tol <= 0 OR kept IS NULL OR len(kept) < greatest(3, (8 + 1) // 2) THEN 0.0::DOUBLE ELSE list_median([q.m for q in kept]) END, 6) AS similarity FROM p LEFT JOIN f ON f.src = p.src AND f.dst = p.dst""")
 def video_similarity(spark, sf_dir):
-    """Videos next to each other by id, aligned and compared."""
-    v = A.frames(spark, sf_dir)
-    other = v.select((F.col("video_id") - 1).alias("video_id"), F.col("frames").alias("others"))
-    return v.join(other, "video_id").select("video_id", F.round(V.video_similarity("frames", "others", 8), 6).alias("similarity"))
+    """Videos of close duration and shape, aligned and compared."""
+    v = materialise(A.frames(spark, sf_dir), "frames")
+    near = pairs.duration_pairs(v.select("video_id", F.element_at("frames", -1)["ts_ms"].alias("duration_ms"), (640 + 64 * (F.col("video_id") % 97)).alias("width"), F.lit(720).alias("height")))
+    both = near.join(v.select(F.col("video_id").alias("src"), F.col("frames").alias("a")), "src").join(v.select(F.col("video_id").alias("dst"), F.col("frames").alias("b")), "dst")
+    return both.select("src", "dst", F.round(V.video_similarity("a", "b", 8), 6).alias("similarity"))
 
 
 @query("choose_actions", """WITH r AS (SELECT l_orderkey AS group_id, l_linenumber::BIGINT AS file_id, max(l_extendedprice) / 100000 AS quality FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY quality DESC, file_id) AS rn FROM r),
@@ -375,11 +408,168 @@ def fused_exact_groups(spark, sf_dir):
     return _fused(spark, sf_dir)[2]
 
 
-@query("path_unique", f"WITH {A.STORED} SELECT group_id, file_id FROM items")
-def path_unique(spark, sf_dir):
+@query("path_unique_copies", f"WITH {A.STORED} SELECT group_id, file_id FROM items")
+def path_unique_copies(spark, sf_dir):
     """A second set of groups, all of whose members the first ones hold, is dissolved."""
     g, i = A.stored(spark, sf_dir)
     g = g.select("group_id", "group_type")
     again = i.select((F.col("group_id") + 10**9).alias("group_id"), "file_id", F.concat(F.lit(""), "path").alias("path"))
     more = g.select((F.col("group_id") + 10**9).alias("group_id"), F.lit("similar_text").alias("group_type"))
     return groups.path_unique(g.unionByName(more), i.select("group_id", "file_id", "path").unionByName(again))[1].select("group_id", "file_id")
+
+
+#: Groups that overlap: of file ids near a document's, by type.
+_OVERLAPS = (("exact", 5, 0, (0, 1)), ("similar_image", 3, 0, (0, 2, 4)), ("similar_text", 4, 5, (1, 3, 5)))
+_CLAIMS = " UNION ALL ".join(f"SELECT {k} AS rank, doc_id AS d, [{', '.join(f'doc_id + {x}' for x in at)}] AS ids FROM documents WHERE doc_id % {by} = 0" + (f" AND (doc_id // {by}) % {skip} <> 0" if skip else "") for k, (_, by, skip, at) in enumerate(_OVERLAPS, 1))
+
+
+@query("path_unique", f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY rank, d) AS rn FROM ({_CLAIMS})),
+walk(rn, claimed, kept) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT rn, CASE WHEN len(f) > 1 THEN list_concat(claimed, f) ELSE claimed END, CASE WHEN len(f) > 1 THEN f ELSE [] END
+ FROM (SELECT g.rn, w.claimed, list_filter(g.ids, lambda x: NOT list_contains(w.claimed, x)) AS f FROM walk w JOIN g ON g.rn = w.rn + 1))
+SELECT rank * 1000000000 + d AS group_id, unnest(kept) AS file_id FROM walk JOIN g USING (rn)""")
+def path_unique(spark, sf_dir):
+    """Each file in the first of the overlapping groups that stands."""
+    d, made = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d")), None
+    for k, (kind, by, skip, at) in enumerate(_OVERLAPS, 1):
+        own = d.where(F.col("d") % by == 0)
+        own = own.where(F.floor(F.col("d") / by) % skip != 0) if skip else own
+        one = own.select((F.col("d") + k * 10**9).alias("group_id"), F.lit(kind).alias("group_type"), F.explode(F.array(*(F.col("d") + x for x in at))).alias("file_id"))
+        made = one if made is None else made.unionByName(one)
+    items = materialise(made.withColumn("path", F.concat(F.lit("/p/./"), "file_id")), "overlaps")
+    return groups.path_unique(items.select("group_id", "group_type").distinct(), items.select("group_id", "file_id", "path"))[1].select("group_id", "file_id")
+
+
+@query("clean_path", "SELECT page_id, '/a/' || split_part(url, '/', 3) || '/' || page_id AS path, '/' || page_id || '/../..' || '/' || split_part(url, '/', 3) AS dedupe, CASE WHEN page_id % 2 = 0 THEN '/x' ELSE '/w/x' END AS absolute FROM pages")
+def clean_path(spark, sf_dir):
+    host = F.get(F.split("url", "/"), F.lit(2))
+    messy = F.concat(F.lit("/a//b/.././"), host, F.lit("/c/../"), "page_id", F.lit("/"))
+    link = F.concat(F.lit("//"), "page_id", F.lit("/.././../"), host, F.lit("/"))
+    relative = F.when(F.col("page_id") % 2 == 0, "/x").otherwise("x")
+    return table(spark, sf_dir, "pages").select("page_id", S.clean_path(messy).alias("path"), S.dedupe_key(link).alias("dedupe"), S.absolute_path(relative, F.lit("/w")).alias("absolute"))
+
+
+@query("version_compare", """WITH v AS (SELECT p_partkey, p_size // 10 AS a, p_size % 10 AS b, p_partkey % 3 AS c, p_partkey % 4 AS d FROM part)
+SELECT p_partkey, CASE WHEN a <> c THEN sign(a - c) WHEN b <> d THEN sign(b - d) WHEN p_partkey % 2 = 1 THEN -1 ELSE 0 END::INTEGER AS sign FROM v""")
+def version_compare(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("v"), F.floor(F.col("p_size") / 10), F.lit("."), F.col("p_size") % 10, F.when(F.col("p_partkey") % 2 == 1, "-rc1").otherwise("")).alias("a"), F.concat(F.col("p_partkey") % 3, F.lit("."), F.col("p_partkey") % 4, F.lit(".0")).alias("b"))
+    return p.select("p_partkey", S.version_compare("a", "b").alias("sign"))
+
+
+@query("quality_by_type", f"WITH {A.FILES} SELECT file_id, round(CASE file_id % 4 WHEN 0 THEN quality WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0 END, 6) AS quality FROM files")
+def quality_by_type(spark, sf_dir):
+    kind = F.get(F.array(*(F.lit(x) for x in ("text", "image", "video", "other"))), (F.col("file_id") % 4).cast("int"))
+    return A.files(spark, sf_dir).select("file_id", F.round(S.quality(kind, "size_bytes", F.lit(0.25), F.lit(0.5)), 6).alias("quality"))
+
+
+@query("touch", "SELECT 'o/' || o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'active' ELSE 'missing' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '2024-05-01' ELSE TIMESTAMP '2024-01-01' END AS last_seen FROM orders")
+def touch(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o/"), "o_orderkey").alias("path"), F.lit("missing").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("last_seen"), "o_orderkey")
+    seen = o.where("o_orderkey % 3 = 0").select("path")
+    out = store.touch(o.drop("o_orderkey"), seen.unionByName(seen), F.lit("2024-05-01").cast("timestamp"))
+    return out.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
+@query("save_hashes", """SELECT path, size_bytes, CASE WHEN k % 2 = 0 THEN 'f' || k WHEN k % 3 = 0 THEN 'old' ELSE NULL END AS full_hash, CASE WHEN k % 5 = 0 THEN 'v1:s' || k WHEN k % 3 = 0 THEN 'v0:x' END AS sampled_hash, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'sha256' ELSE 'sha256-sampled' END AS algorithm
+FROM (SELECT o_orderkey AS k, 'o/' || o_orderkey AS path, CASE WHEN o_orderkey % 5 = 0 THEN 5 WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS size_bytes FROM orders) WHERE k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0""")
+def save_hashes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("o/"), "o_orderkey").alias("path"))
+    size = lambda n: F.lit(n).cast("long").alias("size_bytes")
+    old = o.where("k % 3 = 0").select("path", size(3), F.lit("old").alias("full_hash"), F.lit("v0:x").alias("sampled_hash"), F.lit("sha256").alias("algorithm"))
+    return store.save_hashes(old, o.where("k % 2 = 0").select("path", size(2), F.concat(F.lit("f"), "k").alias("digest")), o.where("k % 5 = 0").select("path", size(5), F.concat(F.lit("s"), "k").alias("digest")))
+
+
+@query("carry_features", "SELECT 'o/' || o_orderkey AS path, o_custkey AS width FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0")
+def carry_features(spark, sf_dir):
+    """Features of a first scan that a second may use again."""
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("o/"), "o_orderkey").alias("path"), F.col("o_custkey").alias("width"))
+    return store.carry_features(rows, store.incremental_status(*_manifests(spark, sf_dir)))
+
+
+@query("upsert_features", "SELECT 'o/' || o_orderkey AS path, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [10] ELSE [1, 2] END)::INTEGER AS idx FROM orders")
+def upsert_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("o/"), "o_orderkey").alias("path"), "o_orderkey")
+    old = rows.select("path", F.explode(F.array(F.lit(1), F.lit(2))).alias("idx"))
+    return store.upsert(old, rows.where("o_orderkey % 2 = 0").select("path", F.lit(10).alias("idx")))
+
+
+@query("group_members", f"WITH {A.STORED} SELECT group_id, file_id, path FROM items JOIN groups USING (group_id) WHERE group_id % 2 = 0 AND file_id <> recommended_file_id")
+def group_members(spark, sf_dir):
+    g, i = A.stored(spark, sf_dir)
+    return store.group_members(g, i, g.where("group_id % 2 = 0"))
+
+
+_GONE = f"{A.STORED}, o AS (SELECT *, file_id % 3 = 0 AS ok, file_id % 3 = 1 AS failed, file_id % 5 <> 0 AS there FROM items)"
+
+
+@query("delete_effects", f"WITH {_GONE} SELECT group_id FROM o GROUP BY group_id HAVING count(*) FILTER (WHERE ok) > 0 AND count(*) FILTER (WHERE NOT ok AND there) BETWEEN 1 AND count(*) - 1")
+def delete_effects(spark, sf_dir):
+    return _deleted(spark, sf_dir)[1]
+
+
+@query("delete_audit", f"WITH {_GONE} SELECT 'trash' AS mode, group_id, file_id, path, ok, CASE WHEN ok THEN '' ELSE 'in use' END AS message FROM o WHERE ok OR failed")
+def delete_audit(spark, sf_dir):
+    return _deleted(spark, sf_dir)[0]
+
+
+def _deleted(spark, sf_dir):
+    g, i = A.stored(spark, sf_dir)
+    outcome = i.where("file_id % 3 < 2").select("path", (F.col("file_id") % 3 == 0).alias("ok"), F.lit("in use").alias("message"))
+    return store.delete_effects(g, i, outcome, i.where("file_id % 5 <> 0").select("path"), "trash")
+
+
+@query("final_counters", f"WITH {A.STORED} SELECT count(*) FILTER (WHERE group_type = 'exact') AS exact, count(*) FILTER (WHERE group_type <> 'exact') AS similar FROM groups")
+def final_counters(spark, sf_dir):
+    return results.final_counters(A.stored(spark, sf_dir)[0])
+
+
+def _errors(spark, sf_dir):
+    kind = F.when(F.col("l_linenumber") == 1, "aux").when(F.col("l_linenumber") == 2, "").when(F.col("l_linenumber") == 3, "skipped")
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("error_id"), (F.col("l_orderkey") % 9).alias("scan_run_id"), F.concat(F.lit("f/"), "l_partkey").alias("path"), F.lit("file_hash").alias("stage"), kind.alias("kind"), F.col("l_returnflag").alias("message")).distinct()
+
+
+@query("split_errors", "SELECT l_linenumber = 1 AS aux, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem) GROUP BY 1")
+def split_errors(spark, sf_dir):
+    skipped, aux = results.split_errors(_errors(spark, sf_dir))
+    return skipped.withColumn("aux", F.lit(False)).unionByName(aux.withColumn("aux", F.lit(True))).groupBy("aux").agg(F.count("*").alias("n"))
+
+
+@query("load_errors", "SELECT path, stage, kind, message FROM (SELECT DISTINCT l_orderkey, l_linenumber, 'f/' || l_partkey AS path, 'file_hash' AS stage, CASE l_linenumber WHEN 1 THEN 'aux' WHEN 2 THEN '' ELSE 'skipped' END AS kind, l_returnflag AS message FROM lineitem WHERE l_orderkey % 9 = 4)")
+def load_errors(spark, sf_dir):
+    return results.load_errors(_errors(spark, sf_dir), 4)
+
+
+@query("latest_run", "SELECT max(l_orderkey % 9) AS scan_run_id FROM lineitem")
+def latest_run(spark, sf_dir):
+    return results.latest_run(_errors(spark, sf_dir).select("scan_run_id").distinct())
+
+
+@query("list_groups_by_size", f"WITH {A.STORED} SELECT group_id, row_number() OVER (ORDER BY bytes DESC, group_id)::INTEGER AS place FROM (SELECT group_id, sum(CASE WHEN file_id <> recommended_file_id THEN size_bytes ELSE 0 END) AS bytes FROM groups JOIN items USING (group_id) GROUP BY group_id)")
+def list_groups_by_size(spark, sf_dir):
+    """A client's order of the list, told by places."""
+    shown = results.list_groups(*A.stored(spark, sf_dir), status="all", sort="size").select("group_id").limit(100_000)
+    return shown.select("group_id", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).alias("place"))
+
+
+@query("order_projects", "SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey % 4 = 0, CASE WHEN c_nationkey % 4 <> 0 THEN c_acctbal END DESC, CASE WHEN c_nationkey % 4 = 0 THEN c_acctbal END DESC)::INTEGER AS place FROM customer")
+def order_projects(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 4 != 0, F.col("c_acctbal")).alias("last_scan_at"), F.col("c_acctbal").alias("created_at"))
+    return results.order_projects(rows).select("c_custkey").select("c_custkey", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
+
+
+@query("recent_folders", "SELECT c_name AS path FROM customer ORDER BY c_acctbal DESC, c_name LIMIT 30")
+def recent_folders(spark, sf_dir):
+    return results.recent_folders(table(spark, sf_dir, "customer").select(F.col("c_name").alias("path"), F.col("c_acctbal").alias("last_used_at")), 30).select("path")
+
+
+@query("feature_blobs", "SELECT doc_id, strlen(text)::BIGINT AS n FROM documents")
+def feature_blobs(spark, sf_dir):
+    """Features through the form of a store without arrays, and back."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            back = [T.decode_features(T.encode_features(np.array([n, 2**64 - 1], np.uint64))) for n in b["n"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([int(x[0]) if int(x[1]) == 2**64 - 1 else -1 for x in back], pa.int64())], ["doc_id", "n"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n")).mapInArrow(run, "doc_id long, n long")

@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import hash_similarity, max_hamming, sha256_full, stable_key
+from ..functions.scalar import hash_similarity, image_quality, max_hamming, quality, video_quality
 from ..functions.text import text_facts
 from ..functions.video import video_similarity
-from ..operators import exact, groups, pairs
+from ..operators import exact, groups, keys, pairs
+from ..operators.ordering import ordered
+from ..sources import files as sources
+from ..sources import media
 from ..storage import materialise
 
 
-def scan(files: DataFrame, settings: config.Settings = config.Settings(), image_facts: DataFrame | None = None, video_facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(groups, items) of files (file_id, path, media_type, size_bytes, quality, content).
+def _numbered(found: DataFrame, items: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Groups and items with group_id from 1 in the order of (type, least file id); `key` told them apart before."""
+    rank = F.array_position(F.array(*(F.lit(t) for t in config.TYPE_ORDER)), F.col("group_type"))
+    least = found.join(items.groupBy(key).agg(F.min("file_id").alias("least")), key).withColumn("rank", rank)
+    fresh = ordered(least.withColumn("key", F.col(key)).drop("group_id"), [], [F.col("rank"), F.col("least")])
+    fresh = materialise(fresh.withColumn("group_id", F.col("k").cast("long")).drop("rank", "least", "k", "n"), "groups")
+    rows = items.withColumn("key", F.col(key)).drop("group_id").join(fresh.select("key", "group_id"), "key")
+    return fresh, rows
+
+
+def scan(files: DataFrame, settings: config.Settings = config.Settings(), image_facts: DataFrame | None = None, video_facts: DataFrame | None = None, failed: DataFrame | None = None, digests=exact.content_digests, texts=lambda files: files) -> tuple[DataFrame, DataFrame]:
+    """(groups, items) of files (file_id, path, media_type, size_bytes, quality[, content][, full_hash]).
+
+    Without a column `content`, `digests` (see exact.tiered_members) and `texts`,
+    which adds it to text files, read the files by path.
 
     image_facts: (file_id, width, height, phash); video_facts: (file_id, duration_ms,
     width, height, frames), used in precise mode only. Of an exact group only its
-    representative goes on to the similarity passes. Groups are numbered by (type,
-    least file id).
+    representative goes on to the similarity passes. Files of `failed` (file_id)
+    leave their groups, and no path or file is in two groups. Groups are numbered
+    by (type, least file id).
     """
     files = files.where(F.col("media_type").isin(*settings.media))
-    members = materialise(exact.exact_members(files, sha256_full("content")).drop("content"), "members")
+    members = materialise(exact.tiered_members(files, settings, digests), "members")
     reps = materialise(exact.representatives(members), "reps")
     ex = members.select("group_id", F.col("recommended").alias("recommended_file_id"), "confidence").distinct()
     siblings = members.select("file_id").join(reps.select(F.col("rep_id").alias("file_id")), "file_id", "left_anti")
@@ -30,7 +47,7 @@ def scan(files: DataFrame, settings: config.Settings = config.Settings(), image_
     slim = alone.select("file_id", "path", "size_bytes", "quality")
     found = []
     if "text" in settings.media:
-        facts = materialise(text_facts(alone.where("media_type = 'text'")), "facts")
+        facts = materialise(text_facts(texts(alone.where("media_type = 'text'"))), "facts")
         edges = materialise(groups.text_edges(facts, settings.text_threshold), "edges")
         g, i = groups.text_groups(facts, edges)
         found.append((g, i.join(slim.select("file_id", "quality"), "file_id")))
@@ -57,18 +74,50 @@ def scan(files: DataFrame, settings: config.Settings = config.Settings(), image_
     if absorbed is not None:
         absorbed = materialise(absorbed.distinct(), "absorbed")
         exact_groups, exact_items = exact_groups.join(absorbed, "group_id", "left_anti"), exact_items.join(absorbed, "group_id", "left_anti")
-    # ids are unique within a type: they become (type, least member) ranks
-    kind = lambda g, t: g.withColumn("key", F.concat_ws("/", F.lit(t), "group_id"))
-    all_g, all_i = None, None
     tagged = [(exact_groups.select(heads), exact_items.select(names), "exact")] + [(g, i.select(names), f"s{k}") for k, (g, i) in enumerate(zip(out_g, out_i, strict=True))]
+    all_g = all_i = None  # ids are unique within a type only
     for g, i, t in tagged:
-        all_g = kind(g, t) if all_g is None else all_g.unionByName(kind(g, t))
-        all_i = kind(i, t) if all_i is None else all_i.unionByName(kind(i, t))
-    rank = F.array_position(F.array(*(F.lit(t) for t in config.TYPE_ORDER)), F.col("group_type"))
-    order = all_g.join(all_i.groupBy("key").agg(F.min("file_id").alias("least"), F.collect_list("path").alias("paths")), "key")
-    numbered = order.withColumn("group_id", F.row_number().over(Window.orderBy(rank, "least")).cast("long")).withColumn("stable_key", stable_key("group_type", "paths")).drop("paths", "least")
-    numbered = materialise(numbered, "groups")
-    return numbered.drop("key"), all_i.drop("group_id").join(numbered.select("key", "group_id"), "key").drop("key")
+        g, i = (x.withColumn("own", F.concat_ws("/", F.lit(t), "group_id")) for x in (g, i))
+        all_g, all_i = (g, i) if all_g is None else (all_g.unionByName(g), all_i.unionByName(i))
+    g, i = _numbered(all_g, all_i, "own")
+    g, i = g.select(heads), materialise(i.select(names), "items")
+    if failed is not None:
+        g, i = groups.drop_failed(g, i, failed)
+    g, i = groups.path_unique(g, i)
+    g, i = _numbered(g, i, "group_id")
+    keyed = keys.stable_keys(i.select("group_id", "path").join(g.select("group_id", "group_type"), "group_id"))
+    return g.select(heads).join(keyed, "group_id"), i.select(names)
+
+
+def scan_paths(spark: SparkSession, roots: list[str], settings: config.Settings = config.Settings(), video_facts: DataFrame | None = None, ffmpeg: str = "ffmpeg", probes: DataFrame | None = None, hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, items, errors) of the files below `roots`: discovery, reading, features and scan().
+
+    Pictures are hashed here. Videos have features where `video_facts` gives them
+    (path, duration_ms, width, height, frames), or where `probes` (path, probe) is
+    given, from frames that ffmpeg takes. `hashes` (path, full_hash) are digests that
+    are known from before, of files that have not changed. errors: (path, stage, kind, message).
+    """
+    met: list[tuple[str, str, str, str]] = []
+    found = materialise(sources.discover(spark, roots, on_error=lambda path, e: met.append((path, "discover", "skipped", str(e)))), "files")
+    pictures = materialise(media.image_facts(spark, found.where("media_type = 'image'"), roots), "pictures")
+    if video_facts is None and probes is not None:
+        video_facts = materialise(media.video_facts(sources.probed_videos(probes), settings.frames, ffmpeg), "videos")
+    facts = None if video_facts is None else found.select("file_id", "path").join(video_facts, "path").drop("path")
+    of_image = pictures.where("width > 0").select("file_id", image_quality("width", "height", "format_name", "size_bytes").alias("of_image"))
+    files = found.join(of_image, "file_id", "left").withColumn("of_video", F.lit(None).cast("double"))
+    if facts is not None and {"bit_rate", "codec", "has_audio"} <= set(facts.columns):
+        of_video = facts.select("file_id", video_quality("width", "height", "bit_rate", "codec", "has_audio", "duration_ms").alias("of_video"))
+        files = files.drop("of_video").join(of_video, "file_id", "left")
+    files = materialise(files.withColumn("quality", quality("media_type", "size_bytes", F.col("of_image"), F.col("of_video"))).drop("of_image", "of_video"), "files")
+    if hashes is not None:
+        files = files.join(hashes.select("path", "full_hash"), "path", "left")
+    unread = materialise(sources.unreadable(files), "unread")
+    ok = files.join(unread, "file_id", "left_anti")
+    hashed = pictures.where("phash IS NOT NULL").select("file_id", "width", "height", "phash")
+    g, i = scan(ok, settings, hashed, facts, None, sources.file_digests, sources.file_texts)
+    told = unread.select("path", F.lit("file_hash").alias("stage"), F.lit("skipped").alias("kind"), "message")
+    told = told.unionByName(pictures.where("message IS NOT NULL").select("path", F.lit("image_features").alias("stage"), F.lit("aux").alias("kind"), "message"))
+    return g, i, told.unionByName(spark.createDataFrame(met, "path string, stage string, kind string, message string"))
 
 
 def image_pairs(image_facts: DataFrame, threshold: float) -> DataFrame:

@@ -2,27 +2,31 @@
 
 Listings are made on the driver, which alone can prune folders while it walks, and
 keep names that begin with a dot or an underscore, which Spark's own file index
-drops. Contents are read where they are needed, by path, on the executors.
+drops; they go to tables batch by batch. Contents are read where they are needed,
+by path, on the executors, which must see the folders.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import os
 import struct
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import extension, media_type
+from ..operators.ordering import ordered
+from ..storage import materialise
 
-LISTING = "path string, size_bytes long, mtime_ns long"
+LISTING = "path string, size_bytes long, mtime_ns long, inode long, device long"
 
 
 def walk(roots: list[str], recursive: bool = True, on_error=None):
-    """(path, size, mtime_ns), each real file once. Hidden and skipped folders and links to folders are passed over."""
+    """(path, size, mtime_ns, inode, device), each real file once. Hidden and skipped folders and links to folders are passed over."""
     seen = set()
 
     def one(path):
@@ -36,7 +40,7 @@ def walk(roots: list[str], recursive: bool = True, on_error=None):
             if on_error:
                 on_error(path, e)
             return
-        yield path, s.st_size, s.st_mtime_ns
+        yield path, s.st_size, s.st_mtime_ns, s.st_ino, s.st_dev % (1 << 63)
 
     def into(folder):
         try:
@@ -61,13 +65,89 @@ def walk(roots: list[str], recursive: bool = True, on_error=None):
             on_error(root, FileNotFoundError(root))
 
 
-def discover(spark: SparkSession, roots: list[str], recursive: bool = True, on_error=None) -> DataFrame:
-    """(file_id, path, media_type, extension, size_bytes, mtime_ns) of known media; ids follow the (folder, path) order."""
-    rows = sorted(walk(roots, recursive, on_error), key=lambda r: (os.path.dirname(r[0]), r[0]))
+def discover(spark: SparkSession, roots: list[str], recursive: bool = True, on_error=None, batch: int = 100_000) -> DataFrame:
+    """(file_id, path, media_type, extension, size_bytes, mtime_ns, inode, device) of known media; ids follow the (folder, path) order.
+
+    The walk hands over `batch` files at a time, as tables; the order is Spark's.
+    """
     known = set(config.IMAGE_EXTENSIONS + config.VIDEO_EXTENSIONS + config.TEXT_EXTENSIONS)
-    rows = [r for r in rows if os.path.splitext(r[0])[1].lower() in known]
-    found = spark.createDataFrame([(k, *r) for k, r in enumerate(rows, 1)], f"file_id long, {LISTING}")
-    return found.withColumn("media_type", media_type("path")).withColumn("extension", extension("path"))
+    listed = (r for r in walk(roots, recursive, on_error) if os.path.splitext(r[0])[1].lower() in known)
+    found = None
+    while rows := list(itertools.islice(listed, batch)):
+        part = spark.createDataFrame(rows, LISTING)
+        part = part if len(rows) < batch and found is None else materialise(part, "listing")
+        found = part if found is None else found.unionByName(part)
+    found = spark.createDataFrame([], LISTING) if found is None else found
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    numbered = ordered(found.withColumn("folder", folder), [], [F.col("folder"), F.col("path")])
+    numbered = numbered.select(F.col("k").cast("long").alias("file_id"), *found.columns)
+    return numbered.withColumn("media_type", media_type("path")).withColumn("extension", extension("path"))
+
+
+def _by_path(files: DataFrame, columns: str, read) -> DataFrame:
+    """files with columns that `read` makes of each path, where a task finds it."""
+    made = [c.split()[0] for c in columns.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    kept = files.drop(*made)
+
+    def run(batches):
+        for b in batches:
+            out = [read(*x) for x in zip(b["path"].to_pylist(), b["size_bytes"].to_pylist(), strict=True)]
+            arrays = [pa.array([o[k] for o in out], kinds[c.split()[1]]) for k, c in enumerate(columns.split(", "))]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept.columns), *arrays], [*kept.columns, *made])
+
+    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", " + columns)
+
+
+def file_digests(files: DataFrame, kind: str, segment: int) -> DataFrame:
+    """files with `digest` of the file at `path`, read in pieces; null where it can't be read. See exact.tiered_members()."""
+
+    def read(path, size):
+        h = hashlib.sha256()
+        try:
+            with open(path, "rb") as f:
+                if kind != "sampled":
+                    while piece := f.read(1 << 20):
+                        h.update(piece)
+                    return (h.hexdigest(),)
+                h.update(struct.pack("<q", size))
+                if size <= 3 * segment:
+                    h.update(f.read())
+                else:
+                    for at in (0, (size - segment) // 2, size - segment):
+                        f.seek(at)
+                        h.update(struct.pack("<q", at) + f.read(segment))
+                return (h.hexdigest(),)
+        except OSError:
+            return (None,)
+
+    return _by_path(files, "digest string", read)
+
+
+def file_texts(files: DataFrame) -> DataFrame:
+    """files with `content`, the decoded text of the file at `path`; null where it can't be read."""
+
+    def read(path, size):
+        try:
+            with open(path, "rb") as f:
+                return (decode(f.read()),)
+        except OSError:
+            return (None,)
+
+    return _by_path(files, "content string", read)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(file_id, path, message) of files that can't be opened."""
+
+    def read(path, size):
+        try:
+            with open(path, "rb"):
+                return (None,)
+        except OSError as e:
+            return (str(e),)
+
+    return _by_path(files.select("file_id", "path", "size_bytes"), "message string", read).where("message IS NOT NULL").drop("size_bytes")
 
 
 def read_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -100,8 +180,26 @@ def decode_texts(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", content string")
 
 
+def _tiff_size(raw: bytes) -> tuple[int, int, str] | None:
+    order = "<" if raw[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", raw[4:8])[0]
+    if len(raw) < at + 2:
+        return None
+    held = {}
+    for k in range(struct.unpack(order + "H", raw[at : at + 2])[0]):
+        entry = raw[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(entry) < 12:
+            return None
+        tag, kind = struct.unpack(order + "HH", entry[:4])
+        if tag in (256, 257):
+            held[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entry[8 : 10 if kind == 3 else 12])[0]
+    return (held[256], held[257], "TIFF") if len(held) == 2 else None
+
+
 def image_header(raw: bytes) -> tuple[int, int, str] | None:
-    """(width, height, format) of PNG, GIF, BMP, JPEG and WebP by their true headers."""
+    """(width, height, format) of PNG, GIF, BMP, TIFF, JPEG and WebP by their true headers."""
+    if raw[:4] in (b"II*\0", b"MM\0*") and len(raw) >= 8:
+        return _tiff_size(raw)
     if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
         return (*struct.unpack(">II", raw[16:24]), "PNG")
     if raw[:6] in (b"GIF87a", b"GIF89a"):
@@ -128,47 +226,6 @@ def image_header(raw: bytes) -> tuple[int, int, str] | None:
     return None
 
 
-def perceptual_hash(grey: np.ndarray) -> int:
-    """64 bits of the low cosine frequencies of a 64 x 64 grey picture over their median; the first is the highest."""
-    n = grey.shape[0]
-    k = np.arange(n)
-    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
-    low = (basis[:8] @ grey @ basis[:8].T).ravel()
-    bits = low > np.median(low)
-    return int("".join("1" if b else "0" for b in bits), 2)
-
-
-def blank(grey: np.ndarray) -> bool:
-    """Too dark or too even to compare."""
-    return grey.mean() < 18 or grey.std() < 8
-
-
-def hash_images(images: DataFrame) -> DataFrame:
-    """(path, width, height, phash) of Spark's image source (struct image: height, width, nChannels, data)."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for x in b["image"].to_pylist():
-                w, h, c = x["width"], x["height"], x["nChannels"]
-                value = None
-                if w > 0 and h > 0 and w * h <= 100_000_000:
-                    a = np.frombuffer(x["data"], np.uint8).reshape(h, w, c).astype(float)
-                    grey = a[:, :, 0] if c == 1 else a[:, :, :3] @ np.array([0.114, 0.587, 0.299])
-                    ys, xs = (np.linspace(0, s - 1, 64) for s in (h, w))
-                    y0, x0 = ys.astype(int), xs.astype(int)
-                    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-                    fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
-                    small = (grey[np.ix_(y0, x0)] * (1 - fx) + grey[np.ix_(y0, x1)] * fx) * (1 - fy) + (grey[np.ix_(y1, x0)] * (1 - fx) + grey[np.ix_(y1, x1)] * fx) * fy
-                    value = perceptual_hash(small)
-                    value = value - (1 << 64) if value >= 1 << 63 else value
-                rows.append((x["origin"], w, h, value))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["path", "width", "height", "phash"])
-
-    return images.select("image").mapInArrow(run, "path string, width long, height long, phash long")
-
-
 def probed_videos(probes: DataFrame) -> DataFrame:
     """Facts of rows (path, probe), where probe is the JSON text of a media probe's streams and format."""
     kind = "struct<streams:array<struct<codec_type:string,codec_name:string,width:int,height:int,duration:string,bit_rate:string,avg_frame_rate:string>>,format:struct<duration:string,bit_rate:string>>"

@@ -177,7 +177,7 @@ def test_shown_values(spark):
 
 
 def test_perceptual_hash_tells_pictures_apart():
-    from gleaner.sources.files import blank, perceptual_hash
+    from gleaner.sources.media import blank, perceptual_hash
 
     a, b = (np.random.default_rng(k).normal(size=(8, 8)).repeat(8, 0).repeat(8, 1) * 40 + 120 for k in (1, 2))
     assert perceptual_hash(a) == perceptual_hash(a + 3) and (perceptual_hash(a) ^ perceptual_hash(b)).bit_count() > 12
