@@ -89,12 +89,13 @@ def _by_path(files: DataFrame, columns: str, read) -> DataFrame:
     made = [c.split()[0] for c in columns.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64()}
     kept = files.drop(*made)
+    names = kept.columns
 
     def run(batches):
         for b in batches:
             out = [read(*x) for x in zip(b["path"].to_pylist(), b["size_bytes"].to_pylist(), strict=True)]
             arrays = [pa.array([o[k] for o in out], kinds[c.split()[1]]) for k, c in enumerate(columns.split(", "))]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept.columns), *arrays], [*kept.columns, *made])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *arrays], [*names, *made])
 
     return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", " + columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.video import frame_timestamps
-from .files import image_header
+from ..storage import materialise
+from .files import _by_path, image_header
 
 #: A picture has no more pixels than this; larger ones are not hashed.
 MOST_PIXELS = 100_000_000
@@ -91,8 +93,6 @@ def image_facts(spark: SparkSession, files: DataFrame, roots: list[str]) -> Data
     without a header that is known, or whose type can be hashed but which can't be
     decoded, has a message; of types that can't be hashed only the header counts.
     """
-    from .files import _by_path
-
     def read(path, size):
         try:
             with open(path, "rb") as f:
@@ -104,9 +104,14 @@ def image_facts(spark: SparkSession, files: DataFrame, roots: list[str]) -> Data
     heads = _by_path(files.select("file_id", "path", "size_bytes"), "width long, height long, format_name string, message string", read)
     kinds = [e for e in config.IMAGE_EXTENSIONS if e not in config.NO_PHASH]
     glob = "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in kinds) + "}"
-    pictures = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
+    there = [r for r in map(os.path.expanduser, roots) if os.path.exists(r)]
+    if not there:
+        return heads.withColumn("phash", F.lit(None).cast("long")).select("file_id", "path", "size_bytes", "width", "height", "format_name", "phash", "message")
+    pictures = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(there)
     hashed = hash_images(pictures).select(F.expr("url_decode(regexp_replace(regexp_replace(path, '^file:/*', '/'), '[+]', '%2B'))").alias("path"), "phash")
-    return heads.join(hashed.dropDuplicates(["path"]), "path", "left").select("file_id", "path", "size_bytes", "width", "height", "format_name", "phash", "message")
+    can = F.col("format_name").isNotNull() & F.lower(F.regexp_extract("path", r"(\.[^.]*)$", 1)).isin(*kinds) & F.col("phash").isNull()
+    met = heads.join(hashed.dropDuplicates(["path"]), "path", "left").withColumn("message", F.coalesce("message", F.when(can, "the picture can't be decoded")))
+    return met.select("file_id", "path", "size_bytes", "width", "height", "format_name", "phash", "message")
 
 
 def extract_frames(videos: DataFrame, frames: int, ffmpeg: str = "ffmpeg", seconds: int = 60) -> DataFrame:
@@ -163,8 +168,6 @@ def frame_sequences(hashes: DataFrame) -> DataFrame:
 
 def video_facts(videos: DataFrame, frames: int, ffmpeg: str = "ffmpeg") -> DataFrame:
     """videos with `frames`; those of which no frame can be used, or ffmpeg fails, have none and are left out."""
-    from ..storage import materialise
-
     taken = materialise(extract_frames(videos, frames, ffmpeg), "frames")
     failed = taken.where("message IS NOT NULL").select("path").distinct()
     return videos.join(frame_sequences(hash_frames(taken)), "path").join(failed, "path", "left_anti")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +28,14 @@ def owned(name: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -68,6 +73,29 @@ def release(spark: SparkSession, df: DataFrame | None = None, owner: str | None
         del _written[path]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers that start without it on their path; once for a context."""
+    context = spark.sparkContext
+    if getattr(context, "_gleaner_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                at = os.path.join(folder, name)
+                z.write(at, os.path.join(os.path.basename(here), os.path.relpath(at, here)))
+    path = f"{shared_dir(spark)}/gleaner-{uuid.uuid4().hex}.zip"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(path)
+    context._gleaner_shipped = True
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts an exchange has; the cluster scales it with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
