@@ -1,16 +1,21 @@
-"""Katz backoff language model of word pairs, learned from and applied to a corpus.
-
-Counts are Good-Turing discounted up to CUTOFF; what the discounts free at a
-history is given to its unseen continuations in proportion to their unigram
-probability, so every history's distribution sums to one exactly (over the known
-words, the end, and one event for all unknown words).
-
-Documents are dealt into parts by doc_id. A part asks for each of its distinct
-words, then for each of its distinct pairs, once; requests and replies travel as
-sorted arrays. The tables of counts are partitioned by the hash of the word, or of
-the history, and no task or driver holds a whole one. What a part is told is kept
-in a shared table until its documents are scored, token by token: the pair, else
-its history's backoff weight times the unigram.
+"""Katz backoff language model of word triples, learned from and applied to a corpus.
+
+Counts are Good-Turing discounted up to CUTOFF. A token is scored by the triple it
+ends; where that was not seen often enough (LEAST_TRIPLE times), by the backoff
+weight of its two words of history times the same rule for pairs, and so on down to
+the single word. What the discounts free at a history goes to its unseen
+continuations in proportion to their probability one order down, so every history's
+distribution sums to one exactly (over the known words, the end, and one event for
+all unknown words). A text's first token has the end as its only history, its
+second that and the first.
+
+Documents are dealt into parts by doc_id and become word numbers once. A part asks
+for each of its distinct words, then pairs, then triples once; requests and replies
+travel as sorted arrays. A table of counts is partitioned by the hash of the
+history, and a history with more than a part's share of all tokens by that of the
+next word too; what such shards say of it is added up. Triples that occur once in
+the corpus are told apart first, by short hashes, and not asked for. No task or
+driver holds a whole table.
 """
 
 from __future__ import annotations
@@ -24,14 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, partitions, table
-from .common import document_blocks, get_arrays, id_array, put_arrays, read_blocks
+from ..storage import materialise, partitions, release, table
+from .common import document_blocks, get_arrays, id_array, put_arrays, read_blocks, slices
 
 CUTOFF = 5
+#: Triples seen less often in learning give way to pairs, as is usual for Katz models.
+LEAST_TRIPLE = 2
 HOLD_OUT = 10
 END = b" "
+SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 KINDS = "d int, r int, kind int, blob binary"
-WORDS, PAIRS, STATS = 0, 1, 2
+WORDS, MAYBE, PAIRS, TRIPLES, STATS, TOKENS = range(6)
+SHORT = np.uint64(40)  # bits of a triple's short hash, besides the part that it goes to
 
 
 class Ids(dict):
@@ -46,35 +55,83 @@ def held_out(doc_id: int, is_null: int) -> bool:
     return not is_null and zlib.crc32(str(int(doc_id)).encode()) % HOLD_OUT == 0
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the smallest type that holds them all."""
+    top = int(a.max(initial=0))
+    return a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def planes(a: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers from 0 as their low and high bits, which pack better apart."""
+    a = a.astype(np.uint64)
+    return [(a & np.uint64(0xFF)).astype(np.uint8), narrow(a >> np.uint64(8) & np.uint64(0xFFFFFF)), narrow(a >> np.uint64(32))]
+
+
+def joined(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | mid.astype(np.int64) << 8 | high.astype(np.int64) << 32
+
+
+def _stir(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 class Part:
-    """A part's documents as word numbers, with its distinct words in hash order."""
+    """A part's documents as word numbers, with its distinct words by the part they ask and by hash."""
+
+    def __init__(self, ids, nulls, held, lengths, hashes, place, tokens, parts: int):
+        self.ids, self.nulls, self.held, self.lengths, self.hashes, self.place, self.parts = ids, nulls, held.astype(bool), lengths.astype(np.int64), hashes, place, parts
+        self.cuts = np.searchsorted(hashes % np.uint64(parts), np.arange(parts + 1))
+        self.raw = tokens
+        self.tokens = place[tokens]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.end = int(place[0]) if len(place) else 0
+        self.learn = np.repeat(~self.held, self.lengths)
+        self.before = np.empty(len(self.tokens), np.int64)
+        self.before[1:] = self.tokens[:-1]
+        self.before[self.starts] = self.end
 
-    def __init__(self, blocks: pa.Table, parts: int):
-        self.ids, self.nulls, texts, _ = read_blocks(blocks)
+    @classmethod
+    def of_texts(cls, blocks: pa.Table, parts: int) -> Part:
+        ids, nulls, texts, _ = read_blocks(blocks)
         names = Ids({END: 0})
-        seqs = []
+        rows, lengths, end = [], [], np.zeros(1, np.int32)
         for t in texts:
-            seqs.append(np.fromiter(map(names.__getitem__, t.lower().split()), np.int32))
-        self.held = np.array([held_out(i, z) for i, z in zip(self.ids, self.nulls, strict=True)], bool)
-        self.lengths = np.array([len(s) + 1 for s in seqs], np.int64)
+            n = 1
+            for piece in slices(t.lower().translate(SPACES)):
+                words = piece.split()
+                rows.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
+                n += len(words)
+            rows.append(end)
+            lengths.append(n)
+        held = np.array([held_out(i, z) for i, z in zip(ids, nulls, strict=True)], bool)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
         order = np.lexsort((hashes, hashes % np.uint64(parts)))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.hashes, self.parts = hashes[order], parts
-        self.cuts = np.searchsorted(self.hashes % np.uint64(parts), np.arange(parts + 1))
-        end = np.array([place[0]], np.int32)
-        self.tokens = np.concatenate([np.zeros(0, np.int32), *(x for s in seqs for x in (place[s], end))])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.end = int(end[0])
-        self.learn = np.repeat(~self.held, self.lengths)
+        return cls(ids, nulls, held, np.array(lengths, np.int64), hashes[order], place, np.concatenate([np.zeros(0, np.int32), *rows]), parts)
+
+    def pack(self) -> bytes:
+        low, mid, _ = planes(self.raw)
+        return put_arrays(self.ids, self.nulls, self.held.astype(np.uint8), narrow(self.lengths), self.hashes, narrow(self.place), low, mid)
+
+    @classmethod
+    def unpack(cls, blob: bytes, parts: int) -> Part:
+        ids, nulls, held, lengths, hashes, place, low, mid = get_arrays(blob)
+        return cls(ids, nulls, held, lengths, hashes, place.astype(np.int32), low.astype(np.int32) | mid.astype(np.int32) << 8, parts)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct codes history * words + word, code number of each token)."""
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = self.end
-        return np.unique(before * len(self.hashes) + self.tokens, return_inverse=True)
+        return np.unique(self.before * len(self.hashes) + self.tokens, return_inverse=True)
+
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of tokens that end a triple, short hashes of these triples, the part asked in the high bits)."""
+        inner = np.ones(len(self.tokens), bool)
+        inner[self.starts] = False
+        at = np.flatnonzero(inner)
+        h = self.hashes
+        x = _stir(_stir(h[self.before[at - 1]] * np.uint64(3) + h[self.tokens[at - 1]]) + h[self.tokens[at]])
+        return at, (x % np.uint64(self.parts)) << SHORT | x >> (np.uint64(64) - SHORT)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -113,77 +170,127 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"d": pa.array([x[0] for x in rows], pa.int32()), "r": pa.array([x[1] for x in rows], pa.int32()), "kind": pa.array([x[2] for x in rows], pa.int32()), "blob": pa.array([x[3] for x in rows], pa.binary())})
 
 
-def _count_words(requests: pa.Table) -> pa.Table:
-    """Totals of a partition's words; the replies follow the order of the requests."""
-    asked = [get_arrays(x) for x in requests["blob"].to_pylist()]
-    hashes, back = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
-    totals = np.bincount(back, np.concatenate([c for _, c in asked]), len(hashes)).astype(np.int64)
-    rows, at = [], 0
-    r = requests["r"][0].as_py()
-    for d, (h, _) in zip(requests["d"].to_pylist(), asked, strict=True):
-        rows.append((d, r, WORDS, put_arrays(totals[back[at : at + len(h)]])))
-        at += len(h)
-    rows.append((-1, r, STATS, put_arrays(np.array([totals.sum(), (totals > 0).sum(), *np.bincount(np.minimum(totals, CUTOFF + 2), minlength=CUTOFF + 3)], np.int64))))
+def _of(rows: pa.Table, kind: int) -> dict[int, bytes]:
+    """Blobs of a kind by r."""
+    return {r: x for r, k, x in zip(rows["r"].to_pylist(), rows["kind"].to_pylist(), rows["blob"].to_pylist(), strict=True) if k == kind}
+
+
+def _summary(totals: np.ndarray) -> bytes:
+    return put_arrays(np.array([totals.sum(), (totals > 0).sum(), *np.bincount(np.minimum(totals, CUTOFF + 2), minlength=CUTOFF + 3)], np.int64))
+
+
+def _ask_words(group: pa.Table, parts: int) -> pa.Table:
+    """A part's words with their learned counts, its triples' short hashes with theirs, up to 2, and its tokens."""
+    part, d = Part.of_texts(group, parts), group["d"][0].as_py()
+    counts = np.bincount(part.tokens[part.learn], minlength=len(part.hashes))
+    rows = [(d, r, WORDS, put_arrays(part.hashes[lo:hi], narrow(counts[lo:hi]))) for r, (lo, hi) in enumerate(zip(part.cuts[:-1], part.cuts[1:], strict=True)) if lo < hi]
+    at, keys = part.short()
+    keys, back = np.unique(keys, return_inverse=True)
+    often = np.minimum(np.bincount(back, part.learn[at], len(keys)), 2).astype(np.uint8)
+    cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << SHORT)
+    for r, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if lo < hi:
+            rows.append((d, r, MAYBE, put_arrays(narrow(np.diff(keys[lo:hi], prepend=np.uint64(r) << SHORT)), often[lo:hi])))
+    return _rows([*rows, (d, -1, TOKENS, part.pack())])
+
+
+def _tell_words(requests: pa.Table) -> pa.Table:
+    """Totals of a partition's words, and which of its short hashes were learned often enough; in the order of the requests."""
+    rows, r = [], requests["r"][0].as_py()
+    kinds = requests["kind"].to_numpy()
+    asked = [(d, get_arrays(x)) for d, k, x in zip(requests["d"].to_pylist(), kinds, requests["blob"].to_pylist(), strict=True) if k == WORDS]
+    hashes, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(a[0] for _, a in asked)]), return_inverse=True)
+    totals = np.bincount(back, np.concatenate([np.zeros(0), *(a[1] for _, a in asked)]), len(hashes)).astype(np.int64)
+    at = 0
+    for d, a in asked:
+        rows.append((d, r, WORDS, put_arrays(narrow(totals[back[at : at + len(a[0])]]))))
+        at += len(a[0])
+    rows.append((-1, r, STATS, _summary(totals)))
+    asked = [(d, get_arrays(x)) for d, k, x in zip(requests["d"].to_pylist(), kinds, requests["blob"].to_pylist(), strict=True) if k == MAYBE]
+    if asked:
+        keys, back = np.unique(np.concatenate([np.cumsum(a[0], dtype=np.uint64) for _, a in asked]), return_inverse=True)
+        often = np.bincount(back, np.concatenate([a[1] for _, a in asked]), len(keys)) >= LEAST_TRIPLE
+        at = 0
+        for d, a in asked:
+            rows.append((d, r, MAYBE, put_arrays(np.packbits(often[back[at : at + len(a[0])]]))))
+            at += len(a[0])
     return _rows(rows)
 
 
-def _split48(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(16)).astype(np.uint32), h.astype(np.uint16)
-
-
-def _ask_pairs(part: Part, replies: pa.Table) -> list[tuple[int, bytes]]:
-    """(r, blob): by history, each distinct pair's word, its learned count, and the word's own count."""
-    codes, at = part.pairs()
-    counts = np.bincount(at[part.learn], minlength=len(codes))
-    unigram = told_words(part, replies)
-    width = len(part.hashes)
-    v, w = codes // width, codes % width
-    out = []
-    for r in range(part.parts):
-        lo, hi = np.searchsorted(codes, [int(part.cuts[r]) * width, int(part.cuts[r + 1]) * width])
-        if lo == hi:
-            continue
-        own, per = np.unique(v[lo:hi], return_counts=True)
-        high, low = _split48(part.hashes[w[lo:hi]])
-        u = unigram[w[lo:hi]]
-        out.append((r, put_arrays(part.hashes[own], per.astype(np.uint32), high, low, counts[lo:hi].astype(np.uint32), (u & 255).astype(np.uint8), (u >> 8).astype(np.uint32))))
-    return out
-
-
-def told_words(part: Part, replies: pa.Table) -> np.ndarray:
-    out = np.zeros(len(part.hashes), np.int64)
-    for r, kind, x in zip(replies["r"].to_pylist(), replies["kind"].to_pylist(), replies["blob"].to_pylist(), strict=True):
-        if kind == WORDS:
-            out[part.cuts[r] : part.cuts[r + 1]] = get_arrays(x)[0]
-    return out
+class Deal:
+    """Who is asked for the continuations of a part's histories.
 
+    A history of `splits` shards asks each of them, whether or not one of its words
+    belongs there, as each knows a share of what is to be known of the history; so
+    does one without words.
+    """
 
-def _count_pairs(requests: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """Per request: each pair's total count; per history: pairs seen 1..CUTOFF times, and the unigram mass of its seen words."""
+    def __init__(self, histories: np.ndarray, splits: np.ndarray, owner: np.ndarray, words: np.ndarray, parts: int):
+        n = len(histories)
+        base = histories % np.uint64(parts)
+        r = ((base[owner] + words % splits[owner].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(r, kind="stable")  # owners ascend, and still do for each r
+        own, per = np.unique((r * n + owner)[self.order], return_counts=True)
+        hot = np.flatnonzero((splits > 1) | (np.bincount(owner, minlength=n) == 0))
+        times = splits[hot]
+        shard = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        extra = (np.repeat(base[hot].astype(np.int64), times) + shard) % parts * n + np.repeat(hot, times)
+        self.keys = np.union1d(own, extra)
+        self.per = np.zeros(len(self.keys), np.int64)
+        self.per[np.searchsorted(self.keys, own)] = per
+        self.owner = self.keys % n if n else self.keys
+        self.cuts = np.searchsorted(self.keys, np.arange(parts + 1) * n)
+        self.at = np.searchsorted(r[self.order], np.arange(parts + 1))
+        self.histories, self.words = histories, words
+
+    def ask(self, d: int, kind: int, counts: np.ndarray, *more: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        rows = []
+        for r, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            if a < b:
+                i = self.order[self.at[r] : self.at[r + 1]]
+                rows.append((d, r, kind, put_arrays(self.histories[self.owner[a:b]], narrow(self.per[a:b]), self.words[i], narrow(counts[i]), *(x[i] for x in more))))
+        return rows
+
+    def told(self, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(total of each continuation; by history: mass, sum of counts, and continuations seen 1..CUTOFF times)."""
+        n = len(self.histories)
+        totals = np.zeros(len(self.order), np.int64)
+        mass, held, few = np.zeros(n), np.zeros(n, np.int64), [np.zeros(n, np.int64) for _ in range(CUTOFF)]
+        for r, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            if a < b:
+                t, m, h, *f = get_arrays(replies[r])
+                totals[self.order[self.at[r] : self.at[r + 1]]] = t
+                own = self.owner[a:b]  # once each
+                mass[own] += m
+                held[own] += h.astype(np.int64)
+                for total, x in zip(few, f, strict=True):
+                    total[own] += x
+        return totals, mass, held, few
+
+
+def _count(requests: pa.Table, kind: int, least: int, weights) -> pa.Table:
+    """Per request: each continuation's total; per history, over those seen `least` times: their weights, counts, and how many were seen 1..CUTOFF times."""
     asked = [get_arrays(x) for x in requests["blob"].to_pylist()]
     hist, hback = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    per = np.concatenate([a[1] for a in asked]).astype(np.int64)
-    owner = np.repeat(hback, per)
-    word = (np.concatenate([a[2] for a in asked]).astype(np.uint64) << np.uint64(16)) | np.concatenate([a[3] for a in asked])
+    owner = np.repeat(hback, np.concatenate([a[1] for a in asked]).astype(np.int64))
+    word = np.concatenate([a[2] for a in asked])
     order = np.lexsort((word, owner))
     o, w = owner[order], word[order]
     first = np.r_[True, (o[1:] != o[:-1]) | (w[1:] != w[:-1])] if len(o) else np.zeros(0, bool)
-    number = np.cumsum(first) - 1
     back = np.empty(len(order), np.int64)
-    back[order] = number
+    back[order] = np.cumsum(first) - 1
     heads = order[first]
-    totals = np.bincount(back, np.concatenate([a[4] for a in asked]), len(heads)).astype(np.int64)
-    u = np.concatenate([a[6] for a in asked]).astype(np.int64)[heads] << 8 | np.concatenate([a[5] for a in asked])[heads]
-    of, seen = owner[heads], totals > 0
-    mass = np.bincount(of[seen], unigrams(u[seen]), len(hist))
-    few = [np.bincount(of[totals == k], minlength=len(hist)).astype(np.uint32) for k in range(1, CUTOFF + 1)]
-    rows, at, hat = [], 0, 0
-    r = requests["r"][0].as_py()
+    totals = np.bincount(back, np.concatenate([a[3] for a in asked]), len(heads)).astype(np.int64)
+    of, seen = owner[heads], totals >= least
+    mass = np.bincount(of[seen], weights(asked)[heads][seen], len(hist))
+    held = np.bincount(of[seen], totals[seen], len(hist)).astype(np.int64)
+    few = [np.bincount(of[seen & (totals == k)], minlength=len(hist)) for k in range(1, CUTOFF + 1)]
+    rows, at, hat, r = [], 0, 0, requests["r"][0].as_py()
     for d, a in zip(requests["d"].to_pylist(), asked, strict=True):
         n, own = len(a[2]), hback[hat : hat + len(a[0])]
-        rows.append((d, r, PAIRS, put_arrays(totals[back[at : at + n]].astype(np.uint32), mass[own], *(f[own] for f in few))))
+        rows.append((d, r, kind, put_arrays(narrow(totals[back[at : at + n]]), mass[own], narrow(held[own]), *(narrow(f[own]) for f in few))))
         at, hat = at + n, hat + len(a[0])
-    rows.append((-1, r, STATS, put_arrays(np.bincount(np.minimum(totals, CUTOFF + 2), minlength=CUTOFF + 3))))
+    rows.append((-1, r, STATS, _summary(totals[seen])))
     return _rows(rows)
 
 
@@ -206,30 +313,128 @@ def _stats(replies: DataFrame) -> np.ndarray:
     return out
 
 
-def _score(part: Part, replies: pa.Table, unigrams: Unigrams, ratio: np.ndarray) -> pa.Table:
-    unigram = told_words(part, replies)
-    codes, at = part.pairs()
-    width = len(part.hashes)
-    v, w = codes // width, codes % width
-    pair = np.zeros(len(codes), np.int64)
-    mass, freed = np.zeros(width), np.zeros(width)
-    for r, kind, x in zip(replies["r"].to_pylist(), replies["kind"].to_pylist(), replies["blob"].to_pylist(), strict=True):
-        if kind != PAIRS:
-            continue
-        counts, m, *few = get_arrays(x)
-        lo, hi = np.searchsorted(codes, [int(part.cuts[r]) * width, int(part.cuts[r + 1]) * width])
-        own = np.unique(v[lo:hi])
-        pair[lo:hi], mass[own] = counts, m
-        freed[own] = sum((1 - ratio[k]) * k * few[k - 1] for k in range(1, CUTOFF + 1))
-    history = unigram.astype(np.float64)  # every learned token but none other precedes one; the end precedes the first
-    extra = np.where((freed == 0) & (history > 0), 0.5, 0.0)
-    whole = np.maximum(history + extra, 0.5)
-    alpha = np.where(history > 0, (freed + extra) / whole / np.maximum(1 - mass, 1e-300), 1.0)
-    p = np.where(pair > 0, ratio[np.minimum(pair, CUTOFF + 1)] * pair / whole[v], alpha[v] * unigrams(unigram)[w])
-    logs = np.log10(p)[at]
-    c = unigram[part.tokens]
-    fold = lambda x: np.add.reduceat(x, part.starts) if len(part.starts) else x[:0]
-    return pa.table({"doc_id": id_array(part.ids, part.nulls), "held_out": pa.array(part.held), "n_tokens": pa.array(part.lengths), "n_known": pa.array(fold((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(part.ids), unigrams.total), pa.int64()), "base_score": pa.array(fold(unigrams.base(c))), "score": pa.array(fold(logs))})
+def ratios(n: np.ndarray) -> np.ndarray:
+    """By count, from 0 to CUTOFF + 1 and more: what a discount leaves of it."""
+    out = np.ones(CUTOFF + 2)
+    out[1 : CUTOFF + 1] = discounts(n)
+    return out
+
+
+class Order:
+    """Probabilities of continuations that a part asked for, by one order of the model."""
+
+    def __init__(self, seen: np.ndarray, mass: np.ndarray, held: np.ndarray, few: list[np.ndarray], total: np.ndarray, ratio: np.ndarray, least: int):
+        """By history: seen mass and counts, few, and its own learned count; `seen` is by continuation."""
+        freed = (total - held) + sum((1 - ratio[k]) * k * few[k - 1] for k in range(1, CUTOFF + 1))
+        extra = np.where((freed == 0) & (total > 0), 0.5, 0.0)
+        self.whole = np.maximum(total + extra, 0.5)
+        self.alpha = np.where(total > 0, (freed + extra) / self.whole / np.maximum(1 - mass, 1e-300), 1.0)
+        self.seen, self.ratio, self.least = seen, ratio, least
+
+    def __call__(self, owner: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """For each continuation, of the history `owner`: its probability, given that of one order less."""
+        c = self.seen
+        return np.where(c >= self.least, self.ratio[np.minimum(c, CUTOFF + 1)] * c / self.whole[owner], self.alpha[owner] * lower)
+
+
+class Model:
+    """What all parts know of the corpus: totals, discounts, and the shards of a history."""
+
+    def __init__(self, parts: int, words: np.ndarray):
+        self.parts = parts
+        total, distinct, *n = words.tolist()
+        self.unigrams = Unigrams(total, distinct, np.array(n))
+        self.pairs = self.triples = np.ones(CUTOFF + 2)
+
+    def learn_pairs(self, stats: np.ndarray) -> None:
+        self.pairs = ratios(stats[2:])
+
+    def learn_triples(self, stats: np.ndarray, learned: int) -> None:
+        n = stats[2:].copy()
+        n[1] = learned - stats[0]  # those seen once aren't told
+        self.triples = ratios(n)
+
+    def splits(self, counts: np.ndarray) -> np.ndarray:
+        return 1 + counts * self.parts // max(1, self.unigrams.total)
+
+
+class View:
+    """A part and what it has been told so far; made anew in each pass."""
+
+    def __init__(self, tokens: pa.Table, replies: pa.Table, model: Model):
+        self.part = part = Part.unpack(_of(tokens, TOKENS)[-1], model.parts)
+        self.replies, self.model = replies, model
+        self.unigram = np.zeros(len(part.hashes), np.int64)
+        for r, x in _of(replies, WORDS).items():
+            self.unigram[part.cuts[r] : part.cuts[r + 1]] = get_arrays(x)[0]
+        self.codes, self.at = part.pairs()
+        width = len(part.hashes)
+        self.v, self.w = self.codes // width, self.codes % width
+        # histories are all of the part's words: those that precede none ask for nothing
+        self.used, self.owner = np.unique(self.v, return_inverse=True)
+        self.deal = Deal(part.hashes[self.used], model.splits(self.unigram[self.used]), self.owner, part.hashes[self.w], model.parts)
+
+    def ask_pairs(self, d: int) -> list:
+        counts = np.bincount(self.at[self.part.learn], minlength=len(self.codes))
+        return self.deal.ask(d, PAIRS, counts, *planes(self.unigram[self.w]))
+
+    def score_pairs(self) -> np.ndarray:
+        """The probability of each pair by the model of pairs."""
+        self.seen, mass, held, few = self.deal.told(_of(self.replies, PAIRS))
+        order = Order(self.seen, mass, held, few, self.unigram[self.used], self.model.pairs, 1)
+        return order(self.owner, self.model.unigrams(self.unigram)[self.w])
+
+    def find_triples(self) -> None:
+        """Triples that may have been learned often enough, as continuations of their pairs."""
+        part = self.part
+        at, keys = part.short()
+        keys, back = np.unique(keys, return_inverse=True)
+        cuts = np.searchsorted(keys, np.arange(part.parts + 1, dtype=np.uint64) << SHORT)
+        often = np.zeros(len(keys), bool)
+        for r, x in _of(self.replies, MAYBE).items():
+            often[cuts[r] : cuts[r + 1]] = np.unpackbits(get_arrays(x)[0], count=cuts[r + 1] - cuts[r]).astype(bool)
+        # a pair learned less often has no such triple, and all of its backoff weight: only the others are asked about
+        before = np.ones(len(part.tokens), bool)
+        before[part.starts + part.lengths - 1] = False
+        histories = np.unique(self.at[before])
+        self.histories = histories[self.seen[histories] >= LEAST_TRIPLE]
+        places = at[often[back]]
+        self.places = places[self.seen[self.at[places - 1]] >= LEAST_TRIPLE]
+        width = len(part.hashes)
+        codes, self.triple = np.unique(self.at[self.places - 1] * width + part.tokens[self.places], return_inverse=True)
+        self.history, self.next = codes // width, codes % width
+        self.own = np.searchsorted(self.histories, self.history)
+        h = part.hashes
+        pair_hash = _stir(h[self.v[self.histories]] * np.uint64(5) + h[self.w[self.histories]])
+        self.deal3 = Deal(pair_hash, self.model.splits(self.seen[self.histories]), self.own, h[self.next], part.parts)
+
+    def ask_triples(self, d: int) -> list:
+        by_pairs = self.score_pairs()
+        self.find_triples()
+        counts = np.bincount(self.triple[self.part.learn[self.places]], minlength=len(self.history))
+        lower = by_pairs[np.searchsorted(self.codes, self.w[self.history] * len(self.part.hashes) + self.next)]
+        return self.deal3.ask(d, TRIPLES, counts, lower)
+
+    def scores(self) -> pa.Table:
+        part, model = self.part, self.model
+        p = self.score_pairs()[self.at]
+        self.find_triples()
+        seen, mass, held, few = self.deal3.told(_of(self.replies, TRIPLES))
+        order = Order(seen, mass, held, few, self.seen[self.histories], model.triples, LEAST_TRIPLE)
+        alpha = np.ones(len(self.codes))
+        alpha[self.histories] = order.alpha
+        inner = np.ones(len(part.tokens), bool)
+        inner[part.starts] = False
+        at = np.flatnonzero(inner)
+        p[at] *= alpha[self.at[at - 1]]
+        fine = seen[self.triple] >= LEAST_TRIPLE
+        p[self.places[fine]] = order(self.own, seen * 0.0)[self.triple[fine]]
+        c = self.unigram[part.tokens]
+        fold = lambda x: np.add.reduceat(x, part.starts) if len(part.starts) else x[:0]
+        return pa.table({"doc_id": id_array(part.ids, part.nulls), "held_out": pa.array(part.held), "n_tokens": pa.array(part.lengths), "n_known": pa.array(fold((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(part.ids), model.unigrams.total), pa.int64()), "base_score": pa.array(fold(model.unigrams.base(c))), "score": pa.array(fold(np.log10(p)))})
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def katz_scores(docs: DataFrame) -> DataFrame:
@@ -242,35 +447,37 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    blocks = document_blocks(docs, parts)
+    asked = materialise(document_blocks(docs, parts).groupBy("d").applyInArrow(lambda x: _ask_words(x, parts), KINDS), "asked")
+    words = materialise(asked.where("r >= 0").groupBy("r").applyInArrow(_tell_words, KINDS), "words")
+    tokens = materialise(asked.where("r < 0"), "tokens")
+    release(spark, asked)
+    model = Model(parts, _stats(words))
+    told = words.where("d >= 0")
 
-    def ask_words(group: pa.Table) -> pa.Table:
-        part = Part(group, parts)
-        counts = np.bincount(part.tokens[part.learn], minlength=len(part.hashes)).astype(np.uint32)
-        d = group["d"][0].as_py()
-        return _rows([(d, r, WORDS, put_arrays(part.hashes[lo:hi], counts[lo:hi])) for r, (lo, hi) in enumerate(zip(part.cuts[:-1], part.cuts[1:], strict=True)) if lo < hi])
+    def each(replies: DataFrame, ask, schema: str) -> DataFrame:
+        """What `ask` makes of each part's view."""
 
-    words = materialise(blocks.groupBy("d").applyInArrow(ask_words, KINDS).groupBy("r").applyInArrow(_count_words, KINDS), "words")
-    total, distinct, *n = _stats(words).tolist()
-    unigrams = Unigrams(total, distinct, np.array(n))
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return ask(View(left, right, model), left["d"][0].as_py())
 
-    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _rows([])
-        d = left["d"][0].as_py()
-        return _rows([(d, r, PAIRS, x) for r, x in _ask_pairs(Part(left, parts), right)])
+        return tokens.groupBy("d").cogroup(replies.where("d >= 0").groupBy("d")).applyInArrow(run, schema)
 
-    told = words.where("d >= 0")
-    pairs = materialise(blocks.groupBy("d").cogroup(told.groupBy("d")).applyInArrow(ask_pairs, KINDS).groupBy("r").applyInArrow(lambda x: _count_pairs(x, unigrams), KINDS), "pairs")
-    ratio = np.ones(CUTOFF + 2)
-    ratio[1 : CUTOFF + 1] = discounts(_stats(pairs))
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    empty = pa.table({c.split()[0]: pa.array([], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in result.split(", ")})
+    unigrams = model.unigrams
+    counted = each(told, lambda v, d: _rows(v.ask_pairs(d)), KINDS).groupBy("r")
+    pairs = materialise(counted.applyInArrow(lambda x: _count(x, PAIRS, 1, lambda asked: unigrams(joined(*(np.concatenate([a[k] for a in asked]) for k in (4, 5, 6))))), KINDS), "pairs")
+    model.learn_pairs(_stats(pairs))
+    told = told.unionByName(pairs.where("d >= 0"))
+    counted = each(told, lambda v, d: _rows(v.ask_triples(d)), KINDS).groupBy("r")
+    triples = materialise(counted.applyInArrow(lambda x: _count(x, TRIPLES, LEAST_TRIPLE, lambda asked: np.concatenate([a[4] for a in asked])), KINDS), "triples")
+    learned = asked_triples(docs, unigrams.total)
+    model.learn_triples(_stats(triples), learned)
+    return each(told.unionByName(triples.where("d >= 0")), lambda v, d: v.scores(), RESULT)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score(Part(left, parts), right, unigrams, ratio) if left.num_rows else empty
 
-    return blocks.groupBy("d").cogroup(told.unionByName(pairs.where("d >= 0")).groupBy("d")).applyInArrow(score, result)
+def asked_triples(docs: DataFrame, total: int) -> int:
+    """Tokens that end a triple in learning: all but a first one of each learned row."""
+    rest = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % HOLD_OUT
+    return total - docs.where(rest.isNull() | (rest != 0)).count()
 
 
 def op5(spark, sf_dir):
