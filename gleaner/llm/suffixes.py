@@ -15,7 +15,9 @@ of (doc_id, start).
 
 A suffix that repeats whole inside a part is exchanged once. Where very many
 different suffixes share an anchor, their windows are dealt out by a longer common
-stretch, in blocks of BLOCK offsets, so that no task has to take them all.
+stretch, in blocks of BLOCK offsets, and where still more do, one by one; a block
+that a part has twice is exchanged once. So no task has to take what lies around a
+stretch that a great share of all documents have.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from .common import document_blocks, get_arrays, get_strings, id_array, put_arra
 LEAST = 100
 CHUNK = 1 << 17
 BLOCK = 8
-#: From so many different suffixes of one anchor on, its windows are dealt out in blocks.
-CROWD = 8192
+#: From so many different suffixes of one anchor on, its windows are dealt out in blocks, or one by one.
+CROWD, THRONG = 8192, 1 << 17
 KINDS = "d int, r int, kind int, blob binary"
 ASK, TELL, RUN, REPEATS = 0, 1, 2, 3
 _rng = np.random.Generator(np.random.PCG64(20))
@@ -167,13 +169,13 @@ def _dealt(keys: np.ndarray, parts: int):
     return [(k, order[cuts[k] : cuts[k + 1]]) for k in range(parts) if cuts[k] < cuts[k + 1]]
 
 
-def _count(requests: pa.Table) -> pa.Table:
-    """For each asked anchor: 0 if it occurs once, 1 if more often, 2 if in a crowd of different suffixes."""
+def _count(requests: pa.Table, crowd: int, throng: int) -> pa.Table:
+    """For each asked anchor: 0 if it occurs once, 1 if more often, 2 and 3 if in a crowd or a throng of different suffixes."""
     asked = [get_arrays(x) for x in requests["blob"].to_pylist()]
     keys, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     total = np.bincount(back, np.concatenate([a[1] for a in asked]), len(keys))
     kinds = np.bincount(back, np.concatenate([a[2] for a in asked]), len(keys))
-    code = ((total > 1).astype(np.uint8) + (kinds > CROWD)).astype(np.uint8)
+    code = ((total > 1).astype(np.uint8) + (kinds > crowd) + (kinds > throng)).astype(np.uint8)
     rows, at, r = [], 0, requests["r"][0].as_py()
     for d, a in zip(requests["d"].to_pylist(), asked, strict=True):
         rows.append((d, r, TELL, put_arrays(code[back[at : at + len(a[0])]])))
@@ -346,21 +348,32 @@ def _runs(part: Part, d: int, told: pa.Table, parts: int) -> pa.Table:
         code[at] = get_arrays(answers[r])[0]
     code = code[part.at]
     local = ~part.first
-    rows = [(d, d % parts, REPEATS, put_arrays(part.lo[local], part.hi[local]))] if local.any() else []
+    again = [part.lo[local]], [part.hi[local]]
     raw, least = part.raw, part.least
     pick = np.flatnonzero(part.first & (code > 0))
     docs = part.doc_key(part.lo[pick])
     held: dict[int, list] = {}
+    blocks: dict[tuple[bytes, bytes, int], tuple[int, int, int]] = {}
     goal = ((part.hash[pick] >> np.uint64(20)) % np.uint64(parts)).tolist()
-    for a, lo, hi, doc, r, crowd in zip(part.anchor[pick].tolist(), part.lo[pick].tolist(), part.hi[pick].tolist(), docs.tolist(), goal, (code[pick] > 1).tolist(), strict=True):
-        if not crowd:
+    for a, lo, hi, doc, r, kind in zip(part.anchor[pick].tolist(), part.lo[pick].tolist(), part.hi[pick].tolist(), docs.tolist(), goal, code[pick].tolist(), strict=True):
+        if kind < 2:
             held.setdefault(r, []).append((raw[a : hi + least], raw[lo:a], doc, lo, hi - lo + 1))
             continue
-        for block in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
-            pivot = a - block * BLOCK
-            s, e = max(lo, pivot - BLOCK + 1), min(hi, pivot)
-            r = zlib.crc32(raw[pivot : pivot + least - BLOCK + 1]) % parts
-            held.setdefault(r, []).append((raw[pivot : e + least], raw[s:pivot], doc, s, e - s + 1))
+        size = BLOCK if kind == 2 else 1
+        for block in range((a - hi) // size, (a - lo) // size + 1):
+            pivot = a - block * size
+            s, e = max(lo, pivot - size + 1), min(hi, pivot)
+            key, own = (raw[pivot : e + least], raw[s:pivot], size), (doc, s, e)
+            first = blocks.setdefault(key, own)
+            if first != own:  # what a part has twice goes once, as its first
+                blocks[key] = min(first, own)
+                late = max(first, own)
+                again[0].append(np.array(late[1:2]))
+                again[1].append(np.array(late[2:]))
+    for (right, left, size), (doc, s, e) in blocks.items():
+        held.setdefault(zlib.crc32(right[: least - size + 1]) % parts, []).append((right, left, doc, s, e - s + 1))
+    lows, highs = (np.concatenate(x).astype(np.int64) for x in again)
+    rows = [(d, d % parts, REPEATS, put_arrays(lows, highs))] if len(lows) else []
     rows += [(d, r, RUN, encode_run(sorted(x))) for r, x in held.items()]
     return _rows(rows)
 
@@ -396,7 +409,7 @@ def _digest(cleaned: pa.Table) -> pa.Table:
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False, columns: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False, columns: bool = False, crowd: int = CROWD, throng: int = THRONG) -> DataFrame:
     """Remove from each text every byte of a `least`-byte string that also starts earlier.
 
     Earlier: in a smaller doc_id (null ids first), or in the same document before;
@@ -405,7 +418,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False,
     n_spans, starts and ends of the removed runs, and the kept bytes (or their
     SHA-256); with `columns`, docs' other columns too. Null and shorter texts keep all they have; an empty table gives no
     rows; other columns are ignored unless asked for, and dropped where they bear a
-    result's name.
+    result's name. crowd and throng change how the work is dealt, not the result.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -418,7 +431,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False,
         part, d = Part(group, least), group["d"][0].as_py()
         return _rows([(d, r, ASK, put_arrays(part.keys[at], part.total[at], part.kinds[at])) for r, at in _dealt(part.keys, parts)])
 
-    told = materialise(blocks.groupBy("d").applyInArrow(ask, KINDS).groupBy("r").applyInArrow(_count, KINDS), "anchors")
+    told = materialise(blocks.groupBy("d").applyInArrow(ask, KINDS).groupBy("r").applyInArrow(lambda x: _count(x, crowd, throng), KINDS), "anchors")
 
     def sort(left: pa.Table, right: pa.Table) -> pa.Table:
         return _runs(Part(left, least), left["d"][0].as_py(), right, parts) if left.num_rows else _rows([])

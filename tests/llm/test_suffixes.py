@@ -36,12 +36,11 @@ def corpus(seed, size):
     return rows + [(rows[5][0] + 20_000, rows[5][1]), (None, rows[6][1]), (None, rows[6][1]), (7, None), (7, ""), (rows[3][0], rows[3][1])]
 
 
-@pytest.mark.parametrize("crowd", [8192, 3])
-def test_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(m, "CROWD", crowd)
+@pytest.mark.parametrize(("crowd", "throng"), [(8192, 1 << 17), (3, 1 << 17), (3, 6)])
+def test_brute_force(spark, crowd, throng):
     rows = corpus(crowd, 150)
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as d", "'x' as kept")
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in m.dedup_substrings(d, digest=True).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in m.dedup_substrings(d, digest=True, crowd=crowd, throng=throng).collect())
     assert got == brute(rows, 100)
 
 
