@@ -256,7 +256,7 @@ def op4(spark, sf_dir):
 
 
 #: near_duplicates(): tables of words of min-hashes of 5-word shingles, and the bins of their sketch.
-TABLES, PLACES, BINS, WIDTH, SIMILAR = 6, 6, 512, 5, 0.8
+TABLES, PLACES, BINS, WIDTH, SIMILAR = 6, 6, 2048, 5, 0.8
 #: A pair is ruled out by its sketch only where it differs by so many standard errors more than similar ones do.
 SLACK = 5.0
 #: Rounds in which a bucket's members are compared with PIVOTS of them each, before all that are still apart are.
@@ -266,7 +266,7 @@ WORD_ODD = _mix.integers(1, 2**62, TABLES * PLACES, dtype=np.uint64) * np.uint64
 SALTS = _mix.integers(1, 2**62, (TABLES, PLACES), dtype=np.uint64)
 PIVOT_SALTS = _mix.integers(1, 2**62, (ROUNDS, PIVOTS)).tolist()
 #: Texts that are signed at a time: so many at most, of so many bytes.
-SIGN_TEXTS, SIGN_BYTES = 2048, 1 << 21
+SIGN_TEXTS, SIGN_BYTES = 1024, 1 << 21
 
 
 def _stir(h: np.ndarray, odd: np.uint64) -> np.ndarray:
@@ -313,9 +313,12 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, sketch, filled, keys, z): the hash, size, sketch and keys of each text's set of shingles, and the text itself, compressed."""
+    """(doc_id, h, n, spare, sketch, filled, keys, z): the hash, size, sketch and keys of each text's set of shingles, and the text itself, compressed.
+
+    spare is how many shingles more the set has than filled bins.
+    """
     longs = pa.list_(pa.int64())
-    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("sketch", longs), ("filled", longs), ("keys", longs), ("z", pa.binary())]
+    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", longs), ("filled", longs), ("keys", longs), ("z", pa.binary())]
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -334,21 +337,28 @@ def _sign(docs: DataFrame) -> DataFrame:
                     keys[some], sketch[some], filled[some] = _signatures([sets[k] for k in some])
                 h = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 listed = [k.view(np.int64) if len(x) else [] for k, x in zip(keys, sets, strict=True)]
-                values = [b["doc_id"].slice(lo, hi - lo), h, [len(x) for x in sets], list(sketch), list(filled), listed, [squeeze.compress(t) for t in texts[lo:hi]]]
+                n = np.array([len(x) for x in sets], np.int64)
+                values = [b["doc_id"].slice(lo, hi - lo), h, n, n - np.bitwise_count(filled.view(np.uint64)).sum(axis=1, dtype=np.int64), list(sketch), list(filled), listed, [squeeze.compress(t) for t in texts[lo:hi]]]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(values, kinds, strict=True)], [name for name, _ in kinds])
                 lo = hi
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, sketch array<long>, filled array<long>, keys array<long>, z binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, spare long, sketch array<long>, filled array<long>, keys array<long>, z binary")
 
 
 def _likely(similarity: float):
-    """Whether rows a and b can be similar: by their sizes surely, by their sketches but for SLACK standard errors."""
+    """Whether rows a and b can be similar: by their sizes and bins surely, by their sketches but for SLACK standard errors.
+
+    What two sets share fills bins of both, so they share no more than these and
+    what either has beyond its bins.
+    """
     total = lambda x, y, f: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(f(p, q))), F.lit(0), lambda s, k: s + k)
+    shared = total("a.filled", "b.filled", lambda p, q: p.bitwiseAND(q)) + F.least("a.spare", "b.spare")
     apart = total("a.sketch", "b.sketch", lambda p, q: p.bitwiseXOR(q))
     bins = total("a.filled", "b.filled", lambda p, q: p.bitwiseOR(q))
     share = (1 - similarity) / 2
     near = apart <= share * bins + SLACK * F.sqrt(share * (1 - share) * bins) + 1
-    return (F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= similarity) & near
+    sizes = F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= similarity
+    return sizes & (shared * (1 + similarity) >= similarity * (F.col("a.n") + F.col("b.n")) - 1e-6) & near
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -395,7 +405,7 @@ def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float) -> D
     full = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
     members = materialise(keyed.join(full, "key").distinct(), "members")
     some = members.select("h").distinct()
-    facts = ("doc_id", "n", "sketch", "filled")
+    facts = ("doc_id", "n", "spare", "sketch", "filled")
     nodes = materialise(marked.join(some, "h", "left_semi").groupBy("h").agg(*(F.min(c).alias(c) for c in facts)), "nodes")
     texts = materialise(marked.select("h", "doc_id", "z").join(nodes.select("h", "doc_id"), ["h", "doc_id"]).groupBy("h").agg(F.min("z").alias("z")), "texts")
     now = tested = None
@@ -412,7 +422,7 @@ def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float) -> D
             pairs = met.join(now.alias("a"), F.col("src") == F.col("a.h")).join(now.alias("b"), F.col("dst") == F.col("b.h")).where(F.col("a.c") != F.col("b.c")).where(_likely(similarity)).select("src", "dst")
         else:
             apart = at.groupBy("key").agg(*mixed).where("lo < hi").select("key")
-            rest = materialise(members.join(apart, "key").join(now, "h").select("key", "h", "c", "n", "sketch", "filled"), "rest")
+            rest = materialise(members.join(apart, "key").join(now, "h").select("key", "h", "c", "n", "spare", "sketch", "filled"), "rest")
             met = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & _likely(similarity))
             pairs = met.select(F.least("a.h", "b.h").alias("src"), F.greatest("a.h", "b.h").alias("dst")).distinct()
         if tested is not None:
