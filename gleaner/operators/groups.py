@@ -144,9 +144,9 @@ def path_unique(groups: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFra
     """
     rank = F.array_position(F.array(*(F.lit(t) for t in config.TYPE_ORDER)), F.col("group_type"))
     rows = items.join(groups.select("group_id", rank.alias("rank")), "group_id").select("group_id", "rank", "file_id", "path", clean_path("path").alias("clean")).distinct()
-    twice = rows.groupBy("group_id", "clean").agg(F.count("*").alias("n")).where("n > 1").select("group_id").unionByName(rows.groupBy("group_id", "file_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")).distinct()
+    twice = rows.groupBy("group_id").agg(F.count("*").alias("n"), F.countDistinct("clean").alias("paths"), F.countDistinct("file_id").alias("files")).where("n > paths OR n > files").select("group_id")
     repeated = materialise(rows.join(twice, "group_id", "left_semi"), "repeated")
-    inside = rows.join(twice, "group_id", "left_anti")
+    inside = materialise(rows.join(twice, "group_id", "left_anti"), "inside")
     if not repeated.isEmpty():
         inside = inside.unionByName(_greedy(repeated, ["file_id", "path"], ["group_id"], 1))
     kept = materialise(_greedy(inside, ["rank", "group_id"], [], 2).select("group_id", "file_id", "path"), "kept")

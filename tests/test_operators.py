@@ -1,3 +1,4 @@
+import posixpath
 import random
 
 import numpy as np
@@ -90,7 +91,7 @@ def test_cells_and_radius(spark):
     rows = [(1, 100, 100, 0), (2, 104, 100, 1), (3, 2000, 1000, 0), (4, 104, 100, None)]
     d = spark.createDataFrame(rows, "image_id long, width long, height long, phash long")
     assert {(r.src, r.dst) for r in pairs.cell_pairs(d.drop("phash")).collect()} == {(1, 2), (1, 4), (2, 4)}
-    assert [tuple(r) for r in pairs.radius_pairs(d, 3).collect()] == [(1, 2, 1)]
+    assert {tuple(r) for r in pairs.radius_pairs(d, 3).collect()} == {(1, 2, 1), (1, 4, None), (2, 4, None)}
 
 
 def test_duration_bands_lose_nothing(spark):
@@ -182,3 +183,92 @@ def test_perceptual_hash_tells_pictures_apart():
     a, b = (np.random.default_rng(k).normal(size=(8, 8)).repeat(8, 0).repeat(8, 1) * 40 + 120 for k in (1, 2))
     assert perceptual_hash(a) == perceptual_hash(a + 3) and (perceptual_hash(a) ^ perceptual_hash(b)).bit_count() > 12
     assert blank(np.zeros((8, 8))) and not blank(a)
+
+
+def greedy(groups, items):
+    """What stays of each group, in order of type and id, when those before have claimed paths and files."""
+    seen, out = set(), []
+    for g, kind in sorted(groups, key=lambda x: (("exact", "similar_image", "similar_video", "similar_text").index(x[1]), x[0])):
+        own, kept = set(), []
+        for _, f, p in sorted(i for i in items if i[0] == g):
+            keys = {("p", posixpath.normpath(p)), ("f", f)}
+            if not keys & (seen | own):
+                own |= keys
+                kept.append((g, f, p))
+        if len(kept) > 1:
+            seen |= own
+            out += kept
+    return sorted(out)
+
+
+def test_path_unique_equals_a_walk_over_the_groups(spark):
+    rng = random.Random(4)
+    cases = [([(1, "exact"), (2, "similar_image"), (3, "similar_text")], [(1, 1, "/1"), (1, 2, "/2"), (2, 1, "/1"), (2, 3, "/3"), (3, 3, "/3"), (3, 4, "/4")])]
+    cases.append(([(1, "exact"), (2, "similar_image")], [(1, 1, "/m/a"), (1, 2, "/m/b"), (2, 1, "/m/./a"), (2, 3, "/m/c")]))
+    cases.append(([(1, "exact")], [(1, 1, "/m/A"), (1, 2, "/m/a"), (1, 2, "/m/x/../q"), (1, 3, "/m/q"), (1, 3, "/m/r")]))
+    many = [(k, rng.choice(["exact", "similar_image", "similar_video", "similar_text"])) for k in range(60)]
+    cases.append((many, sorted({(k, f, f"/{'./' * rng.randint(0, 1)}{f}") for k, _ in many for f in rng.sample(range(90), rng.randint(1, 4))})))
+    for g, i in cases:
+        got = groups.path_unique(spark.createDataFrame(g, "group_id long, group_type string"), spark.createDataFrame(i, "group_id long, file_id long, path string"))
+        assert sorted(tuple(r) for r in got[1].collect()) == greedy(g, i)
+        assert {r.group_id for r in got[0].collect()} == {x[0] for x in greedy(g, i)}
+
+
+def test_lost_winners_are_replaced(spark):
+    g = spark.createDataFrame([(1, "exact", 1), (2, "similar_image", 2)], "group_id long, group_type string, recommended_file_id long")
+    i = spark.createDataFrame([(1, 1, "/1", "keep_recommended", 1.0, 0.9), (1, 2, "/2", "cleanup_candidate", 1.0, 0.8), (2, 2, "/2", "keep_recommended", 1.0, 0.9), (2, 3, "/3", "cleanup_candidate", 0.9, 0.3), (2, 4, "/4", "cleanup_candidate", 0.9, 0.7)], "group_id long, file_id long, path string, action string, similarity double, quality double")
+    got, items = groups.path_unique(g, i)
+    assert {r.group_id: r.recommended_file_id for r in got.collect()} == {1: 1, 2: 4}
+    assert {r.file_id: (r.action, r.similarity) for r in items.where("group_id = 2").collect()} == {3: ("cleanup_candidate", -1.0), 4: ("keep_recommended", 1.0)}
+
+
+def test_radius_pairs_with_and_without_hashes(spark):
+    """All pairs of neighbouring cells within the radius, by strips or not; what has no hash passes."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    rows = []
+    for k in range(120):
+        h = rng.choice(base)
+        for b in rng.sample(range(64), rng.randint(0, 4)):
+            h ^= 1 << b
+        rows.append((k, rng.choice([96, 100, 104, 140]), rng.choice([96, 100]), None if k % 20 == 0 else h - (1 << 64) if h >> 63 else h))
+    d = spark.createDataFrame(rows, "image_id long, width long, height long, phash long")
+    cell = lambda x: max(8, (x + 4) // 8 * 8)
+    for radius in (0, 3, 9):
+        want = set()
+        for a in rows:
+            for b in rows:
+                if a[0] < b[0] and all(abs(cell(a[c]) - cell(b[c])) <= 8 for c in (1, 2)):
+                    dist = None if a[3] is None or b[3] is None else ((a[3] ^ b[3]) & (2**64 - 1)).bit_count()
+                    if dist is None or dist <= radius:
+                        want.add((a[0], b[0], dist))
+        got = [tuple(r) for r in pairs.radius_pairs(d, radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_hot_bucket_is_numbered_over_ranges(spark):
+    rows = [(k, "hot" if k % 3 else f"b{k % 7}") for k in range(1500)]
+    got = {tuple(r) for r in pairs.capped_pairs(spark.createDataFrame(rows, "file_id long, b string"), ["b"], cap=8).collect()}
+    want = set()
+    for b in {x for _, x in rows}:
+        held = []
+        for k, x in rows:
+            if x == b:
+                if len(held) < 8:
+                    held.append(k)
+                else:
+                    want.add((held[-1], k))
+                    held[-1] = k
+        want |= {(x, y) for n, x in enumerate(held) for y in held[n + 1 :]}
+    assert got == want
+
+
+def test_versions_and_paths(spark):
+    cases = [("v1.2.3", "1.2.3", 0), ("1.10", "1.9", 1), ("1.2", "1.2.0", 0), ("V2", "10", -1), ("1.0-rc1", "1.0", -1), ("1.0", "1.0-rc1", 1), ("1.0-b", "1.0-a", 1), ("x.1", "0.1", 0), ("", "0", 0)]
+    d = spark.createDataFrame(cases, "a string, b string, want int")
+    assert d.where(S.version_compare("a", "b") != F.col("want")).count() == 0
+    paths = ["/a/b/../c", "/../a", "a/../../b", "./", "/", "//a///b/.", "", "..", "/a/..", "a/.."]
+    d = spark.createDataFrame([(p,) for p in paths], "p string").select("p", S.clean_path("p").alias("c"), S.dedupe_key("p").alias("k"))
+    for r in d.collect():
+        assert r.c == (posixpath.normpath(r.p).replace("//", "/", 1) if r.p.startswith("//") else posixpath.normpath(r.p)), r.p
+    assert {r.p: r.k for r in d.collect()}["/a/b/../c"] == "/a/b/../c"
