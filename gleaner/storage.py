@@ -59,6 +59,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, count: int, name: str = "table") -> DataFrame:
+    """materialise() in `count` buckets of a column, so that groups and joins by it need no exchange of the table."""
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{own}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(count, column).saveAsTable(own)
+    _written[path] = _owner[-1]
+    return spark.table(own)
+
+
 def release(spark: SparkSession, df: DataFrame | None = None, owner: str | None = None) -> None:
     """Delete tables of materialise(): those df reads, or those of an owner. Nothing may read them later."""
     jvm = spark.sparkContext._jvm
