@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import struct
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,28 @@ from pyspark.sql import functions as F
 FLUSH_BYTES, HELD_BYTES = 4 << 20, 48 << 20
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give back to the system what this Python worker no longer uses; workers live on and serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow() that gives its memory back as a task ends."""
+
+    def and_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return and_release
+
+
 def put_arrays(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob; get_arrays() reads them back."""
     head = [struct.pack("<B", len(arrays))]
@@ -105,7 +128,7 @@ def document_blocks(docs: DataFrame, parts: int, others: tuple[str, ...] = ()) -
             yield flush(d)
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("d"), *others)
-    return dealt.mapInArrow(pack, "d int, ids binary, texts binary, rest binary")
+    return dealt.mapInArrow(lean(pack), "d int, ids binary, texts binary, rest binary")
 
 
 def read_blocks(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, table
-from .common import utf8
+from .common import lean, utf8
 
 WINDOW = 10
 SHARD_WORDS = 400_000
@@ -229,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
         more = "n_words long, n_hit long, items array<string>, coverage double, rejected boolean" + ", clean_text string" * keep_text if last else "`hits so far` binary, `items so far` array<string>"
-        found = now.mapInArrow(run, f"{schema}, {more}")
+        found = now.mapInArrow(lean(run), f"{schema}, {more}")
         if not last:
             found = materialise(found, "hits")
             held.destroy()

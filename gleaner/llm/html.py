@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import table
 from .boosting import Boosted
+from .common import lean
 
 TRAIN_PAGES = 600
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -509,7 +510,7 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
                 out += main_texts(texts[lo : lo + 256], held.value)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept.names), pa.array(out, pa.string())], [*kept.names, "main_text"])
 
-    return pages.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", main_text string")
+    return pages.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", main_text string")
 
 
 def op3(spark, sf_dir):

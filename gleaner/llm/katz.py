@@ -11,7 +11,8 @@ second that and the first.
 
 Documents are dealt into parts by doc_id and become word numbers once. A part asks
 for each of its distinct words, then pairs, then triples once; requests and replies
-travel as sorted arrays. A table of counts is partitioned by the hash of the
+travel as sorted arrays, and words as the numbers that the first replies give them.
+The tokens lie in buckets and aren't exchanged again. A table of counts is partitioned by the hash of the
 history, and a history with more than a part's share of all tokens by that of the
 next word too; what such shards say of it is added up. Triples that occur once in
 the corpus are told apart first, by short hashes, and not asked for. No task or
@@ -29,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, partitions, release, table
-from .common import document_blocks, get_arrays, id_array, put_arrays, read_blocks, slices
+from ..storage import bucketed, materialise, partitions, release, table
+from .common import document_blocks, get_arrays, id_array, put_arrays, read_blocks, release_memory, slices
 
 CUTOFF = 5
 #: Triples seen less often in learning give way to pairs, as is usual for Katz models.
@@ -87,7 +88,7 @@ class Part:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.end = int(place[0]) if len(place) else 0
         self.learn = np.repeat(~self.held, self.lengths)
-        self.before = np.empty(len(self.tokens), np.int64)
+        self.before = np.empty(len(self.tokens), np.int32)
         self.before[1:] = self.tokens[:-1]
         self.before[self.starts] = self.end
 
@@ -122,7 +123,8 @@ class Part:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct codes history * words + word, code number of each token)."""
-        return np.unique(self.before * len(self.hashes) + self.tokens, return_inverse=True)
+        codes, at = np.unique(self.before.astype(np.int64) * len(self.hashes) + self.tokens, return_inverse=True)
+        return codes, at.astype(np.int32)
 
     def short(self) -> tuple[np.ndarray, np.ndarray]:
         """(positions of tokens that end a triple, short hashes of these triples, the part asked in the high bits)."""
@@ -195,7 +197,7 @@ def _ask_words(group: pa.Table, parts: int) -> pa.Table:
 
 
 def _tell_words(requests: pa.Table) -> pa.Table:
-    """Totals of a partition's words, and which of its short hashes were learned often enough; in the order of the requests."""
+    """Totals and numbers of a partition's words, and which of its short hashes were learned often enough; in the order of the requests."""
     rows, r = [], requests["r"][0].as_py()
     kinds = requests["kind"].to_numpy()
     asked = [(d, get_arrays(x)) for d, k, x in zip(requests["d"].to_pylist(), kinds, requests["blob"].to_pylist(), strict=True) if k == WORDS]
@@ -203,7 +205,8 @@ def _tell_words(requests: pa.Table) -> pa.Table:
     totals = np.bincount(back, np.concatenate([np.zeros(0), *(a[1] for _, a in asked)]), len(hashes)).astype(np.int64)
     at = 0
     for d, a in asked:
-        rows.append((d, r, WORDS, put_arrays(narrow(totals[back[at : at + len(a[0])]]))))
+        own = back[at : at + len(a[0])]
+        rows.append((d, r, WORDS, put_arrays(narrow(totals[own]), narrow(np.diff(own, prepend=0)))))
         at += len(a[0])
     rows.append((-1, r, STATS, _summary(totals)))
     asked = [(d, get_arrays(x)) for d, k, x in zip(requests["d"].to_pylist(), kinds, requests["blob"].to_pylist(), strict=True) if k == MAYBE]
@@ -228,7 +231,7 @@ class Deal:
     def __init__(self, histories: np.ndarray, splits: np.ndarray, owner: np.ndarray, words: np.ndarray, parts: int):
         n = len(histories)
         base = histories % np.uint64(parts)
-        r = ((base[owner] + words % splits[owner].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        r = ((base[owner] + _stir(words) % splits[owner].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         self.order = np.argsort(r, kind="stable")  # owners ascend, and still do for each r
         own, per = np.unique((r * n + owner)[self.order], return_counts=True)
         hot = np.flatnonzero((splits > 1) | (np.bincount(owner, minlength=n) == 0))
@@ -248,7 +251,7 @@ class Deal:
         for r, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
             if a < b:
                 i = self.order[self.at[r] : self.at[r + 1]]
-                rows.append((d, r, kind, put_arrays(self.histories[self.owner[a:b]], narrow(self.per[a:b]), self.words[i], narrow(counts[i]), *(x[i] for x in more))))
+                rows.append((d, r, kind, put_arrays(narrow(self.histories[self.owner[a:b]]), narrow(self.per[a:b]), narrow(self.words[i]), narrow(counts[i]), *(x[i] for x in more))))
         return rows
 
     def told(self, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -365,14 +368,18 @@ class View:
         self.part = part = Part.unpack(_of(tokens, TOKENS)[-1], model.parts)
         self.replies, self.model = replies, model
         self.unigram = np.zeros(len(part.hashes), np.int64)
+        self.word = np.zeros(len(part.hashes), np.uint64)  # a word's number in the whole corpus
         for r, x in _of(replies, WORDS).items():
-            self.unigram[part.cuts[r] : part.cuts[r + 1]] = get_arrays(x)[0]
+            own = slice(part.cuts[r], part.cuts[r + 1])
+            self.unigram[own], number = get_arrays(x)
+            self.word[own] = np.cumsum(number, dtype=np.uint64) * np.uint64(model.parts) + np.uint64(r)
         self.codes, self.at = part.pairs()
         width = len(part.hashes)
-        self.v, self.w = self.codes // width, self.codes % width
+        self.v, self.w = (self.codes // width).astype(np.int32), (self.codes % width).astype(np.int32)
         # histories are all of the part's words: those that precede none ask for nothing
-        self.used, self.owner = np.unique(self.v, return_inverse=True)
-        self.deal = Deal(part.hashes[self.used], model.splits(self.unigram[self.used]), self.owner, part.hashes[self.w], model.parts)
+        self.used, owner = np.unique(self.v, return_inverse=True)
+        self.owner = owner.astype(np.int32)
+        self.deal = Deal(self.word[self.used], model.splits(self.unigram[self.used]), self.owner, self.word[self.w], model.parts)
 
     def ask_pairs(self, d: int) -> list:
         counts = np.bincount(self.at[self.part.learn], minlength=len(self.codes))
@@ -401,18 +408,18 @@ class View:
         places = at[often[back]]
         self.places = places[self.seen[self.at[places - 1]] >= LEAST_TRIPLE]
         width = len(part.hashes)
-        codes, self.triple = np.unique(self.at[self.places - 1] * width + part.tokens[self.places], return_inverse=True)
+        codes, self.triple = np.unique(self.at[self.places - 1].astype(np.int64) * width + part.tokens[self.places], return_inverse=True)
         self.history, self.next = codes // width, codes % width
         self.own = np.searchsorted(self.histories, self.history)
         h = part.hashes
         pair_hash = _stir(h[self.v[self.histories]] * np.uint64(5) + h[self.w[self.histories]])
-        self.deal3 = Deal(pair_hash, self.model.splits(self.seen[self.histories]), self.own, h[self.next], part.parts)
+        self.deal3 = Deal(pair_hash, self.model.splits(self.seen[self.histories]), self.own, self.word[self.next], part.parts)
 
     def ask_triples(self, d: int) -> list:
         by_pairs = self.score_pairs()
         self.find_triples()
         counts = np.bincount(self.triple[self.part.learn[self.places]], minlength=len(self.history))
-        lower = by_pairs[np.searchsorted(self.codes, self.w[self.history] * len(self.part.hashes) + self.next)]
+        lower = by_pairs[np.searchsorted(self.codes, self.w[self.history].astype(np.int64) * len(self.part.hashes) + self.next)]
         return self.deal3.ask(d, TRIPLES, counts, lower)
 
     def scores(self) -> pa.Table:
@@ -447,9 +454,10 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    asked = materialise(document_blocks(docs, parts).groupBy("d").applyInArrow(lambda x: _ask_words(x, parts), KINDS), "asked")
+    # half as many parts again as an exchange has, since a task holds one of them at a time
+    asked = materialise(document_blocks(docs, parts + parts // 2).groupBy("d").applyInArrow(lambda x: _ask_words(x, parts), KINDS), "asked")
     words = materialise(asked.where("r >= 0").groupBy("r").applyInArrow(_tell_words, KINDS), "words")
-    tokens = materialise(asked.where("r < 0"), "tokens")
+    tokens = bucketed(asked.where("r < 0"), "d", parts, "tokens")
     release(spark, asked)
     model = Model(parts, _stats(words))
     told = words.where("d >= 0")
@@ -458,7 +466,9 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         """What `ask` makes of each part's view."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            return ask(View(left, right, model), left["d"][0].as_py())
+            found = ask(View(left, right, model), left["d"][0].as_py())
+            release_memory()
+            return found
 
         return tokens.groupBy("d").cogroup(replies.where("d >= 0").groupBy("d")).applyInArrow(run, schema)
 

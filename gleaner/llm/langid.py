@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, table
-from .common import slices, utf8
+from .common import lean, slices, utf8
 from .toxicity import remainder
 
 SAMPLE_ROWS, LEAST_ROWS = 12_000, 1_000
@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [score.predict(t) for t in utf8(b["text"])]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept.names), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", lang_pred string, lang_score double")
+    return docs.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", lang_pred string, lang_score double")
 
 
 def op10(spark, sf_dir):

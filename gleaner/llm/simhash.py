@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import materialise, partitions, table
-from .common import get_arrays, put_arrays, utf8
+from .common import get_arrays, lean, put_arrays, utf8
 
 SEED = 42
 GROUP = 255
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fingerprint_batch(utf8(b["text"]), width).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _masks(bits: range, most: int) -> dict[int, np.ndarray]:
@@ -342,7 +342,7 @@ def _sign(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(values, kinds, strict=True)], [name for name, _ in kinds])
                 lo = hi
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, spare long, sketch array<long>, filled array<long>, keys array<long>, z binary")
+    return docs.mapInArrow(lean(run), "doc_id long, h long, n long, spare long, sketch array<long>, filled array<long>, keys array<long>, z binary")
 
 
 def _likely(similarity: float):
@@ -384,7 +384,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
     rows = pairs.join(texts.select(F.col("h").alias("src"), F.col("z").alias("x")), "src").join(texts.select(F.col("h").alias("dst"), F.col("z").alias("y")), "dst")
-    return rows.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+    return rows.select("src", "dst", "x", "y").mapInArrow(lean(run), "src long, dst long")
 
 
 def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:

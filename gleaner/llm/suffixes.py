@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import materialise, partitions, table
-from .common import document_blocks, get_arrays, get_strings, id_array, put_arrays, put_strings, read_blocks
+from .common import document_blocks, get_arrays, get_strings, id_array, put_arrays, put_strings, read_blocks, release_memory
 
 LEAST = 100
 CHUNK = 1 << 17
@@ -429,6 +429,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False,
 
     def ask(group: pa.Table) -> pa.Table:
         part, d = Part(group, least), group["d"][0].as_py()
+        release_memory()
         return _rows([(d, r, ASK, put_arrays(part.keys[at], part.total[at], part.kinds[at])) for r, at in _dealt(part.keys, parts)])
 
     told = materialise(blocks.groupBy("d").applyInArrow(ask, KINDS).groupBy("r").applyInArrow(lambda x: _count(x, crowd, throng), KINDS), "anchors")
@@ -440,6 +441,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, digest: bool = False,
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part(left, least, False)
+        release_memory()
         found = _cleaned(part, right)
         if digest:
             return _digest(found)

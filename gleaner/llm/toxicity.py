@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, table
-from .common import get_arrays, put_arrays, utf8
+from .common import get_arrays, lean, put_arrays, utf8
 
 SAMPLE_ROWS = 24_000
 MAX_FEATURES = 4_000
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: tuple[dict[bytes, float], float]) -> DataFrame
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + math.fsum(known[f] for f in hit))))) if bias > -math.inf else 0.0)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept.names), pa.array(out, pa.float64())], [*kept.names, "toxicity"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", toxicity double")
+    return docs.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + ", toxicity double")
 
 
 def remainder(column: str, by: int):
