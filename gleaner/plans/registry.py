@@ -107,21 +107,21 @@ def _facts(spark, sf_dir):
     return T.text_facts(A.files(spark, sf_dir))
 
 
-_MOD = "18446744073709551616::UHUGEINT"
+_LOW64 = "18446744073709551615::UHUGEINT"
 #: Bottom-k sketches of documents in SQL: r (doc_id, h, k), the k least 5-gram hashes, unsigned; d has the normal form.
 SKETCH = f"""d AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s+$', ''))) AS normal FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(u) - 3)) AS i, u FROM (SELECT doc_id, [unicode(c) for c in string_split(normal, '')] AS u FROM d) WHERE len(u) >= 5),
 h0 AS (SELECT doc_id, u[i]::UBIGINT AS a, u[i + 1]::UBIGINT AS b, u[i + 2]::UBIGINT AS c, u[i + 3]::UBIGINT AS d, u[i + 4]::UBIGINT AS e FROM g),
-h1 AS (SELECT *, ((xor(14695981039346656037::UBIGINT, a)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h0),
-h2 AS (SELECT doc_id, c, d, e, ((xor(h, b)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h1),
-h3 AS (SELECT doc_id, d, e, ((xor(h, c)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h2),
-h4 AS (SELECT doc_id, e, ((xor(h, d)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h3),
-h5 AS (SELECT DISTINCT doc_id, ((xor(h, e)::UHUGEINT * 1099511628211) % {_MOD})::UBIGINT AS h FROM h4),
+h1 AS (SELECT *, ((xor(14695981039346656037::UBIGINT, a)::UHUGEINT * 1099511628211) & {_LOW64})::UBIGINT AS h FROM h0),
+h2 AS (SELECT doc_id, c, d, e, ((xor(h, b)::UHUGEINT * 1099511628211) & {_LOW64})::UBIGINT AS h FROM h1),
+h3 AS (SELECT doc_id, d, e, ((xor(h, c)::UHUGEINT * 1099511628211) & {_LOW64})::UBIGINT AS h FROM h2),
+h4 AS (SELECT doc_id, e, ((xor(h, d)::UHUGEINT * 1099511628211) & {_LOW64})::UBIGINT AS h FROM h3),
+h5 AS (SELECT DISTINCT doc_id, ((xor(h, e)::UHUGEINT * 1099511628211) & {_LOW64})::UBIGINT AS h FROM h4),
 r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS k FROM h5 QUALIFY k <= 1024)"""
 #: MinHash bands of the sketches: bands (file_id, band, r0, r1), signed.
-BANDS = f"""m0 AS (SELECT doc_id, j, ((h::UHUGEINT + j::UHUGEINT * 11400714819323198485::UHUGEINT) % {_MOD})::UBIGINT AS x FROM r, range(0, 16) t(j)),
-m1 AS (SELECT doc_id, j, ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_MOD})::UBIGINT AS x FROM m0),
-m2 AS (SELECT doc_id, j, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_MOD})::UBIGINT AS x FROM m1),
+BANDS = f"""m0 AS (SELECT doc_id, j, ((h::UHUGEINT + j::UHUGEINT * 11400714819323198485::UHUGEINT) & {_LOW64})::UBIGINT AS x FROM r, range(0, 16) t(j)),
+m1 AS (SELECT doc_id, j, ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) & {_LOW64})::UBIGINT AS x FROM m0),
+m2 AS (SELECT doc_id, j, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) & {_LOW64})::UBIGINT AS x FROM m1),
 m3 AS (SELECT doc_id, j, min(xor(x, x >> 31)) AS x FROM m2 GROUP BY ALL),
 s AS (SELECT doc_id AS file_id, (j // 2)::INTEGER AS band, j % 2 AS side, CASE WHEN x >= 9223372036854775808::UBIGINT THEN (x::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE x::BIGINT END AS v FROM m3),
 bands AS (SELECT file_id, band, max(CASE WHEN side = 0 THEN v END) AS r0, max(CASE WHEN side = 1 THEN v END) AS r1 FROM s GROUP BY ALL)"""
