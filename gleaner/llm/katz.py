@@ -474,14 +474,16 @@ def katz_scores(docs: DataFrame) -> DataFrame:
 
     unigrams = model.unigrams
     counted = each(told, lambda v, d: _rows(v.ask_pairs(d)), KINDS).groupBy("r")
-    pairs = materialise(counted.applyInArrow(lambda x: _count(x, PAIRS, 1, lambda asked: unigrams(joined(*(np.concatenate([a[k] for a in asked]) for k in (4, 5, 6))))), KINDS), "pairs")
-    model.learn_pairs(_stats(pairs))
-    told = told.unionByName(pairs.where("d >= 0"))
+    pairs = counted.applyInArrow(lambda x: _count(x, PAIRS, 1, lambda asked: unigrams(joined(*(np.concatenate([a[k] for a in asked]) for k in (4, 5, 6))))), KINDS)
+    # what is known of words and pairs lies in buckets like the tokens, so that the largest requests share the disk with no exchange of it
+    told = bucketed(pairs.unionByName(told).repartition(parts, "d"), "d", parts, "told")
+    release(spark, words)
+    model.learn_pairs(_stats(told))
     counted = each(told, lambda v, d: _rows(v.ask_triples(d)), KINDS).groupBy("r")
     triples = materialise(counted.applyInArrow(lambda x: _count(x, TRIPLES, LEAST_TRIPLE, lambda asked: np.concatenate([a[4] for a in asked])), KINDS), "triples")
     learned = asked_triples(docs, unigrams.total)
     model.learn_triples(_stats(triples), learned)
-    return each(told.unionByName(triples.where("d >= 0")), lambda v, d: v.scores(), RESULT)
+    return each(told.unionByName(triples), lambda v, d: v.scores(), RESULT)
 
 
 def asked_triples(docs: DataFrame, total: int) -> int:
