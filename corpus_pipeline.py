@@ -41,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of smallest doc_id, of each group of near copies (5-word shingles, similarity 0.8)."""
+    """One document, of smallest doc_id, of each group of near copies: met by SimHash, checked by 5-word shingles (similarity 0.8)."""
     release(spark, owner=OWNER)
     with owned(OWNER):
         return simhash.drop_near_duplicates(docs)

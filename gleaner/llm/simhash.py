@@ -11,6 +11,7 @@ links a spanning forest goes on to the connected components.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -255,15 +256,23 @@ def op4(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: near_duplicates(): tables of words of min-hashes of 5-word shingles, and the bins of their sketch.
-TABLES, PLACES, BINS, WIDTH, SIMILAR = 6, 6, 2048, 5, 0.8
+#: near_duplicates(): bins of the sketch of a text's 5-word shingles, and the similarity of near copies.
+BINS, WIDTH, SIMILAR = 2048, 5, 0.8
 #: A pair is ruled out by its sketch only where it differs by so many standard errors more than similar ones do.
 SLACK = 5.0
+#: The most that a SimHash bit of two texts of similarity SIMILAR differs: 4 shingles of 5. Of larger sets 0.15 do.
+FLIP = 0.1875
+#: Share of similar pairs that may agree in no band.
+MISSED = 0.002
+#: Words of a SimHash that travel with each band, and the bits of them in which candidates may differ.
+CLOSE_WORDS, CLOSE_BITS = 3, 55
+#: Members of a band's bucket that are compared with each other; those of a larger one are all candidates.
+WHOLE = 4096
 #: Rounds in which a bucket's members are compared with PIVOTS of them each, before all that are still apart are.
 ROUNDS, PIVOTS = 2, 8
 _mix = np.random.Generator(np.random.PCG64(4))
-WORD_ODD = _mix.integers(1, 2**62, TABLES * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SALTS = _mix.integers(1, 2**62, (TABLES, PLACES), dtype=np.uint64)
+#: One for each word of the longest SimHash.
+WORD_ODD = _mix.integers(1, 2**62, 80, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PIVOT_SALTS = _mix.integers(1, 2**62, (ROUNDS, PIVOTS)).tolist()
 #: Texts that are signed at a time: so many at most, of so many bytes.
 SIGN_TEXTS, SIGN_BYTES = 1024, 1 << 21
@@ -279,46 +288,57 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64))
 
 
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, n x (TABLES * PLACES), sketches and filled bins, n x (BINS / 64) each, of sets that aren't empty.
+class Bands:
+    """The bands of a SimHash by which n texts meet: `count` of them, of `width` bits each.
 
-    A table's word is PLACES min-hashes. Words that differ in one place at most
-    agree in a key, which leaves that place out: the ball of radius 1. At a
-    similarity s a table brings two texts together with probability
-    s^6 + 6 (1 - s) s^5, and at 0.8 the six tables do with 0.998. The sketch has
-    one bit of the least hash of each bin; where a bin is filled in either of two
-    texts, these bits differ with probability (1 - s) / 2.
+    A band of unrelated texts agrees by chance, so its width grows with the logarithm
+    of n: a bucket has some 128 to 256 of them, up to 2^26 texts. Two similar
+    texts differ in a bit with probability FLIP at most, and agree in none of the
+    bands with probability MISSED at most.
+    """
+
+    def __init__(self, n: int):
+        self.width = min(18, max(4, n.bit_length() - 8))
+        self.count = math.ceil(math.log(MISSED) / math.log1p(-((1 - FLIP) ** self.width)))
+        self.words = max(CLOSE_WORDS, -(-self.count * self.width // 64))
+
+    def of(self, prints: np.ndarray) -> np.ndarray:
+        """n x count: the bands of SimHashes, n x words, each with its number in the bits above it."""
+        bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, : self.count * self.width]
+        values = bits.reshape(len(prints), self.count, self.width) @ (np.int64(1) << np.arange(self.width))
+        return values | np.arange(self.count) << self.width
+
+
+def simhash_words(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """n x words: SimHashes of 64 * words bits of sets of 64-bit hashes; zero for empty ones."""
+    flat, counts = np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
+    return np.stack([majority(_stir(flat, odd), counts) for odd in WORD_ODD[:words]], axis=1)
+
+
+def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches and filled bins, n x (BINS / 64) each, of sets that aren't empty.
+
+    The sketch has one bit of the least hash of each bin; where a bin is filled in
+    either of two texts, these bits differ with probability (1 - s) / 2.
     """
     flat = np.concatenate(sets)
     n = np.array([len(x) for x in sets], np.int64)
-    starts = np.cumsum(n) - n
-    keys = np.zeros((len(sets), TABLES * PLACES), np.uint64)
-    for t in range(TABLES):
-        word = []
-        for place in range(PLACES):
-            odd = WORD_ODD[t * PLACES + place]
-            least = _stir(np.minimum.reduceat(_stir(flat, odd), starts), np.uint64(0x9E3779B97F4A7C15))
-            word.append(_stir(least ^ SALTS[t, place], odd))
-        whole = sum(word)
-        for left_out, x in enumerate(word):
-            keys[:, t * PLACES + left_out] = _stir(whole - x + SALTS[t, left_out], WORD_ODD[t * PLACES + left_out])
     none = np.uint64(2**64 - 1)
     least = np.full(len(sets) * BINS, none, np.uint64)
     mixed = _stir(flat, np.uint64(0xD6E8FEB86659FD93))
     np.minimum.at(least, np.repeat(np.arange(len(sets)) * BINS, n) + (mixed % np.uint64(BINS)).astype(np.int64), mixed)
     filled = least != none
     ones = filled & ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(bool)
-    packed = [np.packbits(x.reshape(len(sets), BINS), axis=1, bitorder="little").view(np.int64) for x in (ones, filled)]
-    return keys, *packed
+    return tuple(np.packbits(x.reshape(len(sets), BINS), axis=1, bitorder="little").view(np.int64) for x in (ones, filled))
 
 
-def _sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, spare, sketch, filled, keys, z): the hash, size, sketch and keys of each text's set of shingles, and the text itself, compressed.
+def _sign(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, h, n, spare, sketch, filled, print, z): the hash, size, sketch and SimHash of each text's set of shingles, and the text itself, compressed.
 
     spare is how many shingles more the set has than filled bins.
     """
     longs = pa.list_(pa.int64())
-    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", longs), ("filled", longs), ("keys", longs), ("z", pa.binary())]
+    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", longs), ("filled", longs), ("print", longs), ("z", pa.binary())]
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -332,17 +352,104 @@ def _sign(docs: DataFrame) -> DataFrame:
                 sets = [shingle_set(t) for t in texts[lo:hi]]
                 some = [k for k, x in enumerate(sets) if len(x)]
                 sketch, filled = np.zeros((2, len(sets), BINS // 64), np.int64)
-                keys = np.zeros((len(sets), TABLES * PLACES), np.uint64)
                 if some:
-                    keys[some], sketch[some], filled[some] = _signatures([sets[k] for k in some])
+                    sketch[some], filled[some] = _signatures([sets[k] for k in some])
+                prints = simhash_words(sets, words).view(np.int64)
                 h = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                listed = [k.view(np.int64) if len(x) else [] for k, x in zip(keys, sets, strict=True)]
                 n = np.array([len(x) for x in sets], np.int64)
-                values = [b["doc_id"].slice(lo, hi - lo), h, n, n - np.bitwise_count(filled.view(np.uint64)).sum(axis=1, dtype=np.int64), list(sketch), list(filled), listed, [squeeze.compress(t) for t in texts[lo:hi]]]
+                values = [b["doc_id"].slice(lo, hi - lo), h, n, n - np.bitwise_count(filled.view(np.uint64)).sum(axis=1, dtype=np.int64), list(sketch), list(filled), list(prints), [squeeze.compress(t) for t in texts[lo:hi]]]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(values, kinds, strict=True)], [name for name, _ in kinds])
                 lo = hi
 
-    return docs.mapInArrow(lean(run), "doc_id long, h long, n long, spare long, sketch array<long>, filled array<long>, keys array<long>, z binary")
+    return docs.mapInArrow(lean(run), "doc_id long, h long, n long, spare long, sketch array<long>, filled array<long>, print array<long>, z binary")
+
+
+def _clusters(prints: np.ndarray) -> list[np.ndarray]:
+    """Places of those that are joined by chains of pairs within CLOSE_BITS; all are where they are more than WHOLE."""
+    m = len(prints)
+    if m > WHOLE:
+        return [np.arange(m)]
+    close = np.empty((m, m), bool)
+    for lo in range(0, m, 512):
+        apart = np.zeros((len(prints[lo : lo + 512]), m), np.uint8)
+        for word in prints.T:
+            apart += np.bitwise_count(word[lo : lo + 512, None] ^ word[None, :])
+        close[lo : lo + 512] = apart <= CLOSE_BITS
+    left = close.sum(axis=1) > 1
+    out = []
+    while left.any():
+        new = np.zeros(m, bool)
+        new[np.argmax(left)] = True
+        found = new
+        while new.any():
+            left &= ~new
+            new = close[new].any(axis=0) & left
+            found = found | new
+        out.append(np.flatnonzero(found))
+    return out
+
+
+def band_members(points: DataFrame, bands: Bands) -> DataFrame:
+    """(key, h, lo) of points (h, print), distinct h: whose SimHashes agree in a band and are close.
+
+    The members of a key agree in one band, and each differs in CLOSE_BITS of the
+    first CLOSE_WORDS words or fewer from another; lo is the least of them. Every
+    pair of points that agree in a band and are as close shares a key.
+    """
+    parts = partitions(points.sparkSession)
+
+    def send(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                ids = part["h"].to_numpy(zero_copy_only=False)
+                prints = part["print"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), bands.words)
+                band = bands.of(prints).ravel()
+                tag = np.repeat(np.arange(len(ids)), bands.count)
+                r = _stir(band.astype(np.uint64), WORD_ODD[0]) % np.uint64(parts)
+                order = np.lexsort((band, r))
+                cuts = np.searchsorted(r[order], np.arange(parts + 1))
+                rows = []
+                for k in range(parts):
+                    if cuts[k] < cuts[k + 1]:
+                        i = order[cuts[k] : cuts[k + 1]]
+                        own, where = np.unique(tag[i], return_inverse=True)
+                        rows.append((k, put_arrays(where.astype(np.uint16), np.diff(band[i], prepend=0).astype(np.uint32), ids[own], *(prints[own, w] for w in range(CLOSE_WORDS)))))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["r", "blob"])
+
+    def receive(batches):
+        got = [get_arrays(x.as_py()) for b in batches for x in b["blob"]]
+        if not got:
+            return
+        starts = np.cumsum([0, *(len(g[2]) for g in got)])
+        tag = np.concatenate([g[0].astype(np.int64) + lo for g, lo in zip(got, starts, strict=False)])
+        band = np.concatenate([np.cumsum(g[1], dtype=np.int64) for g in got])
+        ids = np.concatenate([g[2] for g in got])
+        prints = np.stack([np.concatenate([g[3 + w] for g in got]) for w in range(CLOSE_WORDS)], axis=1)
+        del got
+        order = np.argsort(band, kind="stable")
+        tag, band = tag[order], band[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, band[1:] != band[:-1]]), len(band)]
+        keys, members, least, held = [], [], [], 0
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            own = tag[lo:hi]
+            for c in _clusters(prints[own]):
+                h = ids[own[c]]
+                first = h.min()
+                key = _stir(_stir(h.min(keepdims=True).view(np.uint64), WORD_ODD[1]) + np.uint64(band[lo]), WORD_ODD[2]).view(np.int64)
+                keys.append(np.repeat(key, len(h)))
+                members.append(h)
+                least.append(np.full(len(h), first))
+                held += len(h)
+            if held >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, members, least)], ["key", "h", "lo"])
+                keys, members, least, held = [], [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, members, least)], ["key", "h", "lo"])
+
+    return points.select("h", "print").mapInArrow(lean(send), "r int, blob binary").repartition(parts, "r").select("blob").mapInArrow(lean(receive), "key long, h long, lo long")
 
 
 def _likely(similarity: float):
@@ -393,17 +500,16 @@ def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(found, nodes["h"] == found["id"], "left").select(*nodes.columns, F.coalesce("component", "h").alias("c"))
 
 
-def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """links and more between sets, which connect what links of all similar pairs that share a key would.
+def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float, bands: Bands) -> DataFrame:
+    """links and more between sets, which connect what links of all similar pairs that share a key of band_members() would.
 
     In a bucket, the members of one key, a link that would close a ring isn't
     needed, so most of a large group is settled by comparing all with a few pivots,
     and again with others where that left several components. What is then still
     apart is compared pair by pair across components.
     """
-    keyed = marked.select("h", F.explode("keys").alias("key"))
-    full = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
-    members = materialise(keyed.join(full, "key").distinct(), "members")
+    points = marked.where("n > 0").groupBy("h").agg(F.min("print").alias("print"))
+    members = materialise(band_members(points, bands), "members")
     some = members.select("h").distinct()
     facts = ("doc_id", "n", "spare", "sketch", "filled")
     nodes = materialise(marked.join(some, "h", "left_semi").groupBy("h").agg(*(F.min(c).alias(c) for c in facts)), "nodes")
@@ -440,16 +546,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
     Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
     of `similarity` or more, which is computed for each pair (on 64-bit hashes), and
-    if they agree in a key of _signatures(), as 0.998 of the pairs of similarity 0.8
-    do. component_id is the smallest doc_id of the group. Rows that share a doc_id
+    if their SimHashes agree in one of Bands and are close, as 0.998 of the pairs of
+    similarity 0.8 do. component_id is the smallest doc_id of the group. Rows that share a doc_id
     are one document; null ids are in no group. Texts without words, null ones too,
     are equal to each other.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = materialise(_sign(rows), "signatures")
+    bands = Bands(rows.count())
+    marked = materialise(_sign(rows, bands.words), "signatures")
     several = marked.groupBy("doc_id").agg(F.min("h").alias("src"), F.max("h").alias("hi")).where("src < hi").select("doc_id", "src")
     same = materialise(marked.select("doc_id", "h").join(several, "doc_id").where("src <> h").select("src", F.col("h").alias("dst")).distinct(), "links")
-    parts = connected_components(_spanning_links(marked, same, similarity))
+    parts = connected_components(_spanning_links(marked, same, similarity, bands))
     of = marked.select("doc_id", "h").distinct()
     placed = materialise(of.join(parts, of["h"] == parts["id"], "left").select("doc_id", F.coalesce("component", "h").alias("c")), "placed")
     groups = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last")).where("component_id < last").select("c", "component_id")

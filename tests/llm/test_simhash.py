@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import xxhash
 
+from gleaner.llm import simhash
 from gleaner.llm.simhash import ball_links, drop_near_duplicates, near_duplicates, simhash_components
 from gleaner.operators.components import connected_components
 
@@ -181,3 +183,39 @@ def test_texts_that_share_a_doc_id(spark):
     rng = random.Random(24)
     a, b = (" ".join(rng.choices([f"w{k}" for k in range(5000)], k=100)) for _ in range(2))
     assert near(spark, [(1, a), (1, b), (2, a), (3, b), (4, "other words")]) == {1: 1, 2: 1, 3: 1}
+
+
+def test_near_copies_meet_by_simhash_bands(spark):
+    """SimHashes are majorities of bits; a key holds just what agrees in a band and hangs together by close pairs."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.r_[base[: len(base) * 9 // 10 + 1], rng.integers(0, 2**63, 2, dtype=np.uint64)])]
+    bands = simhash.Bands(100_000)
+    prints = simhash.simhash_words(sets, bands.words)
+    for s, p in zip(sets[:20], prints, strict=False):
+        mixed = [int(x) for x in simhash._stir(s, simhash.WORD_ODD[1])]
+        assert int(p[1]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed))
+    values = bands.of(prints)
+    whole = [int.from_bytes(p.tobytes(), "little") for p in prints]
+    assert all(values[i, j] == (j << bands.width | whole[i] >> j * bands.width & (1 << bands.width) - 1) for i in range(20) for j in range(bands.count))
+    want = set()
+    for j in range(bands.count):
+        for value in set(values[:, j].tolist()):
+            left = set(np.flatnonzero(values[:, j] == value).tolist())
+            while left:
+                found, new = set(), {left.pop()}
+                while new:
+                    found |= new
+                    left -= new
+                    new = {x for x in left if any(int(np.bitwise_count(prints[x, :3] ^ prints[y, :3]).sum()) <= simhash.CLOSE_BITS for y in new)}
+                if len(found) > 1:
+                    want.add((j, frozenset(found)))
+    points = spark.createDataFrame([(k, [int(x) for x in p.view(np.int64)]) for k, p in enumerate(prints)], "h long, print array<long>")
+    rows = simhash.band_members(points, bands).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.key, set()).add(r.h)
+    assert all(r.lo == min(got[r.key]) for r in rows)
+    assert sorted(sorted(x) for x in got.values()) == sorted(sorted(x) for _, x in want) and want
