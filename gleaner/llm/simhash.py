@@ -266,10 +266,12 @@ FLIP = 0.1875
 MISSED = 0.002
 #: Words of a SimHash that travel with each band, and the bits of them in which candidates may differ.
 CLOSE_WORDS, CLOSE_BITS = 3, 55
+#: Bins that travel with them, in words; the bins of the sketch, folded.
+FOLD = 4
 #: Members of a band's bucket that are compared with each other; those of a larger one are all candidates.
 WHOLE = 4096
-#: Rounds in which a bucket's members are compared with PIVOTS of them each, before all that are still apart are.
-ROUNDS, PIVOTS = 2, 8
+#: Rounds in which the members of a clump are compared with PIVOTS of them each, before all that are still apart are.
+ROUNDS, PIVOTS = 1, 32
 _mix = np.random.Generator(np.random.PCG64(4))
 #: One for each word of the longest SimHash.
 WORD_ODD = _mix.integers(1, 2**62, 80, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -333,12 +335,12 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, n, spare, sketch, filled, print, z): the hash, size, sketch and SimHash of each text's set of shingles, and the text itself, compressed.
+    """(doc_id, h, n, spare, sketch, filled, print, fold, z): the hash, size, sketch and SimHash of each text's set of shingles, and the text itself, compressed.
 
-    spare is how many shingles more the set has than filled bins.
+    spare is how many shingles more the set has than filled bins; fold has the filled bins in fewer words.
     """
     longs = pa.list_(pa.int64())
-    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", longs), ("filled", longs), ("print", longs), ("z", pa.binary())]
+    kinds = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("spare", pa.int64()), ("sketch", longs), ("filled", longs), ("print", longs), ("fold", longs), ("z", pa.binary())]
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -357,25 +359,40 @@ def _sign(docs: DataFrame, words: int) -> DataFrame:
                 prints = simhash_words(sets, words).view(np.int64)
                 h = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 n = np.array([len(x) for x in sets], np.int64)
-                values = [b["doc_id"].slice(lo, hi - lo), h, n, n - np.bitwise_count(filled.view(np.uint64)).sum(axis=1, dtype=np.int64), list(sketch), list(filled), list(prints), [squeeze.compress(t) for t in texts[lo:hi]]]
+                values = [b["doc_id"].slice(lo, hi - lo), h, n, n - np.bitwise_count(filled.view(np.uint64)).sum(axis=1, dtype=np.int64), list(sketch), list(filled), list(prints), list(np.bitwise_or.reduce(filled.reshape(len(sets), -1, FOLD), axis=1)), [squeeze.compress(t) for t in texts[lo:hi]]]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(values, kinds, strict=True)], [name for name, _ in kinds])
                 lo = hi
 
-    return docs.mapInArrow(lean(run), "doc_id long, h long, n long, spare long, sketch array<long>, filled array<long>, print array<long>, z binary")
+    return docs.mapInArrow(lean(run), "doc_id long, h long, n long, spare long, sketch array<long>, filled array<long>, print array<long>, fold array<long>, z binary")
 
 
-def _clusters(prints: np.ndarray) -> list[np.ndarray]:
-    """Places of those that are joined by chains of pairs within CLOSE_BITS; all are where they are more than WHOLE."""
+def _clusters(prints: np.ndarray, folds: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of those that are joined by chains of close pairs, all where they are more than WHOLE; the closest other of each.
+
+    Close are pairs within CLOSE_BITS of which sizes and folded bins don't say that
+    they can't be similar: they share no more than the bins filled in both and what
+    either has beyond its bins.
+    """
     m = len(prints)
     if m > WHOLE:
-        return [np.arange(m)]
-    close = np.empty((m, m), bool)
+        return [np.arange(m)], np.zeros(m, np.int64)
+    spare = sizes - np.bitwise_count(folds).sum(axis=1, dtype=np.int32)
+    close, nearest = np.empty((m, m), bool), np.empty(m, np.int64)
     for lo in range(0, m, 512):
         apart = np.zeros((len(prints[lo : lo + 512]), m), np.uint8)
         for word in prints.T:
             apart += np.bitwise_count(word[lo : lo + 512, None] ^ word[None, :])
-        close[lo : lo + 512] = apart <= CLOSE_BITS
-    left = close.sum(axis=1) > 1
+        rows = np.arange(len(apart))
+        apart[rows, lo + rows] = 255
+        x, y = np.nonzero(apart <= CLOSE_BITS)
+        i = lo + x
+        shared = np.bitwise_count(folds[i] & folds[y]).sum(axis=1, dtype=np.int32) + np.minimum(spare[i], spare[y])
+        total = sizes[i] + sizes[y]
+        can = (shared * (1 + similarity) >= similarity * total - 1e-6) & (np.minimum(sizes[i], sizes[y]) >= similarity * np.maximum(sizes[i], sizes[y]) - 1e-6)
+        mine = np.zeros(apart.shape, bool)
+        mine[x[can], y[can]] = True
+        close[lo : lo + 512], nearest[lo : lo + 512] = mine, np.where(mine, apart, 255).argmin(axis=1)
+    left = close.any(axis=1)
     out = []
     while left.any():
         new = np.zeros(m, bool)
@@ -386,15 +403,17 @@ def _clusters(prints: np.ndarray) -> list[np.ndarray]:
             new = close[new].any(axis=0) & left
             found = found | new
         out.append(np.flatnonzero(found))
-    return out
+    return out, nearest
 
 
-def band_members(points: DataFrame, bands: Bands) -> DataFrame:
-    """(key, h, lo) of points (h, print), distinct h: whose SimHashes agree in a band and are close.
+def band_members(points: DataFrame, bands: Bands, similarity: float = SIMILAR) -> DataFrame:
+    """(key, h, lo, near) of points (h, n, print, fold), distinct h: whose SimHashes agree in a band and are close.
 
     The members of a key agree in one band, and each differs in CLOSE_BITS of the
-    first CLOSE_WORDS words or fewer from another; lo is the least of them. Every
-    pair of points that agree in a band and are as close shares a key.
+    first CLOSE_WORDS words or fewer from another, with which it can be similar by
+    its n shingles and their folded bins; lo is the least of them. Every pair of
+    points that agree in a band and are as close shares a key. near is the closest
+    member by these words, or, of a bucket of over WHOLE, any one.
     """
     parts = partitions(points.sparkSession)
 
@@ -404,6 +423,8 @@ def band_members(points: DataFrame, bands: Bands) -> DataFrame:
                 part = b.slice(at, 2048)
                 ids = part["h"].to_numpy(zero_copy_only=False)
                 prints = part["print"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), bands.words)
+                folds = part["fold"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), FOLD)
+                sizes = part["n"].to_numpy(zero_copy_only=False).astype(np.int32)
                 band = bands.of(prints).ravel()
                 tag = np.repeat(np.arange(len(ids)), bands.count)
                 r = _stir(band.astype(np.uint64), WORD_ODD[0]) % np.uint64(parts)
@@ -414,7 +435,7 @@ def band_members(points: DataFrame, bands: Bands) -> DataFrame:
                     if cuts[k] < cuts[k + 1]:
                         i = order[cuts[k] : cuts[k + 1]]
                         own, where = np.unique(tag[i], return_inverse=True)
-                        rows.append((k, put_arrays(where.astype(np.uint16), np.diff(band[i], prepend=0).astype(np.uint32), ids[own], *(prints[own, w] for w in range(CLOSE_WORDS)))))
+                        rows.append((k, put_arrays(where.astype(np.uint16), np.diff(band[i], prepend=0).astype(np.uint32), ids[own], sizes[own], *(prints[own, w] for w in range(CLOSE_WORDS)), *(folds[own, w] for w in range(FOLD)))))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["r", "blob"])
 
     def receive(batches):
@@ -425,31 +446,35 @@ def band_members(points: DataFrame, bands: Bands) -> DataFrame:
         tag = np.concatenate([g[0].astype(np.int64) + lo for g, lo in zip(got, starts, strict=False)])
         band = np.concatenate([np.cumsum(g[1], dtype=np.int64) for g in got])
         ids = np.concatenate([g[2] for g in got])
-        prints = np.stack([np.concatenate([g[3 + w] for g in got]) for w in range(CLOSE_WORDS)], axis=1)
+        sizes = np.concatenate([g[3] for g in got])
+        words = np.stack([np.concatenate([g[4 + w] for g in got]) for w in range(CLOSE_WORDS + FOLD)], axis=1)
+        prints, folds = words[:, :CLOSE_WORDS], words[:, CLOSE_WORDS:]
         del got
         order = np.argsort(band, kind="stable")
         tag, band = tag[order], band[order]
         cuts = np.r_[np.flatnonzero(np.r_[True, band[1:] != band[:-1]]), len(band)]
-        keys, members, least, held = [], [], [], 0
+        found, held = [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["key", "h", "lo", "near"])
+
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo < 2:
                 continue
             own = tag[lo:hi]
-            for c in _clusters(prints[own]):
+            clusters, nearest = _clusters(prints[own], folds[own], sizes[own], similarity)
+            for c in clusters:
                 h = ids[own[c]]
-                first = h.min()
                 key = _stir(_stir(h.min(keepdims=True).view(np.uint64), WORD_ODD[1]) + np.uint64(band[lo]), WORD_ODD[2]).view(np.int64)
-                keys.append(np.repeat(key, len(h)))
-                members.append(h)
-                least.append(np.full(len(h), first))
+                found.append((np.repeat(key, len(h)), h, np.repeat(h.min(keepdims=True), len(h)), ids[own[nearest[c]]]))
                 held += len(h)
             if held >= 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, members, least)], ["key", "h", "lo"])
-                keys, members, least, held = [], [], [], 0
+                yield flush()
+                found, held = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, members, least)], ["key", "h", "lo"])
+            yield flush()
 
-    return points.select("h", "print").mapInArrow(lean(send), "r int, blob binary").repartition(parts, "r").select("blob").mapInArrow(lean(receive), "key long, h long, lo long")
+    return points.select("h", F.col("n").cast("int").alias("n"), "print", "fold").mapInArrow(lean(send), "r int, blob binary").repartition(parts, "r").select("blob").mapInArrow(lean(receive), "key long, h long, lo long, near long")
 
 
 def _likely(similarity: float):
@@ -468,6 +493,64 @@ def _likely(similarity: float):
     return sizes & (shared * (1 + similarity) >= similarity * (F.col("a.n") + F.col("b.n")) - 1e-6) & near
 
 
+def _across(rest: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): pairs of rest (key, h, c, n, spare, sketch, filled) within a key and across components c, that pass what _likely() tests.
+
+    No key has more than WHOLE rows; all but its largest component are compared with all.
+    """
+    share = (1 - similarity) / 2
+
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        key, h, c, n, spare = (np.concatenate([b[x].to_numpy() for b in rows]) for x in ("key", "h", "c", "n", "spare"))
+        sketch, filled = (np.concatenate([b[x].flatten().to_numpy().reshape(b.num_rows, -1) for b in rows]).view(np.uint64) for x in ("sketch", "filled"))
+        del rows
+        fold = np.bitwise_or.reduce(filled.reshape(len(key), -1, FOLD), axis=1)
+        folded = n - np.bitwise_count(fold).sum(axis=1, dtype=np.int64)
+
+        def likely(i, j):
+            """Of pairs, those that are; the cheapest test first."""
+            fine = c[i] != c[j]
+            for what in (lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6, lambda i, j: bound(fold, folded, i, j), lambda i, j: bound(filled, spare, i, j), near):
+                i, j = i[fine], j[fine]
+                fine = what(i, j)
+            return i[fine], j[fine]
+
+        def bound(bins, beyond, i, j):
+            shared = np.bitwise_count(bins[i] & bins[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
+            return shared * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
+
+        def near(i, j):
+            bins = np.bitwise_count(filled[i] | filled[j]).sum(axis=1, dtype=np.int64)
+            return np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= share * bins + SLACK * np.sqrt(share * (1 - share) * bins) + 1
+
+        order = np.argsort(key, kind="stable")
+        cuts = np.r_[np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]), len(order)]
+        held, many, found = [], 0, set()
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            _, back, per = np.unique(c[own], return_inverse=True, return_counts=True)
+            own = own[np.argsort(per[back] * len(per) + back, kind="stable")]  # the largest component last
+            first = hi - lo - int(per.max())
+            for at in range(0, first, 64):
+                x = np.arange(at, min(first, at + 64))
+                i, j = np.repeat(x, hi - lo), np.tile(np.arange(hi - lo), len(x))
+                held.append((own[i[i < j]], own[j[i < j]]))
+                many += len(held[-1][0])
+                if many >= 1 << 17:
+                    i, j = likely(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    found |= set(zip(np.minimum(h[i], h[j]).tolist(), np.maximum(h[i], h[j]).tolist(), strict=True))
+                    held, many = [], 0
+        if held:
+            i, j = likely(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            found |= set(zip(np.minimum(h[i], h[j]).tolist(), np.maximum(h[i], h[j]).tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["src", "dst"])
+
+    return rest.repartition(partitions(rest.sparkSession), "key").mapInArrow(lean(run), "src long, dst long")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose texts (h, z) have sets of shingles of this similarity or more."""
 
@@ -500,37 +583,50 @@ def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(found, nodes["h"] == found["id"], "left").select(*nodes.columns, F.coalesce("component", "h").alias("c"))
 
 
+def _pivot_pairs(now: DataFrame, salts: list[int], similarity: float) -> DataFrame:
+    """(src, dst): members of a clump g that can be similar to one of its pivots, in another component c.
+
+    A clump of one component has no pivots; of others those that are least by each of the salts.
+    """
+    least = now.groupBy("g").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"x{k}") for k, x in enumerate(salts)), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    heads = least.select(F.explode(F.array_distinct(F.array(*(F.col(f"x{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(salts))))).alias("head"))
+    pivots = now.join(heads, F.col("h") == F.col("head"), "left_semi")
+    met = now.alias("a").join(pivots.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") != F.col("b.c")) & _likely(similarity))
+    return met.select(F.least("a.h", "b.h").alias("src"), F.greatest("a.h", "b.h").alias("dst")).distinct()
+
+
 def _spanning_links(marked: DataFrame, links: DataFrame, similarity: float, bands: Bands) -> DataFrame:
     """links and more between sets, which connect what links of all similar pairs that share a key of band_members() would.
 
-    In a bucket, the members of one key, a link that would close a ring isn't
-    needed, so most of a large group is settled by comparing all with a few pivots,
-    and again with others where that left several components. What is then still
-    apart is compared pair by pair across components.
+    A link that would close a ring isn't needed, so most of a large group is settled
+    by comparing each member with the closest of each of its keys, and the members of
+    a clump, all that keys hold together, with a few pivots where that left several
+    components. What is then still apart is compared pair by pair across components,
+    key by key.
     """
-    points = marked.where("n > 0").groupBy("h").agg(F.min("print").alias("print"))
-    members = materialise(band_members(points, bands), "members")
-    some = members.select("h").distinct()
+    points = marked.where("n > 0").groupBy("h").agg(*(F.min(c).alias(c) for c in ("n", "print", "fold")))
+    members = materialise(band_members(points, bands, similarity), "members")
+    clumps = materialise(connected_components(members.select(F.col("h").alias("src"), F.col("lo").alias("dst"))).select(F.col("id").alias("h"), F.col("component").alias("g")), "clumps")
     facts = ("doc_id", "n", "spare", "sketch", "filled")
-    nodes = materialise(marked.join(some, "h", "left_semi").groupBy("h").agg(*(F.min(c).alias(c) for c in facts)), "nodes")
+    nodes = materialise(marked.join(clumps, "h").groupBy("h").agg(*(F.min(c).alias(c) for c in (*facts, "g"))), "nodes")
     texts = materialise(marked.select("h", "doc_id", "z").join(nodes.select("h", "doc_id"), ["h", "doc_id"]).groupBy("h").agg(F.min("z").alias("z")), "texts")
     now = tested = None
-    for step in range(ROUNDS + 1):
+    for step in range(ROUNDS + 2):
         if now is None:
             now = materialise(_components(links, nodes), "nodes")
-        at = members.join(now.select("h", "c"), "h")
-        mixed = [F.min("c").alias("lo"), F.max("c").alias("hi")]
-        if step < ROUNDS:
-            salts = [F.lit(x) for x in PIVOT_SALTS[step]]
-            least = at.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(x)).alias(f"x{k}") for k, x in enumerate(salts)), *mixed).where("lo < hi")
-            heads = least.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"x{k}").bitwiseXOR(x) for k, x in enumerate(salts))))).alias("head"))
-            met = members.join(heads, "key").where("h <> head").select(F.least("h", "head").alias("src"), F.greatest("h", "head").alias("dst")).distinct()
+        if step == 0:
+            met = members.where("h <> near").select(F.least("h", "near").alias("src"), F.greatest("h", "near").alias("dst")).distinct()
             pairs = met.join(now.alias("a"), F.col("src") == F.col("a.h")).join(now.alias("b"), F.col("dst") == F.col("b.h")).where(F.col("a.c") != F.col("b.c")).where(_likely(similarity)).select("src", "dst")
+        elif step <= ROUNDS:
+            pairs = _pivot_pairs(now, PIVOT_SALTS[step - 1], similarity)
         else:
-            apart = at.groupBy("key").agg(*mixed).where("lo < hi").select("key")
-            rest = materialise(members.join(apart, "key").join(now, "h").select("key", "h", "c", "n", "spare", "sketch", "filled"), "rest")
-            met = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & _likely(similarity))
-            pairs = met.select(F.least("a.h", "b.h").alias("src"), F.greatest("a.h", "b.h").alias("dst")).distinct()
+            at = members.join(now.select("h", "c"), "h")
+            apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+            rest = materialise(members.select("key", "h").join(apart, "key").join(now, "h").select("key", "size", "h", "c", "n", "spare", "sketch", "filled"), "rest")
+            pairs = _across(rest.where(F.col("size") <= WHOLE), similarity)
+            large = rest.where(F.col("size") > WHOLE)
+            met = large.alias("a").join(large.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & _likely(similarity))
+            pairs = pairs.unionByName(met.select(F.least("a.h", "b.h").alias("src"), F.greatest("a.h", "b.h").alias("dst"))).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["src", "dst"], "left_anti")
         pairs = materialise(pairs, "pairs")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from gleaner.llm import simhash
 from gleaner.llm.simhash import ball_links, drop_near_duplicates, near_duplicates, simhash_components
@@ -200,6 +201,14 @@ def test_near_copies_meet_by_simhash_bands(spark):
     values = bands.of(prints)
     whole = [int.from_bytes(p.tobytes(), "little") for p in prints]
     assert all(values[i, j] == (j << bands.width | whole[i] >> j * bands.width & (1 << bands.width) - 1) for i in range(20) for j in range(bands.count))
+    bins = [{int(x) % 256 for x in s} for s in sets]
+    fold = [np.array([sum(1 << b % 64 for b in x if b // 64 == w) for w in range(4)], np.uint64).view(np.int64) for x in bins]
+
+    def bound(x, y):
+        p, q = len(sets[x]), len(sets[y])
+        shared = len(bins[x] & bins[y]) + min(p - len(bins[x]), q - len(bins[y]))
+        return min(p, q) >= 0.8 * max(p, q) - 1e-6 and 1.8 * shared >= 0.8 * (p + q) - 1e-6
+
     want = set()
     for j in range(bands.count):
         for value in set(values[:, j].tolist()):
@@ -209,13 +218,51 @@ def test_near_copies_meet_by_simhash_bands(spark):
                 while new:
                     found |= new
                     left -= new
-                    new = {x for x in left if any(int(np.bitwise_count(prints[x, :3] ^ prints[y, :3]).sum()) <= simhash.CLOSE_BITS for y in new)}
+                    new = {x for x in left if any(int(np.bitwise_count(prints[x, :3] ^ prints[y, :3]).sum()) <= simhash.CLOSE_BITS and bound(x, y) for y in new)}
                 if len(found) > 1:
                     want.add((j, frozenset(found)))
-    points = spark.createDataFrame([(k, [int(x) for x in p.view(np.int64)]) for k, p in enumerate(prints)], "h long, print array<long>")
+    points = spark.createDataFrame([(k, len(sets[k]), p.view(np.int64).tolist(), fold[k].tolist()) for k, p in enumerate(prints)], "h long, n long, print array<long>, fold array<long>")
     rows = simhash.band_members(points, bands).collect()
     got = {}
     for r in rows:
         got.setdefault(r.key, set()).add(r.h)
     assert all(r.lo == min(got[r.key]) for r in rows)
     assert sorted(sorted(x) for x in got.values()) == sorted(sorted(x) for _, x in want) and want
+
+
+def test_pivots_cost_a_row_a_member_and_keys_are_compared_whole(spark, monkeypatch):
+    """A group of one key or many is compared with its pivots once; what stays apart is compared alike by arrays and by a join."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=120)
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 1, 2, 3])):
+            own[at] = rng.choice(words)
+        texts.append(" ".join(own))
+    bands = simhash.Bands(len(texts))
+    marked = simhash._sign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands.words).cache()
+    now = marked.selectExpr("h", "n", "spare", "sketch", "filled", "h as c", "1L as g", "1L as key").cache()
+    pairs = {(r.src, r.dst) for r in simhash._pivot_pairs(now, simhash.PIVOT_SALTS[0], 0.8).collect()}
+    heads = {min((r.h for r in now.select("h").collect()), key=lambda h: h ^ x) for x in simhash.PIVOT_SALTS[0]}
+    assert all(a in heads or b in heads for a, b in pairs) and 0 < len(pairs) <= len(texts) * simhash.PIVOTS
+    a, b = now.alias("a"), now.alias("b")
+    plain = a.join(b, (F.col("a.h") < F.col("b.h")) & simhash._likely(0.8)).select(F.col("a.h").alias("src"), F.col("b.h").alias("dst")).collect()
+    across = simhash._across(now, 0.8).collect()
+    assert sorted(map(tuple, across)) == sorted(map(tuple, plain)) and len(plain) > len(texts)
+    assert pairs == {(r.src, r.dst) for r in plain if r.src in heads or r.dst in heads}
+    size_3 = now.selectExpr("h", "n", "spare", "sketch", "filled", "pmod(h, 3) as c", "pmod(h, 5) as key")
+    own = {r.h: (r.c, r.key) for r in size_3.collect()}
+    want = [(r.src, r.dst) for r in plain if own[r.src][0] != own[r.dst][0] and own[r.src][1] == own[r.dst][1]]
+    assert sorted(map(tuple, simhash._across(size_3, 0.8).collect())) == sorted(want)
+    found = near(spark, list(enumerate(texts)))
+    monkeypatch.setattr(simhash, "WHOLE", 3)  # on the driver: larger keys go by the join
+    monkeypatch.setattr(simhash, "ROUNDS", 0)
+    assert near(spark, list(enumerate(texts))) == found and found
+
+
+def test_a_bucket_over_the_limit_stays_whole():
+    prints, folds = np.random.Generator(np.random.PCG64(9)).integers(0, 2**63, (2, simhash.WHOLE + 1, 4), dtype=np.uint64)
+    clusters, nearest = simhash._clusters(prints[:, :3], folds, np.full(len(prints), 300, np.int32), 0.8)
+    assert [x.tolist() for x in clusters] == [list(range(len(prints)))] and len(nearest) == len(prints)
