@@ -22,38 +22,58 @@ driver holds a whole table.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import bucketed, materialise, partitions, release, table
-from .common import document_blocks, get_arrays, id_array, put_arrays, read_blocks, release_memory, slices
+from .common import document_blocks, get_arrays, id_array, put_arrays, read_blocks, release_memory
 
 CUTOFF = 5
 #: Triples seen less often in learning give way to pairs, as is usual for Katz models.
 LEAST_TRIPLE = 2
 HOLD_OUT = 10
 END = b" "
-SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+#: All white space as one byte, so that a space can be the end's.
+SPACES = bytes(10 if 9 <= c <= 13 or c == 32 else c for c in range(256))
 KINDS = "d int, r int, kind int, blob binary"
 WORDS, MAYBE, PAIRS, TRIPLES, STATS, TOKENS = range(6)
 SHORT = np.uint64(40)  # bits of a triple's short hash, besides the part that it goes to
 
 
-class Ids(dict):
-    """Numbers words in order of appearance."""
+def held_out(doc_id: int, is_null: int) -> bool:
+    return not is_null and zlib.crc32(str(int(doc_id)).encode()) % HOLD_OUT == 0
 
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
 
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all words, an end after each text; the hashes of the distinct words by number, the end first)."""
+    raw = np.frombuffer(b"\n".join([b"", END, *(x for t in texts for x in (t.lower().translate(SPACES), END)), b""]), np.uint8)
+    inner = raw != 10
+    edges = np.flatnonzero(inner[1:] != inner[:-1])
+    ends = np.cumsum(edges[1::2] - edges[::2])
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(raw[inner])]).dictionary_encode()
+    _, cuts, letters = words.dictionary.buffers()
+    letters, cuts = letters.to_pybytes(), np.frombuffer(cuts, np.int64, len(words.dictionary) + 1).tolist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(letters[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), np.uint64, len(cuts) - 1)
+    return words.indices.to_numpy()[1:], hashes
 
-def held_out(doc_id: int, is_null: int) -> bool:
-    return not is_null and zlib.crc32(str(int(doc_id)).encode()) % HOLD_OUT == 0
+
+def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each) of a sorted array."""
+    at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    return a[at], np.diff(at, append=len(a))
+
+
+def grouped(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places by value, distinct values, how often each)."""
+    order = np.argsort(a).astype(np.int32)
+    return order, *runs(a[order])
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
@@ -95,22 +115,14 @@ class Part:
     @classmethod
     def of_texts(cls, blocks: pa.Table, parts: int) -> Part:
         ids, nulls, texts, _ = read_blocks(blocks)
-        names = Ids({END: 0})
-        rows, lengths, end = [], [], np.zeros(1, np.int32)
-        for t in texts:
-            n = 1
-            for piece in slices(t.lower().translate(SPACES)):
-                words = piece.split()
-                rows.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
-                n += len(words)
-            rows.append(end)
-            lengths.append(n)
+        tokens, hashes = numbered(texts)
+        del texts
+        lengths = np.diff(np.flatnonzero(tokens == 0), prepend=-1)
         held = np.array([held_out(i, z) for i, z in zip(ids, nulls, strict=True)], bool)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
         order = np.lexsort((hashes, hashes % np.uint64(parts)))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        return cls(ids, nulls, held, np.array(lengths, np.int64), hashes[order], place, np.concatenate([np.zeros(0, np.int32), *rows]), parts)
+        return cls(ids, nulls, held, lengths, hashes[order], place, tokens, parts)
 
     def pack(self) -> bytes:
         low, mid, _ = planes(self.raw)
@@ -174,7 +186,8 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def _of(rows: pa.Table, kind: int) -> dict[int, bytes]:
     """Blobs of a kind by r."""
-    return {r: x for r, k, x in zip(rows["r"].to_pylist(), rows["kind"].to_pylist(), rows["blob"].to_pylist(), strict=True) if k == kind}
+    rows = rows.filter(pc.equal(rows["kind"], kind))
+    return dict(zip(rows["r"].to_pylist(), rows["blob"].to_pylist(), strict=True))
 
 
 def _summary(totals: np.ndarray) -> bytes:
@@ -187,8 +200,8 @@ def _ask_words(group: pa.Table, parts: int) -> pa.Table:
     counts = np.bincount(part.tokens[part.learn], minlength=len(part.hashes))
     rows = [(d, r, WORDS, put_arrays(part.hashes[lo:hi], narrow(counts[lo:hi]))) for r, (lo, hi) in enumerate(zip(part.cuts[:-1], part.cuts[1:], strict=True)) if lo < hi]
     at, keys = part.short()
-    keys, back = np.unique(keys, return_inverse=True)
-    often = np.minimum(np.bincount(back, part.learn[at], len(keys)), 2).astype(np.uint8)
+    order, keys, per = grouped(keys)
+    often = np.minimum(np.add.reduceat(part.learn[at[order]], np.cumsum(per) - per, dtype=np.int64), 2).astype(np.uint8) if len(keys) else np.zeros(0, np.uint8)
     cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << SHORT)
     for r, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if lo < hi:
@@ -220,6 +233,16 @@ def _tell_words(requests: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
+def freed(found: pa.Table) -> pa.Table:
+    """What a worker found for a group, when it has given back the memory that this took."""
+    release_memory()
+    return found
+
+
+def tell_words(requests: pa.Table) -> pa.Table:
+    return freed(_tell_words(requests))
+
+
 class Deal:
     """Who is asked for the continuations of a part's histories.
 
@@ -232,13 +255,13 @@ class Deal:
         n = len(histories)
         base = histories % np.uint64(parts)
         r = ((base[owner] + _stir(words) % splits[owner].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(r, kind="stable")  # owners ascend, and still do for each r
-        own, per = np.unique((r * n + owner)[self.order], return_counts=True)
+        self.order = np.argsort(narrow(r), kind="stable").astype(np.int32)  # owners ascend, and still do for each r
+        own, per = runs((r * n + owner)[self.order])
         hot = np.flatnonzero((splits > 1) | (np.bincount(owner, minlength=n) == 0))
         times = splits[hot]
         shard = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         extra = (np.repeat(base[hot].astype(np.int64), times) + shard) % parts * n + np.repeat(hot, times)
-        self.keys = np.union1d(own, extra)
+        self.keys = runs(np.sort(np.concatenate([own, extra]), kind="stable"))[0]
         self.per = np.zeros(len(self.keys), np.int64)
         self.per[np.searchsorted(self.keys, own)] = per
         self.owner = self.keys % n if n else self.keys
@@ -246,12 +269,13 @@ class Deal:
         self.at = np.searchsorted(r[self.order], np.arange(parts + 1))
         self.histories, self.words = histories, words
 
-    def ask(self, d: int, kind: int, counts: np.ndarray, *more: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    def ask(self, d: int, kind: int, counts: np.ndarray, *more: np.ndarray, of: tuple[np.ndarray, ...] = ()) -> list[tuple[int, int, int, bytes]]:
+        """more: by continuation; of: by history."""
         rows = []
         for r, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
             if a < b:
                 i = self.order[self.at[r] : self.at[r + 1]]
-                rows.append((d, r, kind, put_arrays(narrow(self.histories[self.owner[a:b]]), narrow(self.per[a:b]), narrow(self.words[i]), narrow(counts[i]), *(x[i] for x in more))))
+                rows.append((d, r, kind, put_arrays(narrow(self.histories[self.owner[a:b]]), narrow(self.per[a:b]), narrow(self.words[i]), narrow(counts[i]), *(x[i] for x in more), *(x[self.owner[a:b]] for x in of))))
         return rows
 
     def told(self, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -277,9 +301,16 @@ def _count(requests: pa.Table, kind: int, least: int, weights) -> pa.Table:
     hist, hback = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     owner = np.repeat(hback, np.concatenate([a[1] for a in asked]).astype(np.int64))
     word = np.concatenate([a[2] for a in asked])
-    order = np.lexsort((word, owner))
-    o, w = owner[order], word[order]
-    first = np.r_[True, (o[1:] != o[:-1]) | (w[1:] != w[:-1])] if len(o) else np.zeros(0, bool)
+    bits = int(word.max(initial=0)).bit_length()
+    if len(hist).bit_length() + bits <= 64:
+        key = owner.astype(np.uint64) << np.uint64(bits) | word
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        first = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((word, owner))
+        first = (owner[order[1:]] != owner[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
+    first = np.r_[True, first] if len(order) else np.zeros(0, bool)
     back = np.empty(len(order), np.int64)
     back[order] = np.cumsum(first) - 1
     heads = order[first]
@@ -357,6 +388,12 @@ class Model:
         n[1] = learned - stats[0]  # those seen once aren't told
         self.triples = ratios(n)
 
+    def lower(self, asked: list[list[np.ndarray]]) -> np.ndarray:
+        """The probability by the model of pairs of what ends each requested triple, from its pair's count and twice the weight of the pair's first word."""
+        count = np.concatenate([a[4] for a in asked])
+        whole = np.concatenate([np.repeat(a[5], a[1]) for a in asked]) / 2
+        return self.pairs[np.minimum(count, CUTOFF + 1)] * count / np.maximum(whole, 0.5)
+
     def splits(self, counts: np.ndarray) -> np.ndarray:
         return 1 + counts * self.parts // max(1, self.unigrams.total)
 
@@ -364,12 +401,13 @@ class Model:
 class View:
     """A part and what it has been told so far; made anew in each pass."""
 
-    def __init__(self, tokens: pa.Table, replies: pa.Table, model: Model):
-        self.part = part = Part.unpack(_of(tokens, TOKENS)[-1], model.parts)
-        self.replies, self.model = replies, model
+    def __init__(self, known: pa.Table, model: Model):
+        """known: the part's tokens and the replies to it."""
+        self.part = part = Part.unpack(_of(known, TOKENS)[-1], model.parts)
+        self.replies, self.model = known, model
         self.unigram = np.zeros(len(part.hashes), np.int64)
         self.word = np.zeros(len(part.hashes), np.uint64)  # a word's number in the whole corpus
-        for r, x in _of(replies, WORDS).items():
+        for r, x in _of(known, WORDS).items():
             own = slice(part.cuts[r], part.cuts[r + 1])
             self.unigram[own], number = get_arrays(x)
             self.word[own] = np.cumsum(number, dtype=np.uint64) * np.uint64(model.parts) + np.uint64(r)
@@ -377,25 +415,27 @@ class View:
         width = len(part.hashes)
         self.v, self.w = (self.codes // width).astype(np.int32), (self.codes % width).astype(np.int32)
         # histories are all of the part's words: those that precede none ask for nothing
-        self.used, owner = np.unique(self.v, return_inverse=True)
-        self.owner = owner.astype(np.int32)
+        self.used, per = runs(self.v)
+        self.owner = np.repeat(np.arange(len(per), dtype=np.int32), per)
         self.deal = Deal(self.word[self.used], model.splits(self.unigram[self.used]), self.owner, self.word[self.w], model.parts)
 
     def ask_pairs(self, d: int) -> list:
         counts = np.bincount(self.at[self.part.learn], minlength=len(self.codes))
         return self.deal.ask(d, PAIRS, counts, *planes(self.unigram[self.w]))
 
+    def learn_pairs(self) -> Order:
+        self.seen, mass, held, few = self.deal.told(_of(self.replies, PAIRS))
+        return Order(self.seen, mass, held, few, self.unigram[self.used], self.model.pairs, 1)
+
     def score_pairs(self) -> np.ndarray:
         """The probability of each pair by the model of pairs."""
-        self.seen, mass, held, few = self.deal.told(_of(self.replies, PAIRS))
-        order = Order(self.seen, mass, held, few, self.unigram[self.used], self.model.pairs, 1)
-        return order(self.owner, self.model.unigrams(self.unigram)[self.w])
+        return self.learn_pairs()(self.owner, self.model.unigrams(self.unigram)[self.w])
 
     def find_triples(self) -> None:
         """Triples that may have been learned often enough, as continuations of their pairs."""
         part = self.part
         at, keys = part.short()
-        keys, back = np.unique(keys, return_inverse=True)
+        order, keys, per = grouped(keys)
         cuts = np.searchsorted(keys, np.arange(part.parts + 1, dtype=np.uint64) << SHORT)
         often = np.zeros(len(keys), bool)
         for r, x in _of(self.replies, MAYBE).items():
@@ -403,9 +443,10 @@ class View:
         # a pair learned less often has no such triple, and all of its backoff weight: only the others are asked about
         before = np.ones(len(part.tokens), bool)
         before[part.starts + part.lengths - 1] = False
-        histories = np.unique(self.at[before])
-        self.histories = histories[self.seen[histories] >= LEAST_TRIPLE]
-        places = at[often[back]]
+        asks = np.zeros(len(self.codes), bool)
+        asks[self.at[before]] = True
+        self.histories = np.flatnonzero(asks & (self.seen >= LEAST_TRIPLE))
+        places = np.sort(at[order[np.repeat(often, per)]])
         self.places = places[self.seen[self.at[places - 1]] >= LEAST_TRIPLE]
         width = len(part.hashes)
         codes, self.triple = np.unique(self.at[self.places - 1].astype(np.int64) * width + part.tokens[self.places], return_inverse=True)
@@ -416,11 +457,16 @@ class View:
         self.deal3 = Deal(pair_hash, self.model.splits(self.seen[self.histories]), self.own, self.word[self.next], part.parts)
 
     def ask_triples(self, d: int) -> list:
-        by_pairs = self.score_pairs()
+        pairs = self.learn_pairs()
         self.find_triples()
         counts = np.bincount(self.triple[self.part.learn[self.places]], minlength=len(self.history))
-        lower = by_pairs[np.searchsorted(self.codes, self.w[self.history].astype(np.int64) * len(self.part.hashes) + self.next)]
-        return self.deal3.ask(d, TRIPLES, counts, lower)
+        # a triple that was learned often enough ends in a pair that was learned: its probability is that of a seen one
+        count = self.seen[np.searchsorted(self.codes, self.w[self.history].astype(np.int64) * len(self.part.hashes) + self.next)]
+        asks = np.zeros(len(self.histories), bool)
+        asks[self.own] = True
+        twice = np.zeros(len(self.histories), np.uint64)
+        twice[asks] = pairs.whole[np.searchsorted(self.used, self.w[self.histories[asks]])] * 2
+        return self.deal3.ask(d, TRIPLES, counts, narrow(count), of=(narrow(twice),))
 
     def scores(self) -> pa.Table:
         part, model = self.part, self.model
@@ -455,35 +501,38 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     # half as many parts again as an exchange has, since a task holds one of them at a time
-    asked = materialise(document_blocks(docs, parts + parts // 2).groupBy("d").applyInArrow(lambda x: _ask_words(x, parts), KINDS), "asked")
-    words = materialise(asked.where("r >= 0").groupBy("r").applyInArrow(_tell_words, KINDS), "words")
-    tokens = bucketed(asked.where("r < 0"), "d", parts, "tokens")
+    asked = materialise(document_blocks(docs, parts + parts // 2).groupBy("d").applyInArrow(lambda x: freed(_ask_words(x, parts)), KINDS), "asked")
+    words = materialise(asked.where("r >= 0").groupBy("r").applyInArrow(tell_words, KINDS), "words")
+    own = f"katz_{uuid.uuid4().hex}"
+    tokens = bucketed(asked.where("r < 0"), "d", parts, into=own)
     release(spark, asked)
     model = Model(parts, _stats(words))
     told = words.where("d >= 0")
 
-    def each(replies: DataFrame, ask, schema: str) -> DataFrame:
+    def each(left: DataFrame, replies: DataFrame, ask, schema: str) -> DataFrame:
         """What `ask` makes of each part's view."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            found = ask(View(left, right, model), left["d"][0].as_py())
-            release_memory()
-            return found
+            return freed(ask(View(pa.concat_tables([left, right]), model), left["d"][0].as_py()))
+
+        return left.groupBy("d").cogroup(replies.groupBy("d")).applyInArrow(run, schema)
 
-        return tokens.groupBy("d").cogroup(replies.where("d >= 0").groupBy("d")).applyInArrow(run, schema)
+    def ask_triples(known: pa.Table) -> pa.Table:
+        return freed(_rows(View(known, model).ask_triples(known["d"][0].as_py())))
 
     unigrams = model.unigrams
-    counted = each(told, lambda v, d: _rows(v.ask_pairs(d)), KINDS).groupBy("r")
-    pairs = counted.applyInArrow(lambda x: _count(x, PAIRS, 1, lambda asked: unigrams(joined(*(np.concatenate([a[k] for a in asked]) for k in (4, 5, 6))))), KINDS)
-    # what is known of words and pairs lies in buckets like the tokens, so that the largest requests share the disk with no exchange of it
-    told = bucketed(pairs.unionByName(told).repartition(parts, "d"), "d", parts, "told")
+    counted = each(tokens, told, lambda v, d: _rows(v.ask_pairs(d)), KINDS).groupBy("r")
+    pairs = counted.applyInArrow(lambda x: freed(_count(x, PAIRS, 1, lambda asked: unigrams(joined(*(np.concatenate([a[k] for a in asked]) for k in (4, 5, 6)))))), KINDS)
+    # what is known of words and pairs joins the tokens in their buckets, so that the largest requests and replies share the disk with no exchange of it
+    known = bucketed(pairs.unionByName(told).repartition(parts, "d"), "d", parts, into=own)
     release(spark, words)
-    model.learn_pairs(_stats(told))
-    counted = each(told, lambda v, d: _rows(v.ask_triples(d)), KINDS).groupBy("r")
-    triples = materialise(counted.applyInArrow(lambda x: _count(x, TRIPLES, LEAST_TRIPLE, lambda asked: np.concatenate([a[4] for a in asked])), KINDS), "triples")
+    model.learn_pairs(_stats(known))
+    known = known.where("d >= 0")
+    counted = known.groupBy("d").applyInArrow(ask_triples, KINDS).groupBy("r")
+    triples = materialise(counted.applyInArrow(lambda x: freed(_count(x, TRIPLES, LEAST_TRIPLE, model.lower)), KINDS), "triples")
     learned = asked_triples(docs, unigrams.total)
     model.learn_triples(_stats(triples), learned)
-    return each(told.unionByName(triples), lambda v, d: v.scores(), RESULT)
+    return each(known, triples.where("d >= 0"), lambda v, d: v.scores(), RESULT)
 
 
 def asked_triples(docs: DataFrame, total: int) -> int:

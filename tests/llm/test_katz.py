@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from gleaner.llm import katz as m
+from gleaner.storage import bucketed
 
 
 def brute(rows):
@@ -92,3 +93,33 @@ def test_small(spark):
     none = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
     check(spark, [(k, "only held out") for k in none])
     assert m.katz_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bucketed_tables_leave_no_shuffle_files(spark):
+    """What a table in buckets was exchanged through goes as it is written, and doesn't wait for the driver's garbage collector."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = held()
+    found = bucketed(spark.range(1000).repartition(4, "id"), "id", 4, "numbers")
+    assert not held() - before and found.count() == 1000
+
+
+def test_told_is_not_exchanged_again(spark):
+    """Replies about triples are; what is known of words and pairs lies in the tokens' buckets."""
+    plan = m.katz_scores(spark.createDataFrame([(k, "a b c a b c") for k in range(20)], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Union" not in plan and "Bucketed: true" in plan
+
+
+def test_groups_give_memory_back(monkeypatch):
+    """A worker keeps nothing of a group that it has counted, as it lives on beside others in its executor."""
+    calls = []
+    monkeypatch.setattr(m, "release_memory", lambda: calls.append(1))
+    hashes = np.array([7, 14], np.uint64)
+    m.tell_words(m._rows([(0, 0, m.WORDS, m.put_arrays(hashes, np.ones(2, np.uint8)))]))
+    assert calls == [1]
+
+
+def test_numbers_of_words():
+    tokens, hashes = m.numbered([b"B\x0ba  b\n", b"", b"\t\r", b"c" * 9 + b"\x00 b"])
+    assert tokens.tolist() == [1, 2, 1, 0, 0, 0, 3, 1, 0]
+    assert hashes.tolist() == [m.xxhash.xxh64_intdigest(w) for w in (m.END, b"b", b"a", b"c" * 9 + b"\x00")]
