@@ -9,7 +9,7 @@ from .. import config
 from ..functions.scalar import hash_similarity, image_quality, max_hamming, quality, video_quality
 from ..functions.text import text_facts
 from ..functions.video import video_similarity
-from ..operators import exact, groups, keys, pairs
+from ..operators import alike, exact, groups, keys, pairs
 from ..operators.ordering import ordered
 from ..sources import files as sources
 from ..sources import media
@@ -47,8 +47,9 @@ def scan(files: DataFrame, settings: config.Settings = config.Settings(), image_
     slim = alone.select("file_id", "path", "size_bytes", "quality")
     found = []
     if "text" in settings.media:
-        facts = materialise(text_facts(texts(alone.where("media_type = 'text'"))), "facts")
-        edges = materialise(groups.text_edges(facts, settings.text_threshold), "edges")
+        plain = alone.where("media_type = 'text'")
+        facts = materialise(text_facts(texts(plain), alike.FACTS), "facts")
+        edges = materialise(alike.text_edges(facts, lambda wanted: texts(plain.join(wanted, "file_id", "left_semi")).select("file_id", "content"), settings.text_threshold), "edges")
         g, i = groups.text_groups(facts, edges)
         found.append((g, i.join(slim.select("file_id", "quality"), "file_id")))
     if image_facts is not None and "image" in settings.media:
